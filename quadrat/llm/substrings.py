@@ -10,8 +10,9 @@ An anchor that repeats is only a hint; it is verified by the full hashes of the
 windows behind it, compared among the rows of that anchor.
 
 Anchors of many rows would make one task's work grow with the data. Their
-windows go another way: one row per window, counted with map-side sums and
-joined back, so that no task needs the rows of a key together.
+stretches of windows go another way: equal stretches are counted map-side, then
+the windows of the different ones, and what repeats is joined back, so that no
+task needs the rows of a key together.
 
 Both choices are read from bitmaps of bounded size (``FILTER_BITS``) that tasks
 get by broadcast; a bit set by chance costs time, never a result.
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import FILTER_BITS, bitmap, has
 from .kernel import U, Words, buffers, chunks, mix, signed, sliding_min
 from .spill import partitions, scratch, written
 
 WIDTH = 35
 #: An anchor of more rows than this goes by single windows.
 HOT_ROWS = 1000
-FILTER_BITS = 1 << 26
 #: Runs of an index that are compacted into one when a further one comes.
 FAN_IN = 8
 
@@ -112,37 +113,6 @@ def _anchor_rows(width: int):
     return run
 
 
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(keys ^ U(0x5BD1E995)) & U(bits - 1)).astype(np.int64)
-
-
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of the slots of the column fp: each task fills its slice, and only the slices, of bits / 8 bytes in all, are gathered."""
-    slices = min(64, max(1, bits >> 12))
-    size = bits // slices
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = _slot(b.column(0).to_numpy().view(U), bits)
-            for s in np.unique(at // size):
-                m = maps.setdefault(int(s), np.zeros(size, bool))
-                m[at[at // size == s] - s * size] = True
-        for s, m in maps.items():
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes()], pa.binary())], ["s", "bits"])
-
-    n = min(slices, partitions(keys.sparkSession))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in keys.select("fp").mapInArrow(run, "s int, bits binary").repartition(n, "s").toLocalIterator():
-        out[r.s * size // 8 : (r.s + 1) * size // 8] |= np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _slot(keys, len(bits) * 8)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 _STRETCH = pa.schema([("fp", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("windows", pa.binary()), ("hot", pa.bool_())])
 
 
@@ -159,7 +129,7 @@ def _stretch_rows(width: int, repeated, hot):
                 where, full, anchor, grams = found
                 new = _stretches(where, anchor)
                 key = grams[anchor[new]]
-                keep = np.flatnonzero(_has(repeated.value, key))
+                keep = np.flatnonzero(has(repeated.value, key))
                 if not len(keep):
                     continue
                 ends = np.append(new[1:], len(where))
@@ -167,7 +137,7 @@ def _stretch_rows(width: int, repeated, hot):
                 doc = np.searchsorted(w.of, where[new[keep]], "right") - 1
                 key = key[keep]
                 yield pa.record_batch(
-                    [pa.array(signed(key)), pa.array(rids[i + doc]), pa.array((where[new[keep]] - w.of[doc]).astype(np.int32)), pa.array([raw[8 * s : 8 * e] for s, e in zip(new[keep], ends[keep], strict=True)], pa.binary()), pa.array(_has(hot.value, key))],
+                    [pa.array(signed(key)), pa.array(rids[i + doc]), pa.array((where[new[keep]] - w.of[doc]).astype(np.int32)), pa.array([raw[8 * s : 8 * e] for s, e in zip(new[keep], ends[keep], strict=True)], pa.binary()), pa.array(has(hot.value, key))],
                     schema=_STRETCH,
                 )
 
@@ -236,20 +206,35 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS
     index.append(docs.select("text").mapInArrow(_anchor_rows(width), "fp long"))
     repeated = index.repeated()
     broadcast = spark.sparkContext.broadcast
-    stretches = docs.mapInArrow(_stretch_rows(width, broadcast(_bitmap(repeated, bits)), broadcast(_bitmap(repeated.where(F.col("n") > hot_rows), bits))), "fp long, rid long, at int, windows binary, hot boolean")
+    stretches = docs.mapInArrow(_stretch_rows(width, broadcast(bitmap(repeated.select("fp"), bits)), broadcast(bitmap(repeated.where(F.col("n") > hot_rows).select("fp"), bits))), "fp long, rid long, at int, windows binary, hot boolean")
     stretches = written(stretches, "stretches")
     cold = stretches.where("not hot").repartition(partitions(spark), "fp").sortWithinPartitions("fp").mapInArrow(_repeats, "rid long, at int, n int")
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, ends = buffers_of(b.column(2))
-            row = np.repeat(np.arange(b.num_rows), np.diff(ends) // 8)
-            at = b.column(1).to_numpy()[row] + np.arange(len(row)) - (ends[:-1] // 8)[row]
-            yield pa.record_batch([pa.array(signed(data.view(U))), pa.array(b.column(0).to_numpy()[row]), pa.array(at.astype(np.int32))], ["w", "rid", "at"])
-
-    windows = stretches.where("hot").select("rid", "at", "windows").mapInArrow(single, "w long, rid long, at int")
-    twice = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    return cold.unionByName(windows.join(twice, "w").select("rid", "at", F.lit(1).alias("n")))
+    hot = stretches.where("hot")
+    kinds = written(hot.groupBy("windows").agg(F.count("*").alias("c")), "kinds").withColumn("kind", F.xxhash64("windows"))
+    windows = written(kinds.mapInArrow(_single, "w long, kind long, i int, c long"), "windows")
+    twice = windows.groupBy("w").agg(F.sum("c").alias("c")).where("c > 1").select("w")
+    marks = windows.join(twice, "w").groupBy("kind").agg(F.collect_list("i").alias("marks"))
+    marked = hot.select("rid", "at", F.xxhash64("windows").alias("kind")).join(written(marks, "marks"), "kind")
+    return cold.unionByName(marked.mapInArrow(_marked, "rid long, at int, n int"))
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, kind, i, c): the windows of (windows, c, kind)."""
+    for b in batches:
+        data, ends = buffers_of(b.column(0))
+        row = np.repeat(np.arange(b.num_rows), np.diff(ends) // 8)
+        i = np.arange(len(row)) - (ends[:-1] // 8)[row]
+        yield pa.record_batch([pa.array(signed(data.view(U))), b.column(2).take(pa.array(row)), pa.array(i.astype(np.int32)), b.column(1).take(pa.array(row))], ["w", "kind", "i", "c"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of (kind, rid, at, marks)."""
+    for b in batches:
+        at = b.column(3)
+        row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+        if len(row):
+            yield _spans(b.column(1).to_numpy()[row], b.column(2).to_numpy()[row] + at.flatten().to_numpy())
 
 
 def _cut(width: int, digest: bool):
