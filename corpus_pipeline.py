@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrat.llm import substrings
+from quadrat.llm import langid, mixing, ngram_join, packing, substrings
 from quadrat.llm.spill import written
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: repeated windows of 35 words go; a document of which nothing is left goes too."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents of no known language go: without text or a letter, or without an n-gram of any language."""
+    return langid.keep_known(docs, langid.train(docs))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3, near duplicates: five words a shingle, similarity 0.8; of each group of linked documents the first by doc_id stays."""
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: words in windows of 35 that occur more than once go; every document stays, with what is left of it."""
     return substrings.dedup_text(docs)
 
 
-STAGES = [("substring_dedup", dedup_substrings)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: each document as often as its source's target has it."""
+    return mixing.mix(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: pieces of documents, with the sequences that hold them."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
+#: Hash-filtered graph components and tokenisation aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .bitmaps import FILTER_BITS, bitmap, has
 from .components import components
 from .kernel import LOWER, U, Words, chunks, mix, signed
-from .spill import written
+from .spill import partitions, written
 
 N = 3
 PERCENT = 90
@@ -53,30 +53,120 @@ def _digests(g: np.ndarray) -> tuple[int, int]:
     return int(mix(g).sum(dtype=U)), int(mix(g ^ U(0xD6E8FEB86659FD93)).sum(dtype=U))
 
 
-def _profiles(n: int, share: int):
-    """Of each text: set size, two digests of the set, and the shingles of one residue class."""
+def _profiles(n: int):
+    """Set size and two digests of the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, at in chunks(b.column(1)):
                 w = Words(data, at, case=LOWER)
                 grams = w.grams(n)
-                size, digest, sample = [], [], []
+                size, digest = [], []
                 for row in range(j - i):
                     g = _set_of(w, grams, row, n)
                     size.append(len(g))
                     digest.append(_digests(g))
-                    sample.append(g[g % U(share) == 0])
                 d = np.array(digest, U).reshape(-1, 2)
-                ends = np.append(0, np.cumsum([len(s) for s in sample])).astype(np.int32)
-                yield pa.record_batch(
-                    [b.column(0).slice(i, j - i), pa.array(size, pa.int32()), pa.array(signed(d[:, 0])), pa.array(signed(d[:, 1])), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sample))))],
-                    ["doc_id", "n", "cid", "check", "sample"],
-                )
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(size, pa.int32()), pa.array(signed(d[:, 0])), pa.array(signed(d[:, 1]))], ["doc_id", "n", "cid", "check"])
 
     return run
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """First all lowest bytes, then all next ones, and so on: sorted or small numbers compress well so."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+_CELLS = "b int, h binary, at binary, classes binary"
+
+
+def _packed(cid: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The cells of a batch by bucket of h: each shingle once, with its class, or with none if classes of the batch share it."""
+    if not len(h):
+        return
+    order = np.argsort(h)
+    h, c = h[order], cid[doc[order]]
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    low, high = np.minimum.reduceat(c, start), np.maximum.reduceat(c, start)
+    h, shared = h[start], low != high
+    cut = np.searchsorted(((h >> U(40)) * U(buckets)) >> U(24), np.arange(buckets + 1))
+    rows = []
+    for k, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if e > s:
+            classes, at = np.unique(low[s:e], return_inverse=True)
+            at = at + 1
+            at[shared[s:e]] = 0
+            rows.append((k, _planes(h[s:e]), _planes(at.astype("<u4")), classes.tobytes()))
+    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["b", "h", "at", "classes"])
+
+
+def _text_cells(n: int, share: int, buckets: int):
+    """Cells of texts, of one residue class of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cids, docs, hs, before = [], [], [], 0
+            for i, j, data, at in chunks(b.column(0)):
+                w = Words(data, at, case=LOWER)
+                grams = w.grams(n)
+                for row in range(j - i):
+                    g = _set_of(w, grams, row, n)
+                    cids.append(_digests(g)[0])
+                    g = g[g % U(share) == 0]
+                    hs.append(g)
+                    docs.append(np.full(len(g), before + row))
+                before += j - i
+            if hs:
+                yield from _packed(signed(np.array(cids, U)), np.concatenate(docs), np.concatenate(hs), buckets)
+
+    return run
+
+
+def _set_cells(buckets: int):
+    """Cells of whole sets (cid, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = b.column(1)
+            n = np.diff(grams.offsets.to_numpy())
+            yield from _packed(b.column(0).to_numpy(), np.repeat(np.arange(len(n)), n), grams.flatten().to_numpy().view(U), buckets)
+
+    return run
+
+
+def _own_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, u) of cells sorted by bucket: shingles of one class only. Holds one bucket."""
+
+    def judge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        h = np.concatenate([_from_planes(r[0], "<u8") for r in rows])
+        at = [_from_planes(r[1], "<u4") for r in rows]
+        classes = [np.append(0, np.frombuffer(r[2], np.int64)) for r in rows]
+        c = np.concatenate([k[a] for k, a in zip(classes, at, strict=True)])
+        shared = np.concatenate(at) == 0
+        order = np.argsort(h)
+        h, c, shared = h[order], c[order], shared[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        own = (np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & ~np.maximum.reduceat(shared, start)
+        cid, u = np.unique(c[start[own]], return_counts=True)
+        yield pa.record_batch([pa.array(cid), pa.array(u)], ["cid", "u"])
+
+    now, rows = None, []
+    for b in batches:
+        for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != now:
+                yield from judge(rows)
+                now, rows = k, []
+            rows.append(row)
+    yield from judge(rows)
+
+
 def _sets(n: int, wanted):
     """Class and whole set of the texts whose key the bitmap has."""
 
@@ -97,10 +187,10 @@ def _sets(n: int, wanted):
     return run
 
 
-def _unique(rows: DataFrame) -> DataFrame:
-    """(cid, u): how many of the shingles h are of no other class. Least and greatest class merge map-side, so a common shingle is no hot key."""
-    own = rows.groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid = last")
-    return own.groupBy("cid").agg(F.count("*").alias("u"))
+def _unique(cells: DataFrame) -> DataFrame:
+    """(cid, u): how many shingles of the cells are of no other class. A shingle comes once from a batch of documents, so a common one is no hot key."""
+    n = partitions(cells.sparkSession)
+    return cells.repartition(n, "b").sortWithinPartitions("b").mapInArrow(_own_cells, "cid long, u long").groupBy("cid").agg(F.sum("u").alias("u"))
 
 
 def _apart(percent: int) -> str:
@@ -128,13 +218,14 @@ def classes_and_links(docs: DataFrame, n: int = N, percent: int = PERCENT, bits:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     share = max(1, 60 // max(1, 100 - percent))
-    profiles = written(docs.mapInArrow(_profiles(n, share), f"doc_id {kind}, n int, cid long, check long, sample array<long>"), "profiles")
+    buckets = 2 * partitions(spark)
+    profiles = written(docs.mapInArrow(_profiles(n), f"doc_id {kind}, n int, cid long, check long"), "profiles")
     classes = written(profiles.where("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    few = _unique(profiles.select("cid", F.explode("sample").alias("h")))
+    few = _unique(docs.select("text").mapInArrow(_text_cells(n, share, buckets), _CELLS))
     stay = classes.join(few, "cid", "left").where(f"coalesce(u, 0) <= {_apart(percent)}").select(F.xxhash64("rep").alias("k"))
     wanted = spark.sparkContext.broadcast(bitmap(stay, bits))
     sets = written(docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_sets(n, wanted), "cid long, n int, grams array<long>"), "sets")
-    few = _unique(sets.select("cid", F.explode("grams").alias("h")))
+    few = _unique(sets.select("cid", "grams").mapInArrow(_set_cells(buckets), _CELLS))
     sets = sets.join(few, "cid", "left").where(f"coalesce(u, 0) <= {_apart(percent)}").groupBy("cid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     sets = written(sets, "sets")
     cells = sets.select("cid", F.explode("grams").alias("h"))
@@ -176,13 +267,31 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, **how)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, **how) -> DataFrame:
-    """docs with one row of each group of linked rows: that of the least doc_id, and among rows of one doc_id that of the least text hash; of rows equal in both, any. Rows without words stay. Columns stay as they are, whatever their names."""
+def _sorted_out(suspects, wanted: bool):
+    """Rows (k, row) of which the bitmap has the key, or has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(has(suspects.value, b.column(0).to_numpy().view(U)) == wanted))
+
+    return run
+
+
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, bits: int = FILTER_BITS) -> DataFrame:
+    """docs with one row of each group of linked rows: that of the least doc_id, and among rows of one doc_id that of the least text hash; of rows equal in both, any. Rows without words stay. Columns stay as they are, whatever their names.
+
+    Only rows that a bitmap takes for rejected or repeated are shuffled.
+    """
     key = F.struct("doc_id", F.xxhash64("doc_id", "text").alias("h"))
-    found = ngram_components(docs.select(key.alias("doc_id"), "text"), n, percent, **how)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id.h").alias("k")).distinct()
+    found = written(ngram_components(docs.select(key.alias("doc_id"), "text"), n, percent, bits=bits), "found").withColumn("k", F.col("doc_id.h"))
+    gone = written(found.where("not doc_id <=> component_id").select("k").distinct(), "gone")
+    repeated = found.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    suspects = docs.sparkSession.sparkContext.broadcast(bitmap(gone.unionByName(repeated), bits))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(written(keep, "keep"), "k", "left_semi").dropDuplicates(["k"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    kind = f"k long, row {rows.schema['row'].dataType.simpleString()}"
+    clear = rows.mapInArrow(_sorted_out(suspects, False), kind)
+    judged = rows.mapInArrow(_sorted_out(suspects, True), kind).join(gone, "k", "left_anti").dropDuplicates(["k"])
+    return clear.unionByName(judged).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 __all__ = ["classes_and_links", "ngram_components", "one_of_each"]

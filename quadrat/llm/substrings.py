@@ -238,7 +238,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(width: int, digest: bool):
-    """From batches of (row, text, spans): row, the word counts, and the digest of the words that stay, or their text where some went."""
+    """From batches of (row, text, spans): row, the word counts, and the digest of the words that stay, or the text: these words where some went, else as it was."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,7 +246,8 @@ def _cut(width: int, digest: bool):
             data = data.tobytes()
             words, removed, kept = [], [], []
             for row, spans in enumerate(b.column(2).to_pylist()):
-                w = data[at[row] : at[row + 1]].split()
+                raw = data[at[row] : at[row + 1]]
+                w = raw.split()
                 words.append(len(w))
                 gone = 0
                 if spans:
@@ -257,9 +258,8 @@ def _cut(width: int, digest: bool):
                     stay = np.cumsum(cover[:-1]) == 0
                     gone = int(len(w) - stay.sum())
                     w = [x for x, s in zip(w, stay, strict=True) if s]
-                joined = b" ".join(w)
                 removed.append(gone)
-                kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode() if gone else None)
+                kept.append(hashlib.sha256(b" ".join(w)).hexdigest() if digest else b" ".join(w).decode() if gone else b.column(1)[row].as_py())
             yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return run
@@ -293,12 +293,14 @@ def dedup_text(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     their names.
     """
     rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    rows = _judged(docs, F.struct(rest.alias("rest"), F.col("text")), width, **how)
-    kind = rows.schema["row"].dataType.simpleString()
-    rows = rows.select(F.struct(F.col("row.rest").alias("rest"), F.col("text")).alias("row"), "text", "spans")
-    cut = rows.mapInArrow(_cut(width, False), f"row {kind}, n_words long, n_removed long, kept string")
-    text = F.coalesce("kept", "row.text")
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text))}
-    old = {c: F.col(f"row.rest.`{c}`") for c in docs.columns if c != "text"}
-    new["n_chars"] = new["n_chars"].otherwise(old["n_chars"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in old else None
-    return cut.select(*((new[c] if c in ("text", "n_chars") else old[c]).alias(c) for c in docs.columns))
+    rows = _judged(docs, rest, width, **how)
+    cut = rows.mapInArrow(_cut(width, False), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+
+    def column(c: str):
+        if c == "text":
+            return F.col("kept")
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType)
+        return F.col(f"row.`{c}`")
+
+    return cut.select(*(column(c).alias(c) for c in docs.columns))

@@ -132,7 +132,7 @@ def test_ngram_components(spark, small, real, none):
 def test_one_of_each(small, none):
     got = ngram_join.one_of_each(small)
     assert got.columns == small.columns
-    assert Counter(r.doc_id for r in got.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12])
+    assert Counter(r.doc_id for r in got.collect()) == Counter([1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12])  # 7 holds all of 6 and little else
     assert ngram_join.one_of_each(none).count() == 0
 
 
