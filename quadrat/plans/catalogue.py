@@ -1,6 +1,765 @@
-"""Every query of the reference's own operators, by name, with the SQL that checks it."""
+"""Every query of the reference's own operators, by name, with the SQL that checks it.
+
+A query takes (spark, sf_dir) and reads the driver's tables as the domain of
+``domain.py``. SQL is DuckDB's, over views of the same names.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrat.functions import classify, names, sites, units, web
+from quadrat.operators import aggregate as agg
+from quadrat.operators import geo, linkage, reportcard, stats, tallies, traffic
+from quadrat.plans import domain
+from quadrat.plans.domain import exact_sum, xsum
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = f"WITH {domain.SQL}{sql}" if sql.lstrip().startswith(",") else sql
+        return f
+
+    return add
+
+
+class _Of:
+    """The domain's tables of a directory, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return domain.table(self.spark, self.dir, name)
+
+    @property
+    def apps(self) -> DataFrame:
+        return domain.applications(self.spark, self.dir)
+
+    @property
+    def published(self) -> DataFrame:
+        return self.apps.where("status = 'published'")
+
+    @property
+    def lines(self) -> DataFrame:
+        return domain.lines(self.spark, self.dir)
+
+    @property
+    def views(self) -> DataFrame:
+        return domain.views(self.spark, self.dir)
+
+
+def on(name: str, sql: str | None = None):
+    """Register a function of the domain."""
+
+    def add(f):
+        query(name, sql)(lambda spark, sf_dir: f(_Of(spark, sf_dir)))
+        return f
+
+    return add
+
+
+# tallies
+
+_TALLY = f"""count(*) AS applications, {xsum('acres')} AS acres, {xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, {xsum('unresolved')} AS unresolved,
+  sum(lines)::BIGINT AS lines, sum(unresolved_lines)::BIGINT AS unresolved_lines"""
+
+
+def _per(extra: str = "", where: str = "true") -> str:
+    return f""", per AS (SELECT id{extra}, {xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, {xsum("CASE WHEN family = 'unknown' THEN quantity END")} AS unresolved, count(*) AS lines,
+  count(*) FILTER (family = 'unknown') AS unresolved_lines FROM lines WHERE {where} GROUP BY ALL)"""
+
+
+def _tally_sql(keys: str, extra: str = "", where: str = "true", of: str = "status = 'published'", more: str = "") -> str:
+    return f"{_per(extra, where)}{more} SELECT {keys}, {_TALLY} FROM apps JOIN per USING (id) WHERE {of} GROUP BY ALL"
+
+
+@on("tally_by_year", _tally_sql("year"))
+def _(d):
+    return tallies.tally(d.published, d.lines, "year")
+
+
+@on("tally_all_years_rollup", f"""{_per()} SELECT year, count(*) AS applications, {xsum('acres')} AS acres, {xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, grouping(year)::INT AS all_years
+  FROM apps JOIN per USING (id) WHERE status = 'published' GROUP BY ROLLUP (year)""")
+def _(d):
+    return tallies.all_years(d.published, d.lines)
+
+
+_MIX = """, mixes AS (SELECT id, string_agg(DISTINCT ingredient, ' + ' ORDER BY ingredient) AS mix FROM lines WHERE kind = 'herbicide' GROUP BY id)"""
+
+
+@on("tally_by_chemical_mix", f"{_per()}{_MIX} SELECT mix, year, {_TALLY} FROM apps JOIN per USING (id) JOIN mixes USING (id) WHERE status = 'published' GROUP BY ALL")
+def _(d):
+    lines = d.lines
+    return tallies.tally(tallies.with_mix(d.published, lines), lines, "mix", "year")
+
+
+@on("tally_by_county", _tally_sql("county, year"))
+def _(d):
+    return tallies.tally(d.published, d.lines, "county", "year")
+
+
+@on("tally_by_landowner_top250", f"{_tally_sql('operator')} ORDER BY gallons DESC NULLS LAST, pounds DESC NULLS LAST, applications DESC, operator LIMIT 250")
+def _(d):
+    return tallies.largest(tallies.tally(d.published, d.lines, "operator"), 250, "operator")
+
+
+@on("tally_adjuvants", _tally_sql("product, year", ", product", "kind = 'adjuvant'"))
+def _(d):
+    return tallies.tally(d.published, d.lines.where("kind = 'adjuvant'"), "product", "year")
+
+
+_JUDGED = """, rated AS (SELECT *, CASE WHEN family IN ('volume', 'mass') AND price > 0 THEN quantity / (price / 1000) END AS rate FROM lines),
+judged AS (SELECT *, coalesce(count(rate) OVER k >= 3 AND rate > 10 * median(rate) OVER k, false) AS held_out FROM rated WINDOW k AS (PARTITION BY upper(product), unit))"""
+
+
+@on("tally_held_out", f"{_JUDGED} SELECT id, line, product, unit, quantity, rate FROM judged WHERE held_out")
+def _(d):
+    return tallies.judged(d.lines, F.col("price") / 1000).where("held_out").select("id", "line", "product", "unit", "quantity", "rate")
+
+
+@on("tally_kept", f"{_JUDGED} SELECT product, unit, count(*) AS lines, count(*) FILTER (held_out) AS held_out, {xsum('CASE WHEN NOT held_out THEN quantity END')} AS kept FROM judged GROUP BY ALL")
+def _(d):
+    kept = exact_sum(F.when(~F.col("held_out"), F.col("quantity"))).alias("kept")
+    return tallies.judged(d.lines, F.col("price") / 1000).groupBy("product", "unit").agg(F.count("*").alias("lines"), F.count_if("held_out").alias("held_out"), kept)
+
+
+@on("tally_unresolved_units", f", x AS (SELECT 1) SELECT unit, {xsum('quantity')} AS amount, count(*) AS lines FROM lines WHERE family = 'unknown' GROUP BY unit")
+def _(d):
+    return tallies.unresolved(d.lines)
+
+
+@on("owner_modal_name", ", c AS (SELECT operator_id, category || ' ' || method AS name, count(*) AS n FROM apps GROUP BY ALL) SELECT operator_id, arg_max(name, row(n, name)) AS name, max(n) AS n FROM c GROUP BY operator_id")
+def _(d):
+    return tallies.modal(d.apps.select("operator_id", F.concat_ws(" ", "category", "method").alias("name")), "operator_id", "name")
+
+
+@on("tally_scope_county", _tally_sql("year", of="status = 'published' AND county = 'NATION_3'"))
+def _(d):
+    return tallies.tally(d.published.where("county = 'NATION_3'"), d.lines, "year")
+
+
+@on("tally_scope_owner", _tally_sql("year", of="status = 'published' AND operator_id = 7"))
+def _(d):
+    return tallies.tally(d.published.where("operator_id = 7"), d.lines, "year")
+
+
+@on("owner_tally_compact", f"""{_per(', ingredient')}, t AS (SELECT operator, ingredient, {_TALLY} FROM apps JOIN per USING (id) WHERE status = 'published' GROUP BY ALL)
+  SELECT *, row_number() OVER (PARTITION BY operator ORDER BY lines DESC, ingredient)::INT AS place FROM t QUALIFY place <= 3""")
+def _(d):
+    return tallies.top_of_each(tallies.tally(d.published, d.lines, "operator", "ingredient"), "operator", "ingredient", 3)
+
+
+@on("top_n_other", f"""{_per(', ingredient')}, t AS (SELECT ingredient, year, {_TALLY} FROM apps JOIN per USING (id) WHERE status = 'published' GROUP BY ALL),
+  top AS (SELECT ingredient FROM t GROUP BY ingredient ORDER BY {xsum('gallons')} DESC NULLS LAST, ingredient LIMIT 5)
+  SELECT year, CASE WHEN ingredient IN (FROM top) THEN ingredient ELSE 'Other' END AS series, {xsum('gallons')} AS gallons FROM t GROUP BY ALL""")
+def _(d):
+    return tallies.folded(tallies.tally(d.published, d.lines, "ingredient", "year"), "year", "ingredient", "gallons", 5)
+
+
+# statistics and the grid
+
+
+@on("stats_headline", f""", x AS (SELECT 1) SELECT count(*) AS applications, coalesce({xsum('acres')}, 0) AS acres, count(*) FILTER (method = 'aerial') AS aerial, count(*) FILTER (method = 'ground') AS ground, min(start) AS first, max(start) AS last,
+  round(count(*) FILTER (method = 'aerial') / count(*) FILTER (method IN ('aerial', 'ground')), 4) AS aerial_share FROM apps WHERE status = 'published'""")
+def _(d):
+    return stats.headline(d.published)
+
+
+@on("stats_chemicals", f", x AS (SELECT 1) SELECT product, {xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, count(*) AS lines, count(*) FILTER (gallons IS NULL AND pounds IS NULL) AS unresolved_lines FROM lines GROUP BY product")
+def _(d):
+    return stats.chemicals(d.lines)
+
+
+def _breakdown(name: str, by: str, of_lines: bool):
+    keyed = f"(SELECT DISTINCT id, {by} FROM lines) JOIN apps USING (id)" if of_lines else "apps"
+
+    @on(name, f", x AS (SELECT 1) SELECT {by}, count(DISTINCT id) AS applications, {xsum('acres')} AS acres FROM {keyed} WHERE status = 'published' GROUP BY {by}")
+    def _(d):
+        return stats.breakdown(d.published, by, d.lines if of_lines else None)
+
+
+for _name, _by, _on_lines in (("county", "county", False), ("year", "year", False), ("applicator", "applicator", True), ("landowner", "operator", False), ("method", "method", False), ("product", "product", True)):
+    _breakdown(f"stats_by_{_name}", _by, _on_lines)
+
+
+@on("stats_sum_distinct_compat", ", x AS (SELECT 1) SELECT product, count(DISTINCT id) AS applications, sum(DISTINCT acres::DECIMAL(28,6))::DOUBLE AS acres FROM apps JOIN (SELECT DISTINCT id, product FROM lines) USING (id) WHERE status = 'published' GROUP BY product")
+def _(d):
+    return stats.breakdown(d.published, "product", d.lines, compat=True)
+
+
+@on("counties_list", f", x AS (SELECT 1) SELECT county, district, count(*) AS applications, min(start) AS first, max(start) AS last, {xsum('acres')} AS acres FROM apps WHERE status = 'published' GROUP BY ALL")
+def _(d):
+    return stats.counties(d.published)
+
+
+_GRID = "id, start, county, operator, method, acres"
+_COLUMNS = _GRID.split(", ")
+
+
+@on("grid_filter_combo", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE status = 'published' AND year = 1996 AND method = 'aerial' AND operator ILIKE '%1%' AND flagged")
+def _(d):
+    return stats.grid(d.published, year=1996, method="aerial", owner="1", flagged=True).select(_COLUMNS)
+
+
+@on("grid_interval_overlap", f", e AS (SELECT id, max(ended) AS ended FROM lines GROUP BY id) SELECT {_GRID}, ended FROM apps JOIN e USING (id) WHERE ended >= DATE '1997-03-01' AND start <= DATE '1997-03-31'")
+def _(d):
+    return stats.grid(d.apps, d.lines, since="1997-03-01", until="1997-03-31").select(*_COLUMNS, "ended")
+
+
+@on("grid_chemical_semijoin", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE status = 'published' AND id IN (SELECT id FROM lines WHERE ingredient ILIKE '%#12%')")
+def _(d):
+    return stats.grid(d.published, d.lines, chemical="#12").select(_COLUMNS)
+
+
+@on("grid_free_text", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE operator ILIKE '%red%' OR county ILIKE '%red%' OR category ILIKE '%red%' OR id IN (SELECT id FROM lines WHERE product ILIKE '%red%')")
+def _(d):
+    return stats.grid(d.apps, d.lines, text="red").select(_COLUMNS)
+
+
+@on("grid_page_desc_nulls_last", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE status = 'published' ORDER BY start DESC NULLS LAST, id LIMIT 25 OFFSET 50")
+def _(d):
+    return stats.page(d.published, 3, 25).select(_COLUMNS)
+
+
+@on("grid_total_count", ", x AS (SELECT 1) SELECT count(*) AS total FROM apps WHERE status = 'published' AND year = 1998 AND method = 'ground'")
+def _(d):
+    return stats.grid(d.published, year=1998, method="ground").agg(F.count("*").alias("total"))
+
+
+@on("application_detail_materials", ", x AS (SELECT 1) SELECT id, string_agg(DISTINCT product, '; ' ORDER BY product) AS products, string_agg(DISTINCT ingredient, '; ' ORDER BY ingredient) AS ingredients, count(*) AS lines FROM lines GROUP BY id")
+def _(d):
+    return stats.detail(d.lines)
+
+
+@on("chemical_page_applications", f", x AS (SELECT 1) SELECT ingredient, count(DISTINCT id) AS applications, count(DISTINCT product) AS products, {xsum('gallons')} AS gallons FROM lines WHERE id IN (SELECT id FROM apps WHERE status = 'published') GROUP BY ingredient")
+def _(d):
+    rows = d.lines.join(d.published.select("id"), "id", "left_semi")
+    return rows.groupBy("ingredient").agg(F.count_distinct("id").alias("applications"), F.count_distinct("product").alias("products"), exact_sum(F.col("gallons")).alias("gallons"))
+
+
+@query("page_clamp", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN least(greatest(c_custkey % 700, 1), 500) WHEN c_custkey % 3 = 1 THEN least(greatest(c_custkey % 700, 1), 50) ELSE 25 END::INT AS size FROM customer")
+def _(spark, sf_dir):
+    tier = F.when(F.col("c_custkey") % 3 == 0, "subscriber").otherwise("public")
+    asked = F.when(F.col("c_custkey") % 3 < 2, (F.col("c_custkey") % 700).cast("int"))
+    return domain.table(spark, sf_dir, "customer").select("c_custkey", stats.page_size(asked, tier).alias("size"))
+
+
+# aggregates by dimension
+
+_AI = "CASE WHEN pounds IS NOT NULL THEN pounds * (percent / 100.0::DOUBLE) WHEN gallons IS NOT NULL THEN gallons * density * (percent / 100.0::DOUBLE) END"
+_SUMS = f"{xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, {xsum(_AI)} AS ai_pounds, count(*) FILTER (gallons IS NULL AND pounds IS NULL) AS ai_gaps, count(*) AS lines"
+_TOTALS = f"""count(*) AS applications, count(*) FILTER (status = 'planned') AS planned, count(*) FILTER (method = 'aerial') AS aerial, {xsum('acres')} AS acres, min(start) AS first, max(start) AS last, count(DISTINCT county) AS counties,
+  count(DISTINCT operator_id) AS operators, {xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, {xsum('ai_pounds')} AS ai_pounds, sum(ai_gaps)::BIGINT AS ai_gaps, sum(lines)::BIGINT AS lines"""
+
+
+def _planned(apps: DataFrame) -> DataFrame:
+    return apps.withColumn("planned", F.col("status") == "planned")
+
+
+def _dimension(name: str, by: str | None, compat: bool = False):
+    on_lines = by in ("product", "applicator")
+    extra = f", {by} AS key" if on_lines and not compat else ""
+    key = "key" if on_lines else f"{by}::VARCHAR AS key" if by else "'all' AS key"
+    keys = f" JOIN (SELECT id, {by} AS key FROM lines) USING (id)" if compat else ""
+
+    @on(name, f", per AS (SELECT id{extra}, {_SUMS} FROM lines GROUP BY ALL) SELECT {key}, {_TOTALS} FROM apps JOIN per USING (id){keys} GROUP BY ALL")
+    def _(d):
+        return agg.aggregate(_planned(d.apps), d.lines, by, compat)
+
+
+for _name, _by in (("none", None), ("county", "county"), ("year", "year"), ("operator", "operator"), ("landowner", "operator_id"), ("applicator", "applicator"), ("method", "method"), ("site_category", "category"), ("district", "district"), ("product", "product")):
+    _dimension(f"agg_{_name}", _by)
+_dimension("agg_product_compat", "product", True)
+
+
+def _leaders(metric: str):
+    @on(f"leaderboard_{metric}", f", per AS (SELECT id, {_SUMS} FROM lines GROUP BY ALL), g AS (SELECT operator AS key, {_TOTALS} FROM apps JOIN per USING (id) GROUP BY ALL) SELECT key, {metric} FROM g ORDER BY {metric} DESC NULLS LAST, key LIMIT 10")
+    def _(d):
+        return agg.leaderboard(agg.aggregate(_planned(d.apps), d.lines, "operator"), metric)
+
+
+for _metric in agg.METRICS:
+    _leaders(_metric)
+
+
+@on("statewide_summary_share", ", c AS (SELECT category, count(*) AS applications FROM apps GROUP BY category) SELECT category, applications, round(applications / (SELECT sum(applications) FROM c), 4) AS share FROM c")
+def _(d):
+    return agg.shares(d.apps, "category")
+
+
+@on("ai_pounds", f", x AS (SELECT 1) SELECT id, line, {_AI} AS ai_pounds, CASE WHEN gallons IS NULL AND pounds IS NULL THEN 'quantity unresolved' END AS gap FROM lines")
+def _(d):
+    ai = units.active_ingredient_pounds(F.col("gallons"), F.col("pounds"), F.col("percent"), F.col("density"))
+    return d.lines.select("id", "line", ai["pounds"].alias("ai_pounds"), ai["gap"].alias("gap"))
+
+
+@on("rollup_cube_grouping_sets", f", x AS (SELECT 1) SELECT district, method, year, count(*) AS applications, {xsum('acres')} AS acres, grouping(district, method, year)::BIGINT AS level FROM apps GROUP BY CUBE (district, method, year)")
+def _(d):
+    return d.apps.cube("district", "method", "year").agg(F.count("*").alias("applications"), exact_sum(F.col("acres")).alias("acres"), F.grouping_id().alias("level"))
+
+
+# scalar rules
+
+_UNITS = ("Gallon", "gal.", "Pounds", "OUNCE (DRY)", "oz", "FL OZ", "Liter", "KG", "each", "", None, "bushel")
+
+
+@query("unit_normalize", f"""WITH u AS (SELECT l_orderkey AS id, l_linenumber AS line, l_quantity AS q, list_extract([{', '.join('NULL' if u is None else f"'{u}'" for u in _UNITS)}], (l_partkey % 12)::INT + 1) AS unit FROM lineitem),
+  k AS (SELECT *, trim(regexp_replace(upper(coalesce(unit, '')), '[^A-Z ]', ' ', 'g')) AS key FROM u)
+  SELECT id, line, unit, CASE WHEN key IN ('GALLON', 'GAL') THEN q WHEN key = 'FL OZ' THEN q * 0.0078125 WHEN key = 'LITER' THEN q * 0.264172::DOUBLE END AS gallons,
+    CASE WHEN key = 'POUNDS' THEN q WHEN key = 'KG' THEN q * 2.20462::DOUBLE END AS pounds, CASE WHEN key IN ('GALLON', 'GAL', 'FL OZ', 'LITER') THEN 'volume' WHEN key IN ('POUNDS', 'KG') THEN 'mass' WHEN key = 'EACH' THEN 'count' ELSE 'unknown' END AS family FROM k""")
+def _(spark, sf_dir):
+    unit = F.get(F.array(*(F.lit(u) for u in _UNITS)), (F.col("l_partkey") % 12).cast("int"))
+    rows = domain.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "l_quantity", unit.alias("unit"))
+    return rows.withColumn("q", units.normalize_quantity(F.col("l_quantity"), F.col("unit"))).select("id", "line", "unit", "q.gallons", "q.pounds", "q.family")
+
+
+_SITE_NAMES = ("FOREST, TMBRLND", "RIGHTS OF WAY", "WATER AREA", "NOXIOUS WEED CONTROL", "GOLF COURSE TURF", "WAREHOUSE", "PASTURE LAND", "ALMOND", "FORESTRY")
+
+
+def _case(text: str, rules) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{k}'" for k, p in rules)
+
+
+@query("site_classify", f"""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '30000-0' ELSE p_size::VARCHAR END AS code, list_extract([{', '.join(f"'{x}'" for x in _SITE_NAMES)}], (p_partkey % 9)::INT + 1) AS name FROM part)
+  SELECT p_partkey, CASE WHEN code LIKE '30000%' THEN 'forestry' ELSE {_case('name', classify.SITE_WORDS)} ELSE 'unknown' END END AS category,
+    CASE WHEN code LIKE '30000%' THEN 'verified' WHEN {_case('name', classify.SITE_WORDS)} END IS NOT NULL THEN 'high' ELSE 'low' END AS confidence FROM s""")
+def _(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, _SITE_NAMES)), (F.col("p_partkey") % 9).cast("int"))
+    code = F.when(F.col("p_partkey") % 11 == 0, "30000-0").otherwise(F.col("p_size").cast("string"))
+    return domain.table(spark, sf_dir, "part").select("p_partkey", classify.site_category(code, name).alias("s")).select("p_partkey", "s.category", "s.confidence")
+
+
+_PRODUCTS = ("HI-LIGHT BLUE INDICATOR", "MSO CONCENTRATE", "DRIFT CONTROL", "DEFOAM", "WATER CONDITIONER", "SPREADER STICKER", "R-11 SPREADER", "UREA 46", "GLYPHOSATE 41", "GOPHER BAIT 50", "STRYCHNINE MILO")
+
+
+@query("adjuvant_classify", f"""WITH p AS (SELECT p_partkey, list_extract([{', '.join(f"'{x}'" for x in _PRODUCTS)}], (p_partkey % 11)::INT + 1) AS name FROM part)
+  SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN {_case('name', classify.ADJUVANT_WORDS)} END END AS type FROM p""")
+def _(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, _PRODUCTS)), (F.col("p_partkey") % 11).cast("int"))
+    return domain.table(spark, sf_dir, "part").select("p_partkey", classify.adjuvant_type(name, None, F.col("p_partkey") % 7 == 0).alias("type"))
+
+
+@query("rodenticide_filter", f"""WITH p AS (SELECT p_partkey, list_extract([{', '.join(f"'{x}'" for x in _PRODUCTS)}], (p_partkey % 11)::INT + 1) AS name FROM part) SELECT p_partkey, name FROM p WHERE NOT (p_partkey % 13 = 0 OR name IN ('GOPHER BAIT 50', 'STRYCHNINE MILO'))""")
+def _(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, _PRODUCTS)), (F.col("p_partkey") % 11).cast("int"))
+    ingredients = F.array(F.when(F.col("p_partkey") % 13 == 0, " Warfarin").otherwise("glyphosate"))
+    rows = domain.table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), ingredients.alias("i"))
+    return rows.where(~classify.is_rodenticide(F.col("i"), F.col("name"))).select("p_partkey", "name")
+
+
+@query("method_normalize", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ground' WHEN 1 THEN 'aerial' WHEN 2 THEN 'aerial' WHEN 3 THEN 'unknown' ELSE 'other' END AS method FROM orders""")
+def _(spark, sf_dir):
+    value = F.get(F.array(F.lit(" Ground"), F.lit("Air/Ground"), F.lit("Helicopter, small"), F.lit(None), F.lit("boat")), (F.col("o_orderkey") % 5).cast("int"))
+    return domain.table(spark, sf_dir, "orders").select("o_orderkey", classify.method(value).alias("method"))
+
+
+@query("company_key", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'WM BEATY & ASSOC' WHEN 1 THEN 'RRF LASSEN PLUMAS' WHEN 2 THEN 'ACME TIMBER SERVICES' ELSE '' END AS key FROM customer""")
+def _(spark, sf_dir):
+    spelled = [F.lit("W.M. Beaty & Associates, Inc."), F.lit("R.R.F. Lassen-Plumas LLC"), F.lit("Acmé Timberlands Svcs & Co."), F.lit(None)]
+    return domain.table(spark, sf_dir, "customer").select("c_custkey", names.company_key(F.get(F.array(*spelled), (F.col("c_custkey") % 4).cast("int"))).alias("key"))
+
+
+@query("company_compare_pairs")
+def _(spark, sf_dir):
+    """Customers of one nation and segment whose names are matches or worth a review; the sequence similarity has no SQL."""
+    c = domain.table(spark, sf_dir, "customer").select("c_custkey", names.company_key(F.col("c_name")).alias("key"), F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("block"))
+    pairs = linkage.candidate_pairs(c, F.col("block"), key="c_custkey")
+    side = lambda p: c.select(F.col("c_custkey").alias(p), F.col("key").alias(f"{p}_key"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", names.company_score(F.col("a_key"), F.col("b_key")).alias("score")).where(F.col("score") >= names.REJECT)
+
+
+_SITE = "lpad((20 + l_orderkey % 31)::VARCHAR, 2, '0') || lpad((l_partkey % 70)::VARCHAR, 2, '0') || lpad((l_suppkey % 41)::VARCHAR, 2, '0')"
+_BOUND = "l_partkey % 70 BETWEEN 1 AND 60 AND l_suppkey % 41 BETWEEN 1 AND 36"
+
+
+def _site_ids(spark, sf_dir) -> DataFrame:
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return domain.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.concat(two(20 + F.col("l_orderkey") % 31), two(F.col("l_partkey") % 70), two(F.col("l_suppkey") % 41)).alias("site_id"))
+
+
+_MTRS = "'M' || substr(s, 1, 2) || 'N' || substr(s, 3, 2) || 'E' || substr(s, 5, 2)"
+
+
+@query("site_id_decode", f"WITH x AS (SELECT l_orderkey, l_linenumber, {_SITE} AS s, {_BOUND} AND 20 + l_orderkey % 31 <= 48 AS ok FROM lineitem) SELECT l_orderkey, l_linenumber, s AS site_id, CASE WHEN ok THEN {_MTRS} END AS mtrs, CASE WHEN ok THEN 'medium' END AS confidence FROM x")
+def _(spark, sf_dir):
+    rows = _site_ids(spark, sf_dir).withColumn("s", sites.decode_site_id(F.col("site_id")))
+    return rows.select("l_orderkey", "l_linenumber", "site_id", F.when(F.col("s").isNotNull(), sites.mtrs(F.col("s"))).alias("mtrs"), F.col("s.confidence").alias("confidence"))
+
+
+@query("mtrs_parse", f"WITH x AS (SELECT l_orderkey, l_linenumber, {_SITE} AS s, {_BOUND} AND 20 + l_orderkey % 31 <= 48 AS ok FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN {_MTRS} END AS mtrs, CASE WHEN ok THEN CASE WHEN s LIKE '%0%' THEN 'high' ELSE 'verified' END END AS confidence FROM x")
+def _(spark, sf_dir):
+    s = F.translate("site_id", "0", "O")
+    text = F.concat(F.lit("m"), s.substr(1, 2), F.lit("N "), s.substr(3, 2), F.lit("E"), s.substr(5, 2))
+    rows = _site_ids(spark, sf_dir).withColumn("s", sites.parse_mtrs(text))
+    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("s").isNotNull(), sites.mtrs(F.col("s"))).alias("mtrs"), F.col("s.confidence").alias("confidence"))
+
+
+@query("site_cross_check", f"WITH x AS (SELECT l_suppkey, {_BOUND} AND 20 + l_orderkey % 31 <= 48 AS ok FROM lineitem) SELECT CASE WHEN NOT ok THEN CASE WHEN l_suppkey % 3 = 0 THEN 'none' ELSE 'mtrs_only' END WHEN l_suppkey % 3 = 0 THEN 'site_only' ELSE 'conflict' END AS result, count(*) AS n FROM x GROUP BY ALL")
+def _(spark, sf_dir):
+    other = F.when(F.col("l_suppkey") % 3 != 0, "M19N01E01")
+    return _site_ids(spark, sf_dir).groupBy(sites.cross_check(sites.decode_site_id(F.col("site_id")), sites.parse_mtrs(other)).alias("result")).agg(F.count("*").alias("n"))
+
+
+@query("section_adjacency", "SELECT n_nationkey, n_nationkey % 36 + 1 IN (1, 2, 3, 10, 11, 12) AS near FROM nation")
+def _(spark, sf_dir):
+    at = lambda section: sites.site(F.lit("M"), F.lit(30), F.lit("N"), F.lit(10), F.lit("E"), section.cast("int"), F.lit("high"))
+    return domain.table(spark, sf_dir, "nation").select("n_nationkey", sites.adjacent(at(F.col("n_nationkey") % 36 + 1), at(F.lit(2))).alias("near"))
+
+
+# files and pages
+
+
+@query("dedupe_by_sha256", "SELECT doc_id, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id)::INT AS copy FROM documents")
+def _(spark, sf_dir):
+    files = domain.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return linkage.first_copies(files, "doc_id", F.col("sha"))
+
+
+@query("format_detect_scores", """WITH s AS (SELECT doc_id, (CASE WHEN contains(text, 'License') THEN 0.6 ELSE 0 END + CASE WHEN contains(text, '|') THEN 0.2 ELSE 0 END)::DOUBLE AS permit, (CASE WHEN regexp_matches(text, '[0-9]{3}') THEN 0.35 ELSE 0 END)::DOUBLE AS form FROM documents)
+  SELECT doc_id, permit, form, CASE WHEN greatest(permit, form) < 0.3 THEN 'unknown' WHEN permit >= form THEN 'permit' ELSE 'form' END AS detected FROM s""")
+def _(spark, sf_dir):
+    permit = F.when(F.contains("text", F.lit("License")), 0.6).otherwise(0.0) + F.when(F.contains("text", F.lit("|")), 0.2).otherwise(0.0)
+    form = F.when(F.col("text").rlike("[0-9]{3}"), 0.35).otherwise(0.0)
+    rows = domain.table(spark, sf_dir, "documents").select("doc_id", permit.alias("permit"), form.alias("form"))
+    return rows.withColumn("detected", F.when(F.greatest("permit", "form") < 0.3, "unknown").when(F.col("permit") >= F.col("form"), "permit").otherwise("form"))
+
+
+@query("html_title_href_host", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::INT AS hrefs,
+  regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages""")
+def _(spark, sf_dir):
+    return domain.table(spark, sf_dir, "pages").select("page_id", web.html_title(F.col("html")).alias("title"), F.size(web.html_hrefs(F.col("html"))).alias("hrefs"), web.url_host(F.col("url")).alias("host"))
+
+
+@query("policy_email", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))), '; ') AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')""")
+def _(spark, sf_dir):
+    found = F.array_sort(F.array_distinct(web.emails(F.col("text"))))
+    return domain.table(spark, sf_dir, "documents").select("doc_id", found.alias("e")).where(F.size("e") > 0).select("doc_id", F.array_join("e", "; ").alias("emails"))
+
+
+@query("header_map", """SELECT field, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'action' WHEN 'view' THEN 'action' WHEN 'purchase' THEN 'sale' END AS field FROM events) WHERE field IS NOT NULL GROUP BY field""")
+def _(spark, sf_dir):
+    synonyms = spark.createDataFrame([("click", "action"), ("view", "action"), ("purchase", "sale")], "label string, field string")
+    e = domain.table(spark, sf_dir, "events").select(F.lower(F.trim("event_type")).alias("label"))
+    return e.join(F.broadcast(synonyms), "label").groupBy("field").agg(F.count("*").alias("n"))
+
+
+@query("unique_slugs", """WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS i FROM s) SELECT p_partkey, CASE WHEN i = 1 THEN base ELSE base || '-' || i::VARCHAR END AS slug FROM n""")
+def _(spark, sf_dir):
+    rows = linkage.first_copies(domain.table(spark, sf_dir, "part").select("p_partkey", names.slug(F.col("p_name")).alias("base")), "p_partkey", F.col("base"))
+    return rows.select("p_partkey", F.when(F.col("copy") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("copy").cast("string"))).alias("slug"))
+
+
+# record linkage
+
+
+def _records(d: _Of) -> DataFrame:
+    per = d.lines.groupBy("id").agg(F.max("ended").alias("ended"), F.array_sort(F.collect_set("product_id")).alias("products"), F.min("applicator").alias("applicator"), F.min("record_kind").alias("kind"))
+    return d.apps.join(per, "id").select("id", F.col("operator").alias("owner"), "kind", "start", "ended", "applicator", "products", F.lit(None).cast("int").alias("place"), "year", "operator_id")
+
+
+_RECORDS = """, rec AS (SELECT id, operator AS owner, kind, start, ended, applicator, year, operator_id FROM apps JOIN (SELECT id, max(ended) AS ended, min(applicator) AS applicator, min(record_kind) AS kind FROM lines GROUP BY id) USING (id)),
+cand AS (SELECT a.id AS a, b.id AS b, a.owner AS ao, b.owner AS bo, a.kind AS ak, b.kind AS bk, a.applicator AS aa, b.applicator AS ba, least(abs(a.start - b.start), abs(a.start - b.ended), abs(a.ended - b.start)) AS gap FROM rec a JOIN rec b ON a.operator_id = b.operator_id AND a.year = b.year AND a.id < b.id),
+shared AS (SELECT DISTINCT x.id AS a, y.id AS b FROM lines x JOIN lines y ON x.product_id = y.product_id AND x.id < y.id),
+points AS (SELECT c.a, c.b, ak, bk, gap, (CASE WHEN ao = bo THEN 40 ELSE 0 END + CASE WHEN gap <= 1 THEN 25 ELSE 0 END + CASE WHEN aa = ba THEN 10 ELSE 0 END + CASE WHEN s.a IS NOT NULL THEN 10 ELSE 0 END)::INT AS score FROM cand c LEFT JOIN shared s ON c.a = s.a AND c.b = s.b),
+scores AS (SELECT a, b, score, CASE WHEN ak <> bk THEN 'separate' WHEN score >= 75 AND gap <= 1 THEN 'auto' WHEN score >= 45 AND gap <= 1 THEN 'review' ELSE 'separate' END AS outcome FROM points)
+"""
+
+
+def _pairs(records: DataFrame) -> DataFrame:
+    return linkage.candidate_pairs(records, F.concat_ws("/", F.col("operator_id").cast("string"), F.col("year").cast("string")))
+
+
+@on("candidate_pairs", f"{_RECORDS} SELECT a, b FROM cand")
+def _(d):
+    return _pairs(_records(d))
+
+
+@on("pair_scores", f"{_RECORDS} SELECT a, b, score, outcome FROM scores")
+def _(d):
+    records = _records(d)
+    return linkage.scored(_pairs(records), records)
+
+
+_EDGES = """, edges AS (SELECT x.id AS a, y.id AS b FROM apps x JOIN apps y ON x.operator_id = y.operator_id AND x.year = y.year AND x.id < y.id AND abs(x.start - y.start) <= 30), near AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges)"""
+_COMPONENTS = f"""WITH RECURSIVE {domain.SQL}{_EDGES}, walk AS (SELECT id, id AS reached FROM apps UNION SELECT walk.id, near.b FROM walk JOIN near ON walk.reached = near.a), comp AS (SELECT id, min(reached) AS component FROM walk GROUP BY id)"""
+
+
+def _components(d: _Of) -> DataFrame:
+    apps = d.apps.select("id", "operator_id", "year", "start")
+    side = lambda p: apps.select(*(F.col(c).alias(f"{p}_{c}") for c in apps.columns))
+    x = side("a").join(side("b"), F.expr("a_operator_id = b_operator_id and a_year = b_year and a_id < b_id")).where(F.abs(F.datediff("a_start", "b_start")) <= 30)
+    return linkage.components(x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), apps.select("id"))
+
+
+@on("components", f"{_COMPONENTS} SELECT id, component FROM comp")
+def _(d):
+    return _components(d)
+
+
+@on("cluster_summary", f"""{_COMPONENTS} SELECT component, count(*) AS records, min(start) AS first, max(start) AS last, {xsum('acres')} AS acres, CASE WHEN bool_or(method = 'aerial') THEN 'aerial' ELSE min(method) END AS method, count(DISTINCT method) > 1 AS mixed, bool_and(status = 'planned') AS planned, min(county) AS county, CASE WHEN count(*) > 1 THEN 'high' ELSE 'verified' END AS confidence FROM comp JOIN apps USING (id) GROUP BY component""")
+def _(d):
+    return linkage.clusters(_components(d).join(d.apps, "id"))
+
+
+@on("cluster_proposals", f"""{_RECORDS.replace(', rec AS', ', rec AS', 1)}, comp AS (SELECT id, min(id) OVER (PARTITION BY operator_id, start) AS component FROM apps)
+  SELECT least(x.component, y.component) AS low, greatest(x.component, y.component) AS high, count(*) AS pairs, max(score) AS score FROM scores JOIN comp x ON a = x.id JOIN comp y ON b = y.id WHERE outcome = 'review' AND x.component <> y.component GROUP BY ALL""")
+def _(d):
+    from pyspark.sql import Window
+
+    records = _records(d)
+    labels = d.apps.select("id", F.min("id").over(Window.partitionBy("operator_id", "start")).alias("component"))
+    return linkage.proposals(linkage.scored(_pairs(records), records), labels)
+
+
+@on("duplicate_records", ", x AS (SELECT 1) SELECT p.id AS a, q.id AS b FROM apps p JOIN apps q ON p.county = q.county AND p.method = q.method AND p.start = q.start AND p.id < q.id AND (p.operator_id = q.operator_id OR p.category = q.category AND abs(p.acres - q.acres) <= 600)")
+def _(d):
+    return linkage.duplicate_records(d.apps)
+
+
+# chemistry
+
+_LEVELS = "CASE WHEN ingredient IN ('Brand#11', 'Brand#12') THEN 'red' WHEN ingredient LIKE 'Brand#2%' THEN 'orange' WHEN ingredient LIKE 'Brand#3%' THEN 'yellow' END"
+
+
+def _flags(d: _Of) -> DataFrame:
+    i = F.col("ingredient")
+    level = F.when(i.isin("Brand#11", "Brand#12"), "red").when(i.startswith("Brand#2"), "orange").when(i.startswith("Brand#3"), "yellow")
+    return d.lines.select("id", "ingredient", level.alias("level")).where("level is not null").distinct().withColumn("rank", F.array_position(F.array(F.lit("red"), F.lit("orange"), F.lit("yellow")), F.col("level")))
+
+
+@on("flags_by_cluster", f", f AS (SELECT DISTINCT id, ingredient, {_LEVELS} AS level FROM lines) SELECT id, count(*) AS flags, count(*) FILTER (level = 'red') AS red, count(*) FILTER (level = 'orange') AS orange, count(*) FILTER (level = 'yellow') AS yellow FROM f WHERE level IS NOT NULL GROUP BY id")
+def _(d):
+    return _flags(d).groupBy("id").agg(F.count("*").alias("flags"), *(F.count_if(F.col("level") == x).alias(x) for x in ("red", "orange", "yellow")))
+
+
+@on("flag_headline", f", f AS (SELECT DISTINCT id, ingredient, {_LEVELS} AS level FROM lines) SELECT id, arg_min(level, row(CASE level WHEN 'red' THEN 1 WHEN 'orange' THEN 2 ELSE 3 END, ingredient)) AS level, arg_min(ingredient, row(CASE level WHEN 'red' THEN 1 WHEN 'orange' THEN 2 ELSE 3 END, ingredient)) AS ingredient FROM f WHERE level IS NOT NULL GROUP BY id")
+def _(d):
+    first = F.struct("rank", "ingredient")
+    return _flags(d).groupBy("id").agg(F.min_by("level", first).alias("level"), F.min_by("ingredient", first).alias("ingredient"))
+
+
+@query("product_resolution", """SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 = 0 THEN p.p_brand WHEN p.p_partkey % 3 = 1 THEN p.p_type END AS resolved, CASE p.p_partkey % 3 WHEN 0 THEN 'provider' WHEN 1 THEN 'seed' ELSE 'unresolved' END AS source FROM part p""")
+def _(spark, sf_dir):
+    part = domain.table(spark, sf_dir, "part")
+    provider = part.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_brand").alias("provided"))
+    seed = part.where("p_partkey % 3 < 2").select("p_partkey", F.col("p_type").alias("seeded"))
+    rows = part.select("p_partkey").join(provider, "p_partkey", "left").join(seed, "p_partkey", "left")
+    return rows.select("p_partkey", F.coalesce("provided", "seeded").alias("resolved"), F.when(F.col("provided").isNotNull(), "provider").when(F.col("seeded").isNotNull(), "seed").otherwise("unresolved").alias("source"))
+
+
+# report card
+
+
+def _card(d: _Of) -> tuple[DataFrame, DataFrame]:
+    ended = d.lines.groupBy("id").agg(F.max("ended").alias("ended"))
+    apps = d.apps.join(ended, "id", "left").withColumn("priority", F.col("flagged"))
+    v, n, seg = F.col("visitor"), d.table("nation"), ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    e = d.views.select(F.pmod("visitor", F.lit(25)).cast("int").alias("k"), F.get(F.array(*map(F.lit, seg)), F.pmod("event_id", F.lit(5)).cast("int")).alias("category"), F.date_sub("day", 365 * 26).alias("base"), F.pmod("event_id", F.lit(2000)).cast("int").alias("shift"), F.pmod(v, F.lit(3)).cast("int").alias("violations"))
+    i = e.join(F.broadcast(n.select("n_nationkey", F.col("n_name").alias("county"))), F.col("k") == F.col("n_nationkey")).select("county", "category", F.date_sub(F.lit("2001-06-01").cast("date"), F.col("shift")).alias("day"), "violations")
+    return apps, i
+
+
+_CARD = """, apps2 AS (SELECT apps.*, ended, flagged AS priority FROM apps LEFT JOIN (SELECT id, max(ended) AS ended FROM lines GROUP BY id) USING (id)),
+insp AS (SELECT n_name AS county, list_extract(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], (event_id % 5)::INT + 1) AS category, DATE '2001-06-01' - (event_id % 2000)::INT AS day, (user_id % 3)::INT AS violations FROM events JOIN nation ON user_id % 25 = n_nationkey),
+seen AS (SELECT DISTINCT id FROM apps2 a JOIN insp i ON a.county = i.county AND a.category = i.category AND i.day >= a.start - 1 AND i.day <= coalesce(a.ended, a.start) + 1)
+"""
+_METRICS = f""", am AS (SELECT county, year, count(*) AS applications, count(*) FILTER (priority) AS priority, count(*) FILTER (priority AND seen.id IS NOT NULL) AS priority_inspected, {xsum('acres')} AS acres FROM apps2 LEFT JOIN seen USING (id) GROUP BY ALL),
+im AS (SELECT county, year(day)::INT AS year, count(*) AS inspections, sum(CASE WHEN violations > 0 THEN greatest(violations, 1) ELSE 0 END)::BIGINT AS violations FROM insp GROUP BY ALL),
+metrics AS (SELECT county, year, coalesce(applications, 0) AS applications, coalesce(priority, 0) AS priority, coalesce(priority_inspected, 0) AS priority_inspected, coalesce(acres, 0) AS acres, coalesce(inspections, 0) AS inspections, coalesce(violations, 0) AS violations FROM am FULL JOIN im USING (county, year)),
+graded AS (SELECT *, CASE WHEN county LIKE '%7' THEN 'requested' ELSE 'obtained' END AS records, round(CASE WHEN priority > 0 THEN priority_inspected / priority END, 6) AS coverage,
+  CASE WHEN county LIKE '%7' OR priority = 0 THEN NULL WHEN priority_inspected / priority >= 0.5 THEN 'A' WHEN priority_inspected / priority >= 0.3 THEN 'B' WHEN priority_inspected / priority >= 0.15 THEN 'C' WHEN priority_inspected / priority >= 0.0001 THEN 'D' ELSE 'F' END AS letter FROM metrics)
+"""
+
+
+def _metrics(d: _Of) -> DataFrame:
+    return reportcard.year_metrics(*_card(d))
+
+
+def _graded(d: _Of) -> DataFrame:
+    return reportcard.graded(_metrics(d).withColumn("records", F.when(F.col("county").endswith("7"), "requested").otherwise("obtained")))
+
+
+@on("reportcard_interval_match", f"{_CARD} SELECT id FROM seen")
+def _(d):
+    return reportcard.inspected(*_card(d))
+
+
+@on("reportcard_year_metrics", f"{_CARD}{_METRICS} SELECT * FROM metrics")
+def _(d):
+    return _metrics(d)
+
+
+@on("reportcard_grade", f"{_CARD}{_METRICS} SELECT county, year, coverage, letter FROM graded")
+def _(d):
+    return _graded(d).select("county", "year", "coverage", "letter")
+
+
+@on("reportcard_ranking", f"{_CARD}{_METRICS} SELECT county, arg_max(letter, year) FILTER (letter IS NOT NULL) AS letter, max(year) FILTER (letter IS NOT NULL) AS year, coalesce(list_position(['F', 'D', 'C', 'B', 'A'], arg_max(letter, year) FILTER (letter IS NOT NULL)), 6)::INT AS place FROM graded GROUP BY county")
+def _(d):
+    return reportcard.ranking(_graded(d))
+
+
+# traffic
+
+_COUNTED = "count(*) AS views, count(DISTINCT (visitor, day)) AS visitors"
+
+
+@on("traffic_windows", f", x AS (SELECT 1) SELECT days, {_COUNTED} FROM views, (SELECT unnest([1, 7, 30])::INT AS days) WHERE day > DATE '2024-01-30' - days AND day <= DATE '2024-01-30' GROUP BY days")
+def _(d):
+    return traffic.windows(d.views, "2024-01-30")
+
+
+@on("traffic_per_day_zero_filled", f", spine AS (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-10', INTERVAL 1 DAY))::DATE AS day), c AS (SELECT day, {_COUNTED} FROM views GROUP BY day) SELECT day, coalesce(views, 0) AS views, coalesce(visitors, 0) AS visitors FROM spine LEFT JOIN c USING (day)")
+def _(d):
+    return traffic.per_day(d.views, "2023-12-25", "2024-02-10")
+
+
+def _top(name: str, by: str, n: int):
+    @on(name, f", x AS (SELECT 1) SELECT {by}, {_COUNTED} FROM views WHERE {by} IS NOT NULL GROUP BY {by} ORDER BY views DESC, {by} LIMIT {n}")
+    def _(d):
+        return traffic.top(d.views, by, n)
+
+
+_top("traffic_top_paths", "path", 15)
+_top("traffic_referrers", "k", 10)
+_top("traffic_countries", "country", 10)
+
+
+@query("bot_filter", "SELECT event_id FROM events WHERE user_id % 4 = 1")
+def _(spark, sf_dir):
+    agents = F.array(F.lit("Googlebot/2.1 (+http://x)"), F.lit("Mozilla/5.0 (X11; Linux)"), F.lit(None), F.lit("short"))
+    e = domain.table(spark, sf_dir, "events").select("event_id", F.get(agents, F.pmod("user_id", F.lit(4)).cast("int")).alias("agent"))
+    return e.where(~web.is_bot(F.col("agent"))).select("event_id")
+
+
+@query("referrer_host", "SELECT page_id, CASE WHEN h NOT IN ('', 'ththth.example.net') THEN h END AS host FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS h FROM pages)")
+def _(spark, sf_dir):
+    return domain.table(spark, sf_dir, "pages").select("page_id", web.referrer_host(F.col("url"), "www.ththth.example.net").alias("host"))
+
+
+@query("clean_path", "SELECT page_id, left(CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END, 512) AS path FROM (SELECT page_id, regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^[^?#]*') AS p FROM pages)")
+def _(spark, sf_dir):
+    return domain.table(spark, sf_dir, "pages").select("page_id", web.clean_path(F.regexp_replace("url", "^[a-z]+://[^/]*", "")).alias("path"))
+
+
+@query("visitor_hash", "SELECT event_id, left(sha256('s3|' || strftime(ts::DATE, '%Y-%m-%d') || '|10.0.0.' || (user_id % 250)::VARCHAR || '|' || event_type), 32) AS visitor FROM events")
+def _(spark, sf_dir):
+    ip = F.concat(F.lit("10.0.0."), F.pmod("user_id", F.lit(250)).cast("string"))
+    return domain.table(spark, sf_dir, "events").select("event_id", web.visitor_hash(ip, F.col("event_type"), F.to_date("ts"), "s3").alias("visitor"))
+
+
+@query("rate_limit_sliding", "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <= 2 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts::TIMESTAMP)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+def _(spark, sf_dir):
+    e = domain.table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("second", "ts").alias("ts"))
+    return traffic.within_limit(e, "user_id", 3600, 2).select("event_id", "recent", "allowed")
+
+
+@query("budget_counter", "SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id)::INT AS used, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) <= 500 AS granted FROM events WHERE event_type = 'purchase'")
+def _(spark, sf_dir):
+    calls = domain.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return traffic.within_budget(calls, 500, "ts", "event_id").select("event_id", "used", "granted")
+
+
+@query("incremental_window", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN DATE '1996-01-01' ELSE greatest(o_orderdate::DATE - 14, DATE '1996-01-01') END AS since FROM orders")
+def _(spark, sf_dir):
+    last = F.when(F.col("o_orderkey") % 10 != 0, F.to_date("o_orderdate"))
+    return domain.table(spark, sf_dir, "orders").select("o_orderkey", traffic.incremental_window(last, 14, "1996-01-01").alias("since"))
+
+
+# administration
+
+
+@on("queue_counts", ", x AS (SELECT 1) SELECT status, method, count(*) AS n FROM apps WHERE status <> 'published' GROUP BY ALL")
+def _(d):
+    return d.apps.where("status <> 'published'").groupBy("status", "method").agg(F.count("*").alias("n"))
+
+
+@on("status_counts", ", x AS (SELECT 1) SELECT status, count(*) AS n FROM apps GROUP BY ALL")
+def _(d):
+    return d.apps.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("permits_in_force", """WITH p AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS valid_from, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE + 365 END AS expires FROM orders),
+  f AS (SELECT *, coalesce(valid_from, DATE '0001-01-01') <= DATE '1998-06-30' AND DATE '1998-06-30' <= coalesce(expires, DATE '9999-12-31') AS ok FROM p) SELECT o_custkey, o_orderkey, ok FROM f QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY o_custkey)""")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    day = F.lit("1998-06-30").cast("date")
+    p = domain.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("since"), F.when(F.col("o_orderkey") % 4 != 0, F.date_add("o_orderdate", 365)).alias("expires"))
+    p = p.withColumn("ok", (F.coalesce("since", F.lit("0001-01-01").cast("date")) <= day) & (day <= F.coalesce("expires", F.lit("9999-12-31").cast("date"))))
+    return p.withColumn("any", F.bool_or("ok").over(Window.partitionBy("o_custkey"))).where("ok or not any").select("o_custkey", "o_orderkey", "ok")
+
+
+@query("officials_history", "SELECT o_custkey, o_orderkey, o_orderdate::DATE AS started, lead(o_orderdate::DATE) OVER w AS ended, lead(o_orderkey) OVER w IS NULL AS current FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = domain.table(spark, sf_dir, "orders")
+    return o.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("started"), F.lead(F.to_date("o_orderdate")).over(w).alias("ended"), F.lead("o_orderkey").over(w).isNull().alias("current"))
+
+
+# places: points made of customers' numbers
+
+_POINTS = "SELECT c_custkey AS id, 32.5 + (c_custkey * 7919 % 9500) / 1000.0::DOUBLE AS lat, -124.4 + (c_custkey * 104729 % 10300) / 1000.0::DOUBLE AS lon FROM customer"
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return domain.table(spark, sf_dir, "customer").select(k.alias("id"), (32.5 + (k * 7919 % 9500) / F.lit(1000.0)).alias("lat"), (-124.4 + (k * 104729 % 10300) / F.lit(1000.0)).alias("lon"))
+
+
+@query("radius_search", f"""WITH p AS ({_POINTS}), m AS (SELECT id, 2 * {geo.EARTH_M} / {geo.MILE_M} * asin(least(1.0, sqrt(pow(sin(radians(lat - 38.5) / 2), 2) + cos(radians(38.5)) * cos(radians(lat)) * pow(sin(radians(lon + 121.5) / 2), 2)))) AS miles FROM p)
+  SELECT id, round(miles, 3) AS miles FROM m WHERE miles <= 50 ORDER BY miles, id LIMIT 1000""")
+def _(spark, sf_dir):
+    return geo.radius(_points(spark, sf_dir), 38.5, -121.5, 80).select("id", "miles")
+
+
+@query("bbox_filter", f"SELECT id, lat, lon FROM ({_POINTS}) WHERE lon BETWEEN -122 AND -120 AND lat BETWEEN 37 AND 39")
+def _(spark, sf_dir):
+    return geo.in_box(_points(spark, sf_dir), -122, 37, -120, 39).select("id", "lat", "lon")
+
+
+@query("feature_layer_precedence", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'parcel' WHEN c_custkey % 3 = 0 THEN 'project' ELSE 'section' END AS layer FROM customer")
+def _(spark, sf_dir):
+    c = domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return geo.by_precedence(*(c.where(F.col("id") % n == 0).withColumn("layer", F.lit(x)) for x, n in (("parcel", 5), ("project", 3), ("section", 1))))
+
+
+@query("missing_sections_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)")
+def _(spark, sf_dir):
+    have = domain.table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return domain.table(spark, sf_dir, "part").select("p_partkey").join(have, "p_partkey", "left_anti")
+
+
+# streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrat.streaming import incremental
+
+    return incremental.file_stream(spark, f"{sf_dir}/events.parquet")
+
+
+@query("stream_daily_views", "SELECT ts::DATE AS day, count(*) AS views FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    from quadrat.streaming import incremental
+
+    return incremental.run_now(incremental.daily_views(_stream(spark, sf_dir)), "complete")
+
+
+@query("stream_dedupe_watermark", "SELECT event_type, count(DISTINCT (user_id, ts::DATE)) AS visits FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    from quadrat.streaming import incremental
+
+    visits = incremental.run_now(incremental.daily_visits(_stream(spark, sf_dir)), "append")
+    return visits.groupBy("event_type").agg(F.count("*").alias("visits"))
