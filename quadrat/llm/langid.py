@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, buffers, chunks, mix
+from .kernel import U, chunks, mix
+from .spill import bounded_batches
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -94,6 +95,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Fit filters on docs (doc_id, text, lang) outside the held-out fold; rows without text, language or doc_id are left out. No rows give filters of no language."""
+    bounded_batches(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -177,6 +179,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     training language and score 0. score: the language's part of the corrected
     popcounts of all. Rows are judged one by one; repeated rows repeat.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(filters)), f"row {kind}, lang_pred string, score double")
     return out.withColumnRenamed("row", "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -184,6 +187,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def keep_known(docs: DataFrame, filters: Filters, least: float = 0.0) -> DataFrame:
     """docs without those of no known language: `und`, or a score below ``least`` or 0. Columns stay as they are, whatever their names."""
+    bounded_batches(docs.sparkSession)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = docs.select(row.alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
@@ -191,4 +195,4 @@ def keep_known(docs: DataFrame, filters: Filters, least: float = 0.0) -> DataFra
     return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= least)).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
-__all__ = ["Filters", "buffers", "held_out", "keep_known", "popcounts", "predict", "train"]
+__all__ = ["Filters", "held_out", "keep_known", "popcounts", "predict", "train"]

@@ -113,7 +113,7 @@ WITH sized AS (
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 ), placed AS (
   SELECT *, ('0x' || substr(md5(concat_ws(':', '{SEED}', coalesce(source, ''), s::VARCHAR)), 1, 12))::BIGINT / {_UNIT} AS start,
-    row_number() OVER (PARTITION BY source, s ORDER BY size, doc_id) AS at, rate - floor(rate) AS part FROM dealt
+    row_number() OVER (PARTITION BY source, s ORDER BY size, doc_id) AS spot, rate - floor(rate) AS part FROM dealt
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + floor(start + part * at) - floor(start + part * (at - 1))))::BIGINT AS taken FROM placed
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + floor(start + part * spot) - floor(start + part * (spot - 1))))::BIGINT AS taken FROM placed
 """

@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from .bitmaps import FILTER_BITS, bitmap, has
 from .components import components
 from .kernel import LOWER, U, Words, chunks, mix, signed
-from .spill import partitions, written
+from .spill import bounded_batches, partitions, written
 
 N = 3
 PERCENT = 90
+#: Cells that a task holds before it sends them.
+PACK = 400_000
 
 
 def _set_of(words: Words, grams: np.ndarray, row: int, n: int) -> np.ndarray:
@@ -106,23 +108,26 @@ def _packed(cid: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int) -> It
 
 
 def _text_cells(n: int, share: int, buckets: int):
-    """Cells of texts, of one residue class of the shingles."""
+    """Cells of texts, of one residue class of the shingles, packed by about PACK of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, docs, hs, held = [], [], [], 0
         for b in batches:
-            cids, docs, hs, before = [], [], [], 0
             for i, j, data, at in chunks(b.column(0)):
                 w = Words(data, at, case=LOWER)
                 grams = w.grams(n)
                 for row in range(j - i):
                     g = _set_of(w, grams, row, n)
+                    h = g[g % U(share) == 0]
+                    docs.append(np.full(len(h), len(cids), np.int32))
                     cids.append(_digests(g)[0])
-                    g = g[g % U(share) == 0]
-                    hs.append(g)
-                    docs.append(np.full(len(g), before + row))
-                before += j - i
-            if hs:
-                yield from _packed(signed(np.array(cids, U)), np.concatenate(docs), np.concatenate(hs), buckets)
+                    hs.append(h)
+                    held += len(h)
+                if held > PACK:
+                    yield from _packed(signed(np.array(cids, U)), np.concatenate(docs), np.concatenate(hs), buckets)
+                    cids, docs, hs, held = [], [], [], 0
+        if hs:
+            yield from _packed(signed(np.array(cids, U)), np.concatenate(docs), np.concatenate(hs), buckets)
 
     return run
 
@@ -215,6 +220,7 @@ def _verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
 def classes_and_links(docs: DataFrame, n: int = N, percent: int = PERCENT, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles, classes, labels): per row doc_id, n, cid; per set cid, rep; per linked set node, label."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     share = max(1, 60 // max(1, 100 - percent))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import FILTER_BITS, bitmap, has
 from .kernel import U, Words, buffers, chunks, mix, signed, sliding_min
-from .spill import partitions, scratch, written
+from .spill import bounded_batches, partitions, scratch, written
 
 WIDTH = 35
 #: An anchor of more rows than this goes by single windows.
@@ -201,6 +201,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS
     their anchors only, so pass ``docs`` of all batches whose repeats matter.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("text", "rid")
     index = index or FingerprintIndex(spark)
     index.append(docs.select("text").mapInArrow(_anchor_rows(width), "fp long"))
