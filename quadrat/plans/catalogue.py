@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.functions import classify, names, sites, units, web
+from quadrat.functions import classify, finder, names, policy, sites, units, web
 from quadrat.operators import aggregate as agg
-from quadrat.operators import geo, linkage, reportcard, stats, tallies, traffic
+from quadrat.operators import chemistry, geo, linkage, overlay, reportcard, stats, tallies, traffic
 from quadrat.plans import domain
 from quadrat.plans.domain import exact_sum, xsum
 
@@ -763,3 +763,74 @@ def _(spark, sf_dir):
 
     visits = incremental.run_now(incremental.daily_visits(_stream(spark, sf_dir)), "append")
     return visits.groupBy("event_type").agg(F.count("*").alias("visits"))
+
+
+# decisions of people, policy and wording
+
+
+@query("policy_fact", """WITH f AS (SELECT c_custkey, list_extract(['business_email', 'professional_photo', 'owner_mailing_address', 'license_number', 'personal_phone', 'hobby'], (c_custkey % 6)::INT + 1) AS kind, list_extract(['jo@gmail.com', 'info@acme.com', 'jo@acme.com', 'nobody'], (c_custkey // 6 % 4)::INT + 1) AS v, c_custkey % 2 = 0 AS biz FROM customer)
+  SELECT c_custkey, CASE kind WHEN 'business_email' THEN CASE WHEN v IN ('jo@gmail.com', 'nobody') THEN 'restricted' WHEN v LIKE 'info@%' OR biz THEN 'public' ELSE 'review' END WHEN 'professional_photo' THEN 'review' WHEN 'owner_mailing_address' THEN CASE WHEN biz THEN 'review' ELSE 'restricted' END
+    WHEN 'license_number' THEN 'public' WHEN 'personal_phone' THEN 'restricted' ELSE 'review' END AS disposition FROM f""")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    kind = pick(("business_email", "professional_photo", "owner_mailing_address", "license_number", "personal_phone", "hobby"), k % 6)
+    value = pick(("jo@gmail.com", "info@acme.com", "jo@acme.com", "nobody"), F.floor(k / 6) % 4)
+    return domain.table(spark, sf_dir, "customer").select("c_custkey", policy.fact_disposition(kind, value, k % 2 == 0).alias("disposition"))
+
+
+@query("land_manager", """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'national_forest' WHEN 1 THEN 'blm' WHEN 2 THEN 'not_public' WHEN 3 THEN 'other' ELSE 'not_public' END AS category, CASE n_nationkey % 5 WHEN 0 THEN n_name || ' National Forest' WHEN 1 THEN n_name WHEN 3 THEN n_name END AS unit FROM nation""")
+def _(spark, sf_dir):
+    code = F.get(F.array(F.lit("usfs"), F.lit("BLM"), F.lit("UND"), F.lit("XYZ"), F.lit(None)), F.col("n_nationkey") % 5)
+    return domain.table(spark, sf_dir, "nation").select("n_nationkey", policy.land_manager(code, F.col("n_name")).alias("m")).select("n_nationkey", "m.category", "m.unit")
+
+
+@query("enforcement_headline", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Notice of Proposed Action — final' ELSE 'Warning — final' END WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Notice of Proposed Action (alleged) — contested by the respondent' ELSE 'Warning — contested by the respondent' END
+  ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Notice of Proposed Action — dismissed' ELSE 'Warning — dismissed' END END AS headline FROM orders""")
+def _(spark, sf_dir):
+    stage = F.when(F.col("o_orderstatus") == "F", "final").when(F.col("o_orderstatus") == "O", "contested").otherwise("dismissed")
+    return domain.table(spark, sf_dir, "orders").select("o_orderkey", policy.action_headline(F.when(F.col("o_orderkey") % 2 == 0, "nopa").otherwise("warning"), stage).alias("headline"))
+
+
+@query("website_finder")
+def _(spark, sf_dir):
+    """Likely domains and the verdict of each page on a business named after its site; look-arounds have no RE2 form."""
+    name = F.concat(F.regexp_extract("url", r"//(?:www\.|m\.)?([a-z]+)", 1), F.lit(" Forest LLC"))
+    return domain.table(spark, sf_dir, "pages").select("page_id", finder.candidate_domains(name).alias("domains"), finder.verdict(F.col("html"), name, F.lit("530-243-2783")).alias("verdict"))
+
+
+@query("manual_overlay", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 100 + 1 ELSE o_custkey END AS component FROM orders")
+def _(spark, sf_dir):
+    o = domain.table(spark, sf_dir, "orders")
+    labels = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("component"))
+    decisions = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("cluster"), F.lit(1).alias("decided")), F.struct((F.col("o_orderkey") % 100 + 1).alias("cluster"), F.lit(2).alias("decided")))).alias("d")).select("id", "d.*")
+    return overlay.assigned(labels, decisions)
+
+
+@query("continuation_merge", "SELECT o_custkey, l_partkey, l_returnflag, min(l_orderkey * 10 + l_linenumber) AS import_seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey, l_returnflag")
+def _(spark, sf_dir):
+    li, o = domain.table(spark, sf_dir, "lineitem"), domain.table(spark, sf_dir, "orders")
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_partkey").alias("product"), F.lit(1).alias("quantity"), F.col("l_returnflag").alias("unit"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("import_seq"))
+    return overlay.continued(lines, "o_custkey").select("o_custkey", F.col("product").alias("l_partkey"), F.col("unit").alias("l_returnflag"), "import_seq")
+
+
+@query("never_downgraded_products", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'provider' ELSE 'seed' END AS source FROM part")
+def _(spark, sf_dir):
+    p = domain.table(spark, sf_dir, "part").select("p_partkey")
+    old = p.withColumn("source", F.when(F.col("p_partkey") % 2 == 0, "provider").otherwise("guess")).withColumn("rank", F.when(F.col("p_partkey") % 2 == 0, 3).otherwise(1))
+    new = p.withColumn("source", F.lit("seed")).withColumn("rank", F.lit(2))
+    return chemistry.never_downgraded(old, new, "p_partkey").select("p_partkey", "source")
+
+
+@on("watchlist_flags", ", f AS (SELECT DISTINCT id, CASE WHEN ingredient = 'Brand#11' THEN '2,4-D' WHEN ingredient = 'Brand#22' THEN 'Hexazinone' END AS subject FROM lines) SELECT id, count(*) AS flags, 'red' AS highest, bool_or(false) AS restricted, true AS watched FROM f WHERE subject IS NOT NULL GROUP BY id")
+def _(d):
+    name = F.when(F.col("ingredient") == "Brand#11", "2,4-d choline salt").when(F.col("ingredient") == "Brand#22", "HEXAZINONE").otherwise("other")
+    return chemistry.flag_summary(chemistry.watchlist_flags(d.lines.select("id", name.alias("name")))).select("id", "flags", "highest", "restricted", "watched")
+
+
+@query("parcel_selection")
+def _(spark, sf_dir):
+    """Suppliers of a nation as parcels of its customers; the names' similarity has no SQL."""
+    c, s = domain.table(spark, sf_dir, "customer"), domain.table(spark, sf_dir, "supplier")
+    rows = c.where("c_custkey % 20 = 0").join(s, F.col("c_nationkey") == F.col("s_nationkey"), "left")
+    return overlay.select_parcels(rows.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("owner"), F.lit(None).cast("string").alias("landowner"), F.col("s_name").alias("parcel_owner"), F.col("s_suppkey").cast("string").alias("apn")))
