@@ -87,7 +87,7 @@ def test_enforcement_and_investigations(spark):
     text = "Case No: 7-A\nThe county proposes to fine Acme $1,250 for a viola-\ntion."
     e = forms.enforcement(spark.createDataFrame([("a", text)], "path string, text string")).first()
     assert (e.action_type, e.stage, e.case_number, e.penalty, e.headline) == ("nopa", "proposed", "7-A", 1250.0, "Notice of Proposed Action (alleged) — proposed — not decided")
-    i = forms.investigations(spark.createDataFrame([("a", "County: Lassen\nMTRS M29N11E23, APN 013-120-05, License No. 12345\n1. Wind was high\n2) No sign")], "path string, text string").first()
+    i = forms.investigations(spark.createDataFrame([("a", "County: Lassen\nMTRS M29N11E23, APN 013-120-05, License No. 12345\n1. Wind was high\n2) No sign")], "path string, text string")).first()
     assert (i.county, i.mtrs, i.apns, i.licenses, i.findings) == ("Lassen", ["M29N11E23"], ["013-120-05"], ["12345"], ["Wind was high", "No sign"])
 
 
