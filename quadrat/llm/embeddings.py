@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .spill import partitions, written
+from .spill import bounded_batches, partitions, written
 
 COSINE = 0.9
-#: Filters that a pair at the threshold shares on average.
-COMMON = 7.0
-LEAST = 3
+#: Codes, and filters of each that a pair at the threshold shares on average.
+TABLES = 2
+COMMON = 8.0
+LEAST = 2
 #: Vectors for a filter that K is chosen for.
 LOAD = 16
 BLOCK = 1024
@@ -60,9 +61,9 @@ def bound(filters: int, cosine: float, common: float = COMMON) -> float:
 
 
 @lru_cache(maxsize=8)
-def code(dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def code(dim: int, k: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rotation and the half codes for vectors of a length (at least 2)."""
-    rng = np.random.default_rng([SEED, dim, k])
+    rng = np.random.default_rng([SEED, dim, k, table])
     turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     halves = []
     for d in (dim // 2, dim - dim // 2):
@@ -71,41 +72,41 @@ def code(dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return turn, *halves
 
 
-def decode(unit: np.ndarray, k: int, cosine: float) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of its filters."""
+def _decode(unit: np.ndarray, k: int, cosine: float, table: int) -> list[np.ndarray]:
     dim = unit.shape[1]
-    turn, a, b = code(dim, k)
+    turn, a, b = code(dim, k, table)
     x = unit @ turn
     one, two = x[:, : dim // 2] @ a.T, x[:, dim // 2 :] @ b.T
     order = np.argsort(-two, axis=1)
     ranked = np.take_along_axis(two, order, 1)
+    best = np.argsort(-one, axis=1)[:, :LEAST]
     least = bound(k * k, cosine) * sqrt(2 / dim)
     out = []
     for i in range(len(x)):
-        for t in (least, -np.inf):
-            first = np.flatnonzero(one[i] + ranked[i, 0] >= t) if t > -np.inf else np.argsort(-one[i])[:LEAST]
-            length = np.searchsorted(-ranked[i], one[i][first] - t, "right") if t > -np.inf else np.full(len(first), min(LEAST, k))
-            n = int(length.sum())
-            if n >= LEAST or t == -np.inf:
-                break
+        first = np.flatnonzero(one[i] + ranked[i, 0] >= least)
+        length = np.searchsorted(-ranked[i], one[i][first] - least, "right")
+        if length.sum() < LEAST:
+            first, length = best[i], np.full(len(best[i]), min(LEAST, k))
+        n = int(length.sum())
         f = np.repeat(first, length)
-        within = np.arange(n) - np.repeat(np.cumsum(length) - length, length)
-        s = order[i][within]
-        if t == -np.inf:
-            best = np.argsort(-(one[i][f] + two[i][s]), kind="stable")[:LEAST]
-            f, s = f[best], s[best]
-        out.append(np.sort(f * k + s))
+        s = order[i][np.arange(n) - np.repeat(np.cumsum(length) - length, length)]
+        out.append(f * k + s + table * k * k)
     return out
 
 
-def _unit(vectors: list) -> np.ndarray:
+def decode(unit: np.ndarray, k: int, cosine: float) -> list[np.ndarray]:
+    """For each unit vector the sorted numbers of its filters in all codes."""
+    return [np.sort(np.concatenate(parts)) for parts in zip(*(_decode(unit, k, cosine, t) for t in range(TABLES)), strict=True)]
+
+
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filtered(k: int, cosine: float):
-    """A row for each vector and filter: the vector, and the list of all its filters."""
+def _filtered(k: int, cosine: float, kind: str):
+    """A row for each vector and filter: the vector as it came, and the list of all its filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,17 +122,17 @@ def _filtered(k: int, cosine: float):
                     lists = decode(wide, k, cosine)
                     n = [len(x) for x in lists]
                     row = pa.array(np.repeat(np.arange(len(at)), n))
-                    vec = pa.array([u.tobytes() for u in unit], pa.binary())
+                    vec = pa.array([np.array(raw[i], kind).tobytes() for i in at], pa.binary())
                     every = pa.array([x.astype(np.int32).tobytes() for x in lists], pa.binary())
                     yield pa.record_batch([pa.array(np.full(sum(n), dim, np.int32)), pa.array(np.concatenate(lists).astype(np.int32)), pa.array(cid[at]).take(row), pa.array(m[at]).take(row), vec.take(row), every.take(row)], ["dim", "f", "cid", "m", "vec", "every"])
 
     return run
 
 
-def _matched(cosine: float):
+def _matched(cosine: float, kind: str):
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
         f, n = int(key[1]), len(rows)
-        x = np.frombuffer(b"".join(rows["vec"])).reshape(n, -1)
+        x = _unit(np.frombuffer(b"".join(rows["vec"]), kind).reshape(n, -1))
         near = x @ x.T >= cosine
         np.fill_diagonal(near, False)
         blk = rows["blk"].to_numpy()
@@ -173,6 +174,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors each for itself.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     v = F.col("embedding").cast("array<double>")
     bad = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0), F.lit(True))
     rows = vectors.select("vec_id", F.when(~bad, v).alias("v")).withColumn("cid", F.when(F.col("v").isNotNull(), F.xxhash64(F.transform("v", lambda x: x + 0.0))))
@@ -180,12 +183,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("m"), F.min("vec_id").alias("rep"), F.first("v").alias("v"))
     classes = written(classes, "classes")
     k = 1 << max(3, ceil(log2(sqrt(max(1, classes.count() / LOAD)))))
-    listed = classes.repartition(partitions(spark), "cid").select("cid", "m", "v").mapInArrow(_filtered(k, cosine), "dim int, f int, cid long, m long, vec binary, every binary")
+    listed = classes.repartition(partitions(spark), "cid").select("cid", "m", "v").mapInArrow(_filtered(k, cosine, kind), "dim int, f int, cid long, m long, vec binary, every binary")
     listed = written(listed, "listed")
     long = listed.groupBy("dim", "f").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     listed = listed.join(written(long.drop("n"), "long"), ["dim", "f"]).withColumn("blk", F.pmod(F.hash("cid"), F.col("blocks")))
     listed = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "blocks")
-    found = listed.groupBy("dim", "f", "lo", "hi").applyInPandas(_matched(cosine), "cid long, c long, other long")
+    found = listed.groupBy("dim", "f", "lo", "hi").applyInPandas(_matched(cosine, kind), "cid long, c long, other long")
     found = written(found, "found")
     links = found.groupBy("cid").agg(F.sum("c").alias("c"))
     labels = components(found.select(F.col("cid").alias("x"), F.col("other").alias("y"))).withColumnRenamed("node", "cid")
