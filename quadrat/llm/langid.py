@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, chunks, mix
-from .spill import bounded_batches
+from .spill import bounded_batches, written
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -109,6 +109,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filters:
     freq = grams.join(F.broadcast(totals), "lang").select("gram", F.struct((F.col("c") / F.col("t")).alias("f"), "lang").alias("x"))
     per = freq.groupBy("gram").agg(F.collect_list("x").alias("xs"), F.max("x.f").alias("top"))
     chosen = per.select("gram", F.explode("xs").alias("x"), "top").where(F.col("x.f") >= RATIO * F.col("top")).select("gram", "x.lang", "x.f")
+    chosen = written(chosen, "grams")
     planes = [np.zeros(SLOTS, U) for _ in range(0, len(languages), 64)]
     for n, lang in enumerate(languages):
         best = chosen.where(F.col("lang") == lang).orderBy(F.desc("f"), "gram").limit(GRAMS_PER_LANGUAGE).select("gram").toPandas()["gram"].to_numpy(np.int64)
