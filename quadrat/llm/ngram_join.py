@@ -144,32 +144,55 @@ def _set_cells(buckets: int):
     return run
 
 
-def _own_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, u) of cells sorted by bucket: shingles of one class only. Holds one bucket."""
-
-    def judge(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        h = np.concatenate([_from_planes(r[0], "<u8") for r in rows])
-        at = [_from_planes(r[1], "<u4") for r in rows]
-        classes = [np.append(0, np.frombuffer(r[2], np.int64)) for r in rows]
-        c = np.concatenate([k[a] for k, a in zip(classes, at, strict=True)])
-        shared = np.concatenate(at) == 0
-        order = np.argsort(h)
-        h, c, shared = h[order], c[order], shared[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        own = (np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & ~np.maximum.reduceat(shared, start)
-        cid, u = np.unique(c[start[own]], return_counts=True)
-        yield pa.record_batch([pa.array(cid), pa.array(u)], ["cid", "u"])
-
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each bucket, the first column, of rows sorted by it."""
     now, rows = None, []
     for b in batches:
         for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if k != now:
-                yield from judge(rows)
-                now, rows = k, []
+            if k != now and rows:
+                yield rows
+                rows = []
+            now = k
             rows.append(row)
-    yield from judge(rows)
+    if rows:
+        yield rows
+
+
+_COUNTS = "b int, cids binary, us binary"
+
+
+def _own_cells(buckets: int):
+    """Per class the shingles that no other one has, of cells sorted by bucket, packed by bucket of the class. Holds one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            h = np.concatenate([_from_planes(r[0], "<u8") for r in rows])
+            at = [_from_planes(r[1], "<u4") for r in rows]
+            c = np.concatenate([np.append(0, np.frombuffer(r[2], np.int64))[a] for r, a in zip(rows, at, strict=True)])
+            shared = np.concatenate(at) == 0
+            order = np.argsort(h)
+            h, c, shared = h[order], c[order], shared[order]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            own = (np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & ~np.maximum.reduceat(shared, start)
+            cid, u = np.unique(c[start[own]], return_counts=True)
+            of = (mix(cid.view(U)) % U(buckets)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            cid, u, of = cid[order], u[order].astype("<u4"), of[order]
+            cut = np.searchsorted(of, np.arange(buckets + 1))
+            full = [(k, cid[s:e].tobytes(), _planes(u[s:e])) for k, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
+            if full:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*full, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["b", "cids", "us"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, u) of counts sorted by bucket: a row a class."""
+    for rows in _by_bucket(batches):
+        cid = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        u = np.concatenate([_from_planes(r[1], "<u4") for r in rows])
+        cid, at = np.unique(cid, return_inverse=True)
+        yield pa.record_batch([pa.array(cid), pa.array(np.bincount(at, u).astype(np.int64))], ["cid", "u"])
 
 
 def _sets(n: int, wanted):
@@ -193,9 +216,10 @@ def _sets(n: int, wanted):
 
 
 def _unique(cells: DataFrame) -> DataFrame:
-    """(cid, u): how many shingles of the cells are of no other class. A shingle comes once from a batch of documents, so a common one is no hot key."""
+    """(cid, u): how many shingles of the cells are of no other class. A shingle comes once from a batch of documents, so a common one is no hot key, and counts travel packed, so rows grow with the classes only."""
     n = partitions(cells.sparkSession)
-    return cells.repartition(n, "b").sortWithinPartitions("b").mapInArrow(_own_cells, "cid long, u long").groupBy("cid").agg(F.sum("u").alias("u"))
+    dealt = lambda df: df.repartition(n, "b").sortWithinPartitions("b")
+    return dealt(dealt(cells).mapInArrow(_own_cells(2 * n), _COUNTS)).mapInArrow(_summed, "cid long, u long")
 
 
 def _apart(percent: int) -> str:
