@@ -8,9 +8,12 @@ filters are list-decoded from 2 K inner products: half codes sorted by score,
 a prefix of the second for each of the first. Near vectors share caps; they
 are joined on filters and verified in double precision.
 
-K grows with the number of vectors so that a filter's list stays small, and
-the bound is set so that a pair at the threshold shares ``COMMON`` filters on
-average; a vector always has its ``LEAST`` best ones. A pair is counted under
+K grows with the number of vectors so that a filter's list stays small. The
+bound comes from simulated pairs at the threshold, run through the codes that
+are used: ``RECALL`` of them share a filter, whatever K and the dimension. Where
+that takes more than ``LIMIT`` filters a vector, as in low dimensions, K is
+halved, which makes lists longer and loses nothing. A vector with fewer than
+``LEAST`` filters has the best one of each code. A pair is counted under
 the smallest filter both have, and by groups, so no pairs are emitted: a list
 yields for each vector how many partners it has there, and one link to its
 group. Lists longer than ``BLOCK`` are dealt out as pairs of blocks.
@@ -32,9 +35,13 @@ from .components import components
 from .spill import bounded_batches, partitions, written
 
 COSINE = 0.9
-#: Codes, and filters of each that a pair at the threshold shares on average.
-TABLES = 2
-COMMON = 8.0
+#: Codes, and the part of pairs at the threshold that share a filter of any of them.
+TABLES = 8
+RECALL = 0.995
+#: Pairs that the bound is fitted on, and half codes of each pair that are tried for its best filter.
+PAIRS, TRIED = 2000, 96
+#: Filters of a vector, and half codes: filters of all codes are numbered in 32 bits.
+LIMIT, WIDEST = 128, 1 << 14
 LEAST = 2
 #: Vectors for a filter that K is chosen for.
 LOAD = 16
@@ -42,25 +49,7 @@ BLOCK = 1024
 SEED = 5
 
 
-@lru_cache(maxsize=8)
-def bound(filters: int, cosine: float, common: float = COMMON) -> float:
-    """The score (in standard deviations) that two vectors of that cosine both exceed for ``common`` of the filters on average, by quadrature of the two-dimensional normal law."""
-    from math import erfc
-
-    def both(tau: float) -> float:
-        x = np.linspace(tau, tau + 8, 2001)
-        density = np.exp(-x * x / 2) / sqrt(2 * np.pi)
-        tail = np.array([0.5 * erfc((tau - cosine * v) / sqrt(2 * (1 - cosine**2))) for v in x])
-        return float(np.sum(density * tail) * (x[1] - x[0]))
-
-    low, high = -3.0, 6.0
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if filters * both(mid) > common else (low, mid)
-    return low
-
-
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4 * TABLES)
 def code(dim: int, k: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rotation and the half codes for vectors of a length (at least 2)."""
     rng = np.random.default_rng([SEED, dim, k, table])
@@ -72,31 +61,71 @@ def code(dim: int, k: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return turn, *halves
 
 
-def _decode(unit: np.ndarray, k: int, cosine: float, table: int) -> list[np.ndarray]:
-    dim = unit.shape[1]
-    turn, a, b = code(dim, k, table)
+def _scores(unit: np.ndarray, k: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+    turn, a, b = code(unit.shape[1], k, table)
     x = unit @ turn
-    one, two = x[:, : dim // 2] @ a.T, x[:, dim // 2 :] @ b.T
-    order = np.argsort(-two, axis=1)
-    ranked = np.take_along_axis(two, order, 1)
-    best = np.argsort(-one, axis=1)[:, :LEAST]
-    least = bound(k * k, cosine) * sqrt(2 / dim)
-    out = []
-    for i in range(len(x)):
-        first = np.flatnonzero(one[i] + ranked[i, 0] >= least)
-        length = np.searchsorted(-ranked[i], one[i][first] - least, "right")
-        if length.sum() < LEAST:
-            first, length = best[i], np.full(len(best[i]), min(LEAST, k))
-        n = int(length.sum())
-        f = np.repeat(first, length)
-        s = order[i][np.arange(n) - np.repeat(np.cumsum(length) - length, length)]
-        out.append(f * k + s + table * k * k)
-    return out
+    half = unit.shape[1] // 2
+    return x[:, :half] @ a.T, x[:, half:] @ b.T
+
+
+def _best(x: np.ndarray, y: np.ndarray, k: int, table: int) -> np.ndarray:
+    """For each pair the largest bound at which both pass a common filter of a code; less at most, as only the ``TRIED`` half codes nearest to both are looked at."""
+    x1, x2 = _scores(x, k, table)
+    y1, y2 = _scores(y, k, table)
+    top = min(TRIED, k)
+    i = np.argpartition(-(x1 + y1), top - 1, 1)[:, :top]
+    j = np.argpartition(-(x2 + y2), top - 1, 1)[:, :top]
+    one, other = (np.take_along_axis(p, i, 1)[:, :, None] + np.take_along_axis(q, j, 1)[:, None, :] for p, q in ((x1, x2), (y1, y2)))
+    return np.minimum(one, other).max((1, 2))
+
+
+@lru_cache(maxsize=64)
+def caps(dim: int, k: int, cosine: float) -> tuple[int, float]:
+    """K, or as much of it as ``LIMIT`` allows, and the bound that ``RECALL`` of the pairs of that cosine both exceed for a filter."""
+    rng = np.random.default_rng([SEED, dim])
+    x, y = rng.standard_normal((2, PAIRS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = cosine * x + sqrt(max(0.0, 1 - cosine**2)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    k = min(k, WIDEST)
+    while True:
+        best = np.concatenate([np.max([_best(x[i : i + 50], y[i : i + 50], k, t) for t in range(TABLES)], 0) for i in range(0, PAIRS, 50)])
+        least = float(np.quantile(best, 1 - RECALL, method="lower")) - 1e-9
+        if k <= 8 or sum(len(_decode(x[:64], k, least, t)[0]) for t in range(TABLES)) <= 64 * LIMIT:
+            return k, least
+        k //= 2
+
+
+def _decode(unit: np.ndarray, k: int, least: float, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, filter) for the filters of a code that unit vectors pass."""
+    one, two = _scores(unit, k, table)
+    row, second = np.nonzero(two >= least - one.max(1, keepdims=True))
+    key = 8.0 * row - two[row, second]
+    order = np.argsort(key)
+    key, second = key[order], second[order]
+    at, first = np.nonzero(one >= least - two.max(1, keepdims=True))
+    begin = np.searchsorted(row, at)
+    n = np.maximum(np.searchsorted(key, 8.0 * at - (least - one[at, first]), "right") - begin, 0)
+    place = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at, n), np.repeat(first, n) * k + second[place] + table * k * k
 
 
 def decode(unit: np.ndarray, k: int, cosine: float) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of its filters in all codes."""
-    return [np.sort(np.concatenate(parts)) for parts in zip(*(_decode(unit, k, cosine, t) for t in range(TABLES)), strict=True)]
+    k, least = caps(unit.shape[1], k, cosine)
+    parts = [_decode(unit, k, least, t) for t in range(TABLES)]
+    row, f = (np.concatenate(c) for c in zip(*parts, strict=True))
+    few = np.flatnonzero(np.bincount(row, minlength=len(unit)) < LEAST)
+    if len(few):
+        best = [np.stack([s.argmax(1) for s in _scores(unit[few], k, t)]) for t in range(TABLES)]
+        row = np.concatenate([row, *[few] * TABLES])
+        f = np.concatenate([f, *(i * k + j + t * k * k for t, (i, j) in enumerate(best))])
+    order = np.lexsort((f, row))
+    row, f = row[order], f[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (f[1:] != f[:-1])
+    row, f = row[new], f[new]
+    return np.split(f, np.searchsorted(row, np.arange(1, len(unit))))
 
 
 def _unit(vectors: list | np.ndarray) -> np.ndarray:

@@ -327,6 +327,17 @@ def test_cap_recall_at_the_threshold():
     assert np.mean(shared) > 0.97
 
 
+@pytest.mark.parametrize(("dim", "k"), [(2, 64), (16, 64), (16, 1024), (64, 256), (64, 2048)])
+def test_cap_recall_holds_for_every_k_and_dimension(dim, k):
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 400, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    shared = [len(np.intersect1d(x, y)) > 0 for x, y in zip(embeddings.decode(a, k, 0.9), embeddings.decode(b, k, 0.9))]
+    assert np.mean(shared) > 0.98
+
+
 def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 20)
     rng = np.random.default_rng(7)
