@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.names import MATCH, REJECT, company_key, company_score
 from quadrat.plans.domain import exact_sum
 
 #: Weights and thresholds of the score.
-WEIGHTS = {"owner": 40, "dates": 25, "adjacent": 20, "applicator": 10, "products": 10, "permit": 20}
+WEIGHTS = {"owner": 40, "dates": 25, "adjacent": 20, "applicator": 10, "products": 10, "pca": 5, "permit": 20}
 AUTO, REVIEW = 75, 45
 DATE_WINDOW, PROPOSE_WINDOW = 1, 30
 
@@ -22,6 +23,21 @@ def candidate_pairs(records: DataFrame, *blocks: Column, key: str = "id") -> Dat
     return left.join(right, "block").where("a < b").select("a", "b").distinct()
 
 
+def record_pairs(records: DataFrame) -> DataFrame:
+    """Candidate pairs by operator and year, and by permit and year; blank permits pair nothing."""
+    permit, year = F.trim("permit"), F.col("year").cast("string")
+    return candidate_pairs(records, F.concat(F.lit("o/"), F.col("operator_id").cast("string"), F.lit("/"), year), F.when(permit != "", F.concat(F.lit("p/"), permit, F.lit("/"), year)))
+
+
+def _alike(x: DataFrame, name: str) -> DataFrame:
+    """x with ``{name}_score``, the similarity of both sides' companies; different pairs of keys are scored once. 0 if either is blank."""
+    keyed = x.withColumns({"_ka": company_key(F.col(f"a_{name}")), "_kb": company_key(F.col(f"b_{name}"))})
+    unlike = keyed.where("_ka <> '' and _kb <> '' and _ka <> _kb").select("_ka", "_kb").distinct()
+    unlike = unlike.withColumn("_s", F.round(company_score(F.col("_ka"), F.col("_kb")), 4))
+    score = F.when(F.col("_ka") == "", 0.0).when(F.col("_ka") == F.col("_kb"), 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))
+    return keyed.join(unlike, ["_ka", "_kb"], "left").withColumn(f"{name}_score", score).drop("_ka", "_kb", "_s")
+
+
 def date_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Least of start to start, start to end and end to start, in days; overlap isn't asked for."""
     days = lambda x, y: F.abs(F.datediff(x, y))
@@ -29,17 +45,25 @@ def date_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs with score and outcome (auto, review, separate). records: id, owner, kind, start, ended, applicator, products (array), place (number or null)."""
-    names = ("owner", "kind", "start", "ended", "applicator", "products", "place")
+    """Pairs with score and outcome (auto, review, separate). records: id, owner, kind, start, ended, applicator, products (array), place (number or null), pca, permit. Owners, applicators and advisers are compared as companies; owners of both sides whose names are below REJECT keep a pair apart."""
+    names = ("owner", "kind", "start", "ended", "applicator", "products", "place", "pca", "permit")
     side = lambda p: records.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in names))
     x = pairs.join(side("a"), "a").join(side("b"), "b")
+    for name in ("owner", "applicator", "pca"):
+        x = _alike(x, name)
     gap = date_gap(F.col("a_start"), F.col("a_ended"), F.col("b_start"), F.col("b_ended"))
     near, season = F.coalesce(gap <= DATE_WINDOW, F.lit(False)), F.coalesce(gap <= PROPOSE_WINDOW, F.lit(False))
     close = F.coalesce(F.abs(F.col("a_place") - F.col("b_place")) <= 1, F.lit(False))
     same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
     points = lambda ok, name: F.when(ok, WEIGHTS[name]).otherwise(0)
-    total = points(same("owner"), "owner") + points(near, "dates") + points(close, "adjacent") + points(same("applicator"), "applicator") + points(F.arrays_overlap("a_products", "b_products"), "products")
-    apart = ~same("kind") | (F.col("a_owner").isNotNull() & F.col("b_owner").isNotNull() & ~same("owner"))
+    alike = lambda c: F.col(f"{c}_score") >= MATCH
+    permit = F.coalesce((F.trim("a_permit") == F.trim("b_permit")) & (F.trim("a_permit") != ""), F.lit(False))
+    total = (
+        points(alike("owner"), "owner") + points(near, "dates") + points(close, "adjacent") + points(alike("applicator"), "applicator")
+        + points(F.arrays_overlap("a_products", "b_products"), "products") + points(alike("pca"), "pca") + points(permit, "permit")
+    )
+    named = F.coalesce((F.col("a_owner") != "") & (F.col("b_owner") != ""), F.lit(False))
+    apart = ~same("kind") | (named & (F.col("owner_score") < REJECT))
     outcome = F.when(apart, "separate").when((F.col("score") >= AUTO) & near, "auto").when((F.col("score") >= REVIEW) & (near | season & close), "review").otherwise("separate")
     return x.withColumn("score", total).select("a", "b", "score", outcome.alias("outcome"))
 

@@ -463,7 +463,7 @@ def _(spark, sf_dir):
 
 def _records(d: _Of) -> DataFrame:
     per = d.lines.groupBy("id").agg(F.max("ended").alias("ended"), F.array_sort(F.collect_set("product_id")).alias("products"), F.min("applicator").alias("applicator"), F.min("record_kind").alias("kind"))
-    return d.apps.join(per, "id").select("id", F.col("operator").alias("owner"), "kind", "start", "ended", "applicator", "products", F.lit(None).cast("int").alias("place"), "year", "operator_id")
+    return d.apps.join(per, "id").select("id", F.col("operator").alias("owner"), "kind", "start", "ended", "applicator", "products", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("pca"), F.lit(None).cast("string").alias("permit"), "year", "operator_id")
 
 
 _RECORDS = """, rec AS (SELECT id, operator AS owner, kind, start, ended, applicator, year, operator_id FROM apps JOIN (SELECT id, max(ended) AS ended, min(applicator) AS applicator, min(record_kind) AS kind FROM lines GROUP BY id) USING (id)),
@@ -475,7 +475,7 @@ scores AS (SELECT a, b, score, CASE WHEN ak <> bk THEN 'separate' WHEN score >=
 
 
 def _pairs(records: DataFrame) -> DataFrame:
-    return linkage.candidate_pairs(records, F.concat_ws("/", F.col("operator_id").cast("string"), F.col("year").cast("string")))
+    return linkage.record_pairs(records)
 
 
 @on("candidate_pairs", f"{_RECORDS} SELECT a, b FROM cand")

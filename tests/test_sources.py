@@ -62,6 +62,19 @@ def test_components(spark):
     assert got == {i: 1 if i <= 30 else 40 if i in (40, 41) else i for i in range(1, 43)}
 
 
+def test_pair_scores_of_spellings_permits_and_advisers(spark):
+    day = dt.date(2024, 5, 1)
+    row = lambda i, owner, permit=None, pca=None, start=day, applicator="Sky", place=None: (i, owner, "use_report", start, start, applicator, ["p"], place, pca, permit, 2024, i)
+    rows = [
+        row(1, "W.M. Beaty & Associates, Inc.", " 45 ", "Jo Day"), row(2, "WM Beaty", "45", "Jo Day"), row(3, "Zebra Ranch", "45", "Jo Day"), row(4, None, "45", None, day + dt.timedelta(20), "Other", 7), row(5, "WM Beaty", " ", None, day, "Other", 8), row(6, "WM Beaty", "46", None, day, "Other"),
+    ]
+    records = spark.createDataFrame(rows, "id int, owner string, kind string, start date, ended date, applicator string, products array<string>, place int, pca string, permit string, year int, operator_id int")
+    assert sorted(map(tuple, linkage.record_pairs(records).collect())) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (4, 5), (5, 6)], "a int, b int")
+    got = {(r.a, r.b): (r.score, r.outcome) for r in linkage.scored(pairs, records).collect()}
+    assert got == {(1, 2): (110, "auto"), (1, 3): (70, "separate"), (2, 4): (30, "separate"), (4, 5): (40, "separate"), (5, 6): (85, "auto")}
+
+
 def test_limiter_forgets_refused_hits(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     hits = spark.createDataFrame([("a", t0 + dt.timedelta(seconds=s)) for s in (0, 10, 20, 65, 66)], "key string, ts timestamp")
