@@ -44,6 +44,27 @@ def select_parcels(candidates: DataFrame, strong: float = 0.9, weak: float = 0.7
     return per.select("id", outcome.alias("outcome"), F.when(outcome == "matched", F.col("selected")).otherwise(F.array().cast("array<string>")).alias("selected"), reason.alias("review_reason"))
 
 
+def select_parcels_of_area(applications: DataFrame, parcels: DataFrame, strong: float = 0.9, weak: float = 0.7) -> DataFrame:
+    """``select_parcels`` of applications (id, area, owner, landowner) among all parcels (area, parcel_owner, apn) of their areas.
+
+    Names of no common word score .4 at most, so only different keys of an area
+    that share a word are compared, each pair once, and areas aren't multiplied
+    out. ``weak`` must be above .4.
+    """
+    assert weak > 0.4
+    known = parcels.where("apn is not null").withColumn("key", company_key(F.col("parcel_owner")))
+    per_area = known.groupBy("area").agg(F.count("*").alias("n"))
+    named = applications.withColumn("name", F.explode(F.array("owner", "landowner"))).withColumn("mine", company_key(F.col("name"))).where("mine <> ''").select("id", "area", "mine").distinct()
+    words = lambda rows, key: rows.select("area", F.col(key)).distinct().withColumn("word", F.explode(F.array_distinct(F.split(key, " ")))).where("word <> ''")
+    pairs = words(named, "mine").join(words(known, "key"), ["area", "word"]).select("area", "mine", "key").distinct()
+    near = pairs.withColumn("score", company_score(F.col("mine"), F.col("key"))).where(F.col("score") >= weak)
+    found = named.join(near, ["area", "mine"]).join(known.select("area", "key", "apn"), ["area", "key"]).groupBy("id").agg(F.max("score").alias("best"), F.array_sort(F.collect_set(F.when(F.col("score") >= strong, F.col("apn")))).alias("selected"))
+    per = applications.join(per_area, "area", "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.bool_or(F.coalesce("owner", "landowner").isNotNull()).alias("named")).join(found, "id", "left")
+    outcome = F.when(F.col("n") == 0, "no_candidates").when(F.col("named") & (F.col("best") >= strong), "matched").otherwise("needs_review")
+    reason = F.when(F.col("n") == 0, "no_parcel_candidates").when(~F.col("named"), "missing_owner").when(F.col("best") >= strong, None).when(F.col("best") >= weak, "ambiguous_parcel").otherwise("no_parcel_owner_match")
+    return per.select("id", outcome.alias("outcome"), F.when(outcome == "matched", F.col("selected")).otherwise(F.array().cast("array<string>")).alias("selected"), reason.alias("review_reason"))
+
+
 def project_name(plans: DataFrame) -> DataFrame:
     """Per application (id, owner, plan, name, landowner): the name of the only named plan of its owner, else none and why."""
     mine = F.col("name").isNotNull() & (company_score(company_key(F.col("owner")), company_key(F.col("landowner"))) >= 0.88)

@@ -832,5 +832,5 @@ def _(d):
 def _(spark, sf_dir):
     """Suppliers of a nation as parcels of its customers; the names' similarity has no SQL."""
     c, s = domain.table(spark, sf_dir, "customer"), domain.table(spark, sf_dir, "supplier")
-    rows = c.where("c_custkey % 20 = 0").join(s, F.col("c_nationkey") == F.col("s_nationkey"), "left")
-    return overlay.select_parcels(rows.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("owner"), F.lit(None).cast("string").alias("landowner"), F.col("s_name").alias("parcel_owner"), F.col("s_suppkey").cast("string").alias("apn")))
+    apps = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("area"), F.col("c_name").alias("owner"), F.lit(None).cast("string").alias("landowner"))
+    return overlay.select_parcels_of_area(apps, s.select(F.col("s_nationkey").alias("area"), F.col("s_name").alias("parcel_owner"), F.col("s_suppkey").cast("string").alias("apn")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import finder, policy
 from quadrat.operators import chemistry, overlay
+from quadrat.plans import catalogue
 from quadrat.sources import forms
 
 FORM = """Pesticide Use Report
@@ -117,6 +118,19 @@ def test_parcels_and_projects(spark):
     assert got == {1: ("Old Mill", None), 2: (None, "multiple_possible_projects"), 3: (None, "project_owner_mismatch"), 4: (None, None)}
 
 
+def test_parcels_of_areas(spark, sf):
+    apps = spark.createDataFrame([(1, 1, "Pine Ridge LLC", None), (2, 1, "Pine Ridge", None), (3, 2, "X", None), (4, 1, None, None), (5, 1, "Q", "Zebra"), (6, None, "Q", None), (7, 1, "Alder Hill Ridge Oaks", None)], "id int, area int, owner string, landowner string")
+    parcels = spark.createDataFrame([(1, "PINE RIDGE", "a"), (1, "OTHER", "b"), (1, "ZEBRA CO", "c"), (1, "Pine Ridge Inc", "d"), (1, "Alder Hill Rigde Oaks", "e"), (1, None, "f")], "area int, parcel_owner string, apn string")
+    want = overlay.select_parcels(apps.join(parcels, "area", "left"))
+    got = overlay.select_parcels_of_area(apps, parcels)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.review_reason for r in got.collect()} == {None, "no_parcel_candidates", "missing_owner", "ambiguous_parcel"}
+
+
+def test_every_customer_gets_parcels(spark, sf):
+    assert catalogue.QUERIES["parcel_selection"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
 def test_decisions(spark):
     clusters = spark.createDataFrame([(1, "ready"), (2, "needs_review"), (3, "ready")], "id int, status string")
     after = overlay.published(clusters, spark.createDataFrame([(1,), (2,)], "id int"))
