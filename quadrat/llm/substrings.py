@@ -6,6 +6,9 @@ anchors, so only anchors are indexed, about one for every dozen words. The
 index is a list of immutable runs, each a table of (fp, n) sorted by fp: a new
 batch becomes a run, is merge-joined with the earlier ones to find anchors
 that occur more than once, and runs are compacted into one when there are many.
+A table is fed in ``BATCHES`` and then verified as a whole. An index that
+outlives a table also keeps its windows' hashes in the runs, so that a window
+that stands once in a later batch and once in an earlier one is a repeat.
 An anchor that repeats is only a hint; it is verified by the full hashes of the
 windows behind it, compared among the rows of that anchor.
 
@@ -37,29 +40,48 @@ WIDTH = 35
 HOT_ROWS = 1000
 #: Runs of an index that are compacted into one when a further one comes.
 FAN_IN = 8
+#: Batches that a table without history is dealt in.
+BATCHES = 3
 
 
 class FingerprintIndex:
     """Immutable runs of (fp long, n long), sorted by fp within hash partitions, in the shared folder.
 
-    ``append`` adds a batch as a run, ``repeated`` merge-joins a batch with all
+    ``append`` adds a batch as a run, ``add`` also merge-joins it with all
     history, ``compact`` merges the runs. Nulls are not fingerprints and are
-    dropped. An empty index and an empty batch are allowed.
+    dropped. An empty index and an empty batch are allowed. With ``windows``
+    each run has a table of (fp, windows) beside it, named after it.
     """
 
-    def __init__(self, spark: SparkSession, runs: list[str] | None = None, fan_in: int = FAN_IN):
-        self.spark, self.runs, self.fan_in = spark, list(runs or []), fan_in
+    def __init__(self, spark: SparkSession, runs: list[str] | None = None, fan_in: int = FAN_IN, windows: bool = True):
+        self.spark, self.runs, self.fan_in, self.keeps = spark, list(runs or []), fan_in, windows
 
-    def append(self, batch: DataFrame) -> str:
-        """Count the batch's fingerprints (column fp) and write them as a run."""
-        n = partitions(self.spark)
+    def append(self, batch: DataFrame, windows: DataFrame | None = None) -> str:
+        """Count the batch's fingerprints (column fp) and write them, and their windows, as a run."""
         run = scratch(self.spark, "run")
-        batch.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")).repartition(n, "fp").sortWithinPartitions("fp").write.parquet(run)
+        self._sorted(batch.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")), run)
+        if self.keeps:
+            self._sorted(self.spark.createDataFrame([], "fp long, windows binary") if windows is None else windows.select("fp", "windows").distinct(), run + "-windows")
         self.runs.append(run)
         if len(self.runs) > self.fan_in:
             self.compact()
         return run
 
+    def add(self, batch: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+        """Append the batch; (fp, n) of its fingerprints that occur more than once in it and the history together, by a merge join."""
+        before = self.history().withColumnRenamed("n", "old") if self.runs else None
+        rows = self.spark.read.schema("fp long, n long").parquet(self.append(batch, windows))
+        if before is not None:
+            rows = rows.join(before.hint("merge"), "fp", "left").select("fp", (F.col("n") + F.coalesce("old", F.lit(0))).alias("n"))
+        return rows.where("n > 1")
+
+    def _sorted(self, rows: DataFrame, at: str) -> None:
+        rows.repartition(partitions(self.spark), "fp").sortWithinPartitions("fp").write.parquet(at)
+
+    def windows(self) -> DataFrame:
+        """(fp, windows): the stretches of windows behind the anchors of all runs."""
+        return self.spark.read.schema("fp long, windows binary").parquet(*(r + "-windows" for r in self.runs))
+
     def history(self) -> DataFrame:
         """(fp, n): what all runs hold, merged."""
         rows = self.spark.read.schema("fp long, n long").parquet(*self.runs) if self.runs else self.spark.createDataFrame([], "fp long, n long")
@@ -69,7 +91,9 @@ class FingerprintIndex:
         """Merge all runs into one; the old ones stay on disk for readers that still use them."""
         if len(self.runs) > 1:
             run = scratch(self.spark, "run")
-            self.history().repartition(partitions(self.spark), "fp").sortWithinPartitions("fp").write.parquet(run)
+            self._sorted(self.history(), run)
+            if self.keeps:
+                self._sorted(self.windows().distinct(), run + "-windows")
             self.runs = [run]
 
     def repeated(self) -> DataFrame:
@@ -117,7 +141,7 @@ _STRETCH = pa.schema([("fp", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()
 
 
 def _stretch_rows(width: int, repeated, hot):
-    """Stretches behind anchors that the bitmap takes for repeated: the full hashes of their windows, eight bytes each."""
+    """Stretches behind anchors that the bitmap takes for repeated, or all if there is none: the full hashes of their windows, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +153,7 @@ def _stretch_rows(width: int, repeated, hot):
                 where, full, anchor, grams = found
                 new = _stretches(where, anchor)
                 key = grams[anchor[new]]
-                keep = np.flatnonzero(has(repeated.value, key))
+                keep = np.flatnonzero(has(repeated.value, key)) if repeated else np.arange(len(key))
                 if not len(keep):
                     continue
                 ends = np.append(new[1:], len(where))
@@ -137,13 +161,29 @@ def _stretch_rows(width: int, repeated, hot):
                 doc = np.searchsorted(w.of, where[new[keep]], "right") - 1
                 key = key[keep]
                 yield pa.record_batch(
-                    [pa.array(signed(key)), pa.array(rids[i + doc]), pa.array((where[new[keep]] - w.of[doc]).astype(np.int32)), pa.array([raw[8 * s : 8 * e] for s, e in zip(new[keep], ends[keep], strict=True)], pa.binary()), pa.array(has(hot.value, key))],
+                    [pa.array(signed(key)), pa.array(rids[i + doc]), pa.array((where[new[keep]] - w.of[doc]).astype(np.int32)), pa.array([raw[8 * s : 8 * e] for s, e in zip(new[keep], ends[keep], strict=True)], pa.binary()), pa.array(has(hot.value, key) if hot else np.zeros(len(key), bool))],
                     schema=_STRETCH,
                 )
 
     return run
 
 
+#: The place of windows of earlier batches, which no span of a text reaches.
+_EARLIER = -(1 << 30)
+
+
+def _earlier_rows(hot):
+    """Stretches of earlier batches, from (fp, windows), as rows like those of ``_stretch_rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            key = b.column(0).to_numpy().view(U)
+            yield pa.record_batch([b.column(0), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, _EARLIER, np.int32)), b.column(1), pa.array(has(hot.value, key))], schema=_STRETCH)
+
+    return run
+
+
 def _spans(rid: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Repeated windows as (rid, first, how many in a row)."""
     order = np.lexsort((at, rid))
@@ -196,27 +236,40 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS
     """(rid, at, n) of the windows that occur more than once: n windows in a row of the row rid, from word ``at``.
 
     docs: text string, rid long. Null and short texts have no windows. A window
-    repeated inside one text counts. ``index``: earlier runs to which this batch
-    is added; by default a new one. Windows of earlier batches are known by
-    their anchors only, so pass ``docs`` of all batches whose repeats matter.
+    repeated inside one text counts. ``index``: earlier runs, to which this
+    batch is added with its windows; a window that an earlier batch has counts
+    as repeated. Spans are of this batch only: what it repeats of earlier ones
+    doesn't go there. By default the table is all there is, and every occurrence
+    goes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("text", "rid")
-    index = index or FingerprintIndex(spark)
-    index.append(docs.select("text").mapInArrow(_anchor_rows(width), "fp long"))
-    repeated = index.repeated()
     broadcast = spark.sparkContext.broadcast
-    stretches = docs.mapInArrow(_stretch_rows(width, broadcast(bitmap(repeated.select("fp"), bits)), broadcast(bitmap(repeated.where(F.col("n") > hot_rows).select("fp"), bits))), "fp long, rid long, at int, windows binary, hot boolean")
+    rows, every = "fp long, rid long, at int, windows binary, hot boolean", None
+    if index is None:
+        index = FingerprintIndex(spark, windows=False)
+        dealt = [index.add(docs.where(F.pmod(F.hash("rid"), F.lit(BATCHES)) == i).select("text").mapInArrow(_anchor_rows(width), "fp long")) for i in range(BATCHES)]
+        found = dealt[0]
+        for other in dealt[1:]:
+            found = found.unionByName(other)
+        repeated = written(found.groupBy("fp").agg(F.max("n").alias("n")), "repeated")
+    else:
+        every = index.windows() if index.runs else None
+        repeated = written(index.add(docs.select("text").mapInArrow(_anchor_rows(width), "fp long"), docs.mapInArrow(_stretch_rows(width, None, None), rows)), "repeated")
+    hot = broadcast(bitmap(repeated.where(F.col("n") > hot_rows).select("fp"), bits))
+    stretches = docs.mapInArrow(_stretch_rows(width, broadcast(bitmap(repeated.select("fp"), bits)), hot), rows)
+    if every is not None:
+        stretches = stretches.unionByName(every.join(repeated.select("fp").hint("merge"), "fp", "left_semi").select("fp", "windows").mapInArrow(_earlier_rows(hot), rows))
     stretches = written(stretches, "stretches")
-    cold = stretches.where("not hot").repartition(partitions(spark), "fp").sortWithinPartitions("fp").mapInArrow(_repeats, "rid long, at int, n int")
+    cold = stretches.where("not hot").repartition(partitions(spark), "fp").sortWithinPartitions("fp").mapInArrow(_repeats, "rid long, at int, n int").where("at >= 0")
 
     hot = stretches.where("hot")
     kinds = written(hot.groupBy("windows").agg(F.count("*").alias("c")), "kinds").withColumn("kind", F.xxhash64("windows"))
     windows = written(kinds.mapInArrow(_single, "w long, kind long, i int, c long"), "windows")
     twice = windows.groupBy("w").agg(F.sum("c").alias("c")).where("c > 1").select("w")
     marks = windows.join(twice, "w").groupBy("kind").agg(F.collect_list("i").alias("marks"))
-    marked = hot.select("rid", "at", F.xxhash64("windows").alias("kind")).join(written(marks, "marks"), "kind")
+    marked = hot.where("at >= 0").select("rid", "at", F.xxhash64("windows").alias("kind")).join(written(marks, "marks"), "kind")
     return cold.unionByName(marked.mapInArrow(_marked, "rid long, at int, n int"))
 
 

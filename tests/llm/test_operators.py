@@ -113,6 +113,26 @@ def brute_components(rows, percent=90):
     return sorted((d, len(s), least[find(i)]) for i, d, s in sets)
 
 
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_windows_of_earlier_batches_are_repeats(spark, hot):
+    words = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    batch = lambda *texts: spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, rid long")
+    index = substrings.FingerprintIndex(spark, fan_in=2)
+    spans = lambda b: sorted({(r.rid, r.at + i) for r in substrings.repeated_spans(b, hot_rows=hot, index=index).collect() for i in range(r.n)})
+    assert spans(batch(words(0, 60), words(1000, 40))) == []
+    assert spans(batch(words(500, 50), words(300, 20) + " " + words(10, 40) + " " + words(700, 20))) == [(1, i) for i in range(20, 26)]
+    assert spans(batch(words(2000, 40))) == []
+    assert spans(batch(words(505, 40), words(1000, 40))) == [(rid, i) for rid in (0, 1) for i in range(6)]
+    assert len(index.runs) == 2
+
+
+def test_a_table_is_merged_batch_by_batch(spark, small, monkeypatch):
+    joined, add = [], substrings.FingerprintIndex.add
+    monkeypatch.setattr(substrings.FingerprintIndex, "add", lambda self, *how: joined.append(len(self.runs)) or add(self, *how))
+    substrings.removals(small).collect()
+    assert joined == [0, 1, 2]
+
+
 def test_ngram_components(spark, small, real, none):
     rng = np.random.default_rng(1)
     base = [f"b{i}" for i in range(150)]
