@@ -18,16 +18,18 @@ ARCHIVE_BYTES, ARCHIVE_DEPTH, TEXT_BYTES = 500 << 20, 2, 2_000_000
 WEST, SOUTH, EAST, NORTH = -124.6, 32.4, -114.0, 42.1
 
 
-def _members(name: str, raw: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
+def _members(name: str, raw: bytes, depth: int) -> Iterator[tuple[str, bytes, str | None]]:
+    """(name, content, problem) of a file, or of an archive's members; of the archive itself if it is too large to unpack."""
     if depth < ARCHIVE_DEPTH and name.lower().endswith(".zip") and zipfile.is_zipfile(io.BytesIO(raw)):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             if sum(i.file_size for i in z.infolist()) > ARCHIVE_BYTES:
+                yield name, raw, f"expands to more than {ARCHIVE_BYTES} bytes; not unpacked"
                 return
             for i in z.infolist():
                 if not i.is_dir():
                     yield from _members(f"{name}!{i.filename}", z.read(i), depth + 1)
     else:
-        yield name, raw
+        yield name, raw, None
 
 
 def docx_text(raw: bytes) -> str:
@@ -58,8 +60,8 @@ def _text(name: str, raw: bytes) -> str | None:
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for name, raw in _members(path, content, 0):
-                text, problem = None, None
+            for name, raw, problem in _members(path, content, 0):
+                text = None
                 try:
                     text = _text(name, raw)
                 except (KeyError, zipfile.BadZipFile) as e:

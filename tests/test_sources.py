@@ -56,6 +56,20 @@ def test_outliers_need_three_lines(spark):
     assert held(rows) == [4] and held(rows.where("id in (1, 4)")) == []
 
 
+def test_archive_too_large_to_unpack_is_named(monkeypatch):
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("a.txt", "x" * 100)
+    monkeypatch.setattr(files, "ARCHIVE_BYTES", 50)
+    [row] = [r for b in files._expand([pa.record_batch([pa.array(["f.zip"]), pa.array([raw.getvalue()])], ["path", "content"])]) for r in b.to_pylist()]
+    assert row["path"] == "f.zip" and row["content"] == raw.getvalue() and row["text"] is None and "50 bytes" in row["problem"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(40, 41)], "a long, b long")
     got = {r.id: r.component for r in linkage.components(edges, spark.range(1, 43)).collect()}
