@@ -1,4 +1,4 @@
-"""Bitmaps of bounded size over 64-bit keys: which rows are worth sending on. A bit set by chance costs time, never a result."""
+"""Bitmaps over 64-bit keys: which rows are worth sending on. Their size follows the number of keys up to a bound; a bit set by chance costs time, never a result, as what passes is joined with the keys themselves."""
 
 from __future__ import annotations
 
@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from .kernel import U, mix
 from .spill import partitions
 
-#: Eight megabytes, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits for each key, and the most bits of a bitmap (64 MB).
+BITS_PER_KEY, MOST_BITS = 16, 1 << 29
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys ^ U(0x5BD1E995)) & U(bits - 1)).astype(np.int64)
 
 
-def bitmap(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Packed bits of the slots of the only column (long, no null). Each task fills slices, and only these, of bits / 8 bytes in all, are gathered."""
+def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """Packed bits of the slots of the only column (long, no null), as many as suit the number of keys. Each task fills slices, and only these, of bits / 8 bytes in all, are gathered."""
+    if bits is None:
+        bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
     slices = min(64, max(1, bits >> 12))
     size = bits // slices
 

@@ -1,23 +1,29 @@
 """Vectorised words and hashes over Arrow string columns.
 
-Texts stay UTF-8 bytes: one byte table marks separators, prefix sums of a
-polynomial give each word's 64-bit hash, and n-gram hashes build on those, so
-no Python object is made per word.
+Texts stay UTF-8 bytes: one byte table marks separators, and words are hashed
+eight bytes at a time, all words of a slice at once, so no Python object is
+made per word. The state is scrambled between steps, so texts built for
+polynomial hashes (Thue-Morse words) don't meet; words of more than ``LONG``
+bytes go by BLAKE2. Hashes of n-grams are polynomials of word hashes: sequences
+that would meet there are longer than any n-gram here.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of a word up to which its hash is computed with those of other words.
+LONG = 128
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_Q = 0xC2B2AE3D27D4EB4F
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -56,7 +62,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(_P), _Powers(_Q)
+_WORDS = _Powers(_Q)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +90,24 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans. Equal bytes have equal hashes, wherever they stand."""
+    wide = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    rows, at, left = slice(None), start, size
+    for _ in range(0, LONG, 8):
+        h[rows] = mix(mix(h[rows] ^ U(0x2545F4914F6CDD1D)) + (eight[at] & _FIRST[np.minimum(left, 8)]))
+        if not (more := left > 8).any():
+            break
+        rows = np.flatnonzero(more) if isinstance(rows, slice) else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Words:
     """The words of a slice: byte spans, 64-bit hashes, and for each text the range of its words."""
 
@@ -100,11 +124,13 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.of = np.searchsorted(self.start, at)
+        self.data = data if case is IDENTITY else case[data]
         if hashes:
-            up, down = _BYTES.get(n + 1)
-            sums = np.zeros(n + 1, U)
-            np.cumsum(_BYTE[case[data]] * up[:n], out=sums[1:])
-            self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+            self.hash = word_hashes(self.data, self.start, self.end)
+
+    def word(self, i: int) -> bytes:
+        """The bytes of a word, in the case that was asked for."""
+        return self.data[self.start[i] : self.end[i]].tobytes()
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of each k consecutive words; those that begin at word j, for every j up to the slice's last k words. Text borders are not heeded."""

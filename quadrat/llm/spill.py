@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where that is unset, a local one is set if all tasks run in this process; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="quadrat-")
+        if known.isDefined():
+            at = known.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            at = "file://" + tempfile.mkdtemp(prefix="quadrat-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -36,7 +41,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Rows and bytes of an Arrow batch: two tasks' texts, their arrays and a JVM have to fit into an executor.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -17,8 +17,9 @@ stretches of windows go another way: equal stretches are counted map-side, then
 the windows of the different ones, and what repeats is joined back, so that no
 task needs the rows of a key together.
 
-Both choices are read from bitmaps of bounded size (``FILTER_BITS``) that tasks
-get by broadcast; a bit set by chance costs time, never a result.
+Both choices are read from bitmaps that tasks get by broadcast, of a size that
+follows the number of repeated anchors up to a bound; a bit set by chance costs
+time, never a result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmaps import FILTER_BITS, bitmap, has
+from .bitmaps import bitmap, has
 from .kernel import U, Words, buffers, chunks, mix, signed, sliding_min
 from .spill import bounded_batches, partitions, scratch, written
 
@@ -232,7 +233,7 @@ def buffers_of(column) -> tuple[np.ndarray, np.ndarray]:
     return (data if data.ctypes.data % 8 == 0 else data.copy()), at
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS, bits: int = FILTER_BITS, index: FingerprintIndex | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS, bits: int | None = None, index: FingerprintIndex | None = None) -> DataFrame:
     """(rid, at, n) of the windows that occur more than once: n windows in a row of the row rid, from word ``at``.
 
     docs: text string, rid long. Null and short texts have no windows. A window
@@ -265,21 +266,22 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS
     cold = stretches.where("not hot").repartition(partitions(spark), "fp").sortWithinPartitions("fp").mapInArrow(_repeats, "rid long, at int, n int").where("at >= 0")
 
     hot = stretches.where("hot")
-    kinds = written(hot.groupBy("windows").agg(F.count("*").alias("c")), "kinds").withColumn("kind", F.xxhash64("windows"))
-    windows = written(kinds.mapInArrow(_single, "w long, kind long, i int, c long"), "windows")
-    twice = windows.groupBy("w").agg(F.sum("c").alias("c")).where("c > 1").select("w")
-    marks = windows.join(twice, "w").groupBy("kind").agg(F.collect_list("i").alias("marks"))
-    marked = hot.where("at >= 0").select("rid", "at", F.xxhash64("windows").alias("kind")).join(written(marks, "marks"), "kind")
-    return cold.unionByName(marked.mapInArrow(_marked, "rid long, at int, n int"))
+    kinds = written(hot.groupBy("fp", "windows").agg(F.count("*").alias("c")), "kinds").select("fp", "windows", "c", F.xxhash64("windows").alias("kind"))
+    windows = written(kinds.mapInArrow(_single, "fp long, w long, kind long, i int, c long"), "windows")
+    twice = windows.groupBy("fp", "w").agg(F.sum("c").alias("c")).where("c > 1").select("fp", "w")
+    marks = windows.join(twice, ["fp", "w"]).groupBy("fp", "kind").agg(F.collect_list("i").alias("marks"))
+    marked = hot.where("at >= 0").select("fp", F.xxhash64("windows").alias("kind"), "rid", "at").join(written(marks, "marks"), ["fp", "kind"])
+    return cold.unionByName(marked.select("kind", "rid", "at", "marks").mapInArrow(_marked, "rid long, at int, n int"))
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, kind, i, c): the windows of (windows, c, kind)."""
+    """(fp, w, kind, i, c): the windows of (fp, windows, c, kind)."""
     for b in batches:
-        data, ends = buffers_of(b.column(0))
+        data, ends = buffers_of(b.column(1))
         row = np.repeat(np.arange(b.num_rows), np.diff(ends) // 8)
         i = np.arange(len(row)) - (ends[:-1] // 8)[row]
-        yield pa.record_batch([pa.array(signed(data.view(U))), b.column(2).take(pa.array(row)), pa.array(i.astype(np.int32)), b.column(1).take(pa.array(row))], ["w", "kind", "i", "c"])
+        row = pa.array(row)
+        yield pa.record_batch([b.column(0).take(row), pa.array(signed(data.view(U))), b.column(3).take(row), pa.array(i.astype(np.int32)), b.column(2).take(row)], ["fp", "w", "kind", "i", "c"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,39 +293,41 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _spans(b.column(1).to_numpy()[row], b.column(2).to_numpy()[row] + at.flatten().to_numpy())
 
 
-def _cut(width: int, digest: bool):
-    """From batches of (row, text, spans): row, the word counts, and the digest of the words that stay, or the text: these words where some went, else as it was."""
+def _kept_words(raw: bytes, spans: list | None, width: int) -> tuple[list[bytes], int]:
+    """The words outside of spans, and the number of all."""
+    w = raw.split()
+    if not spans:
+        return w, len(w)
+    cover = np.zeros(len(w) + 1, np.int32)
+    first = np.array([s["at"] for s in spans])
+    np.add.at(cover, first, 1)
+    np.add.at(cover, first + [s["n"] + width - 1 for s in spans], -1)
+    return [x for x, c in zip(w, np.cumsum(cover[:-1]).tolist(), strict=True) if not c], len(w)
+
+
+def _digested(width: int):
+    """From (doc_id, text, spans): the word counts, and the digest of the words that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = buffers_of(b.column(1))
+            data, at = buffers(b.column(1))
             data = data.tobytes()
             words, removed, kept = [], [], []
             for row, spans in enumerate(b.column(2).to_pylist()):
-                raw = data[at[row] : at[row + 1]]
-                w = raw.split()
-                words.append(len(w))
-                gone = 0
-                if spans:
-                    cover = np.zeros(len(w) + 1, np.int32)
-                    first = np.array([s["at"] for s in spans])
-                    np.add.at(cover, first, 1)
-                    np.add.at(cover, first + [s["n"] + width - 1 for s in spans], -1)
-                    stay = np.cumsum(cover[:-1]) == 0
-                    gone = int(len(w) - stay.sum())
-                    w = [x for x, s in zip(w, stay, strict=True) if s]
-                removed.append(gone)
-                kept.append(hashlib.sha256(b" ".join(w)).hexdigest() if digest else b" ".join(w).decode() if gone else b.column(1)[row].as_py())
-            yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
+                stay, n = _kept_words(data[at[row] : at[row + 1]], spans, width)
+                words.append(n)
+                removed.append(n - len(stay))
+                kept.append(hashlib.sha256(b" ".join(stay)).hexdigest())
+            yield pa.record_batch([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def _judged(docs: DataFrame, rest, width: int, **how) -> DataFrame:
-    """(row, text, spans): each row of docs, with ``rest`` of it under row. Rows equal in id and text have a common rid, and so the same spans."""
-    docs = docs.select(rest.alias("row"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    spans = repeated_spans(docs, width, **how).groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    return docs.join(spans, "rid", "left").select("row", "text", "spans")
+def _spanned(docs: DataFrame, width: int, **how) -> DataFrame:
+    """(_row, spans): each row of docs (doc_id, text, ...) and its spans or null. Rows equal in id and text have a common key, and so the same spans."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64("doc_id", "text").alias("rid"))
+    spans = repeated_spans(docs.select("text", F.xxhash64("doc_id", "text").alias("rid")), width, **how)
+    return rows.join(spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "rid", "left").select("_row", "spans")
 
 
 def removals(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
@@ -331,11 +335,12 @@ def removals(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
 
     Words are runs of bytes other than the six ASCII spaces. A null text has no
     words: 0, 0 and the digest of nothing. Rows with one doc_id stay apart, and
-    a row equal in id and text is a second occurrence like any other.
+    a row equal in id and text is a second occurrence like any other. No rows
+    give none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = _judged(docs, F.col("doc_id"), width, **how).mapInArrow(_cut(width, True), f"row {kind}, n_words long, n_removed long, kept string")
-    return out.withColumnsRenamed({"row": "doc_id", "kept": "kept_sha256"})
+    out = _spanned(docs.select("doc_id", "text"), width, **how).select("_row.doc_id", "_row.text", "spans")
+    return out.mapInArrow(_digested(width), f"row {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("row", "doc_id")
 
 
 def dedup_text(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
@@ -343,18 +348,23 @@ def dedup_text(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
 
     Of a window that occurs several times every occurrence goes, as in
     ``removals``. A text from which nothing is cut stays byte for byte; one of
-    which nothing is left becomes empty. Columns and their order stay, whatever
-    their names.
+    which nothing is left becomes empty; a null stays. Columns and their order
+    stay, whatever their names. Only texts that are cut go to Python.
     """
-    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    rows = _judged(docs, rest, width, **how)
-    cut = rows.mapInArrow(_cut(width, False), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else b" ".join(_kept_words(t.encode(), s, width)[0]).decode() for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    rows = _spanned(docs, width, **how)
+    some = F.col("spans").isNotNull()
+    rows = rows.withColumn("kept", cut(F.when(some, F.col("_row.text")), "spans"))
 
     def column(c: str):
         if c == "text":
-            return F.col("kept")
+            return F.when(some, F.col("kept")).otherwise(F.col("_row.text"))
         if c == "n_chars":
-            return F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType)
-        return F.col(f"row.`{c}`")
+            return F.when(some, F.length("kept")).otherwise(F.col("_row.n_chars")).cast(docs.schema[c].dataType)
+        return F.col(f"_row.`{c}`")
 
-    return cut.select(*(column(c).alias(c) for c in docs.columns))
+    return rows.select(*(column(c).alias(c) for c in docs.columns))
