@@ -5,19 +5,26 @@ columns are shingles. The product of the matrix with its transpose counts
 overlaps; size-derived bounds discard most of it before it is formed:
 
 * a row of which more than n - ceil(t n) shingles occur nowhere else cannot
-  reach the threshold with anything. That is counted first over a residue class
-  of the shingles (a count over fewer shingles is still a lower bound), then,
-  for the rows that stay, over all of them;
-* rows that stay are ordered by (frequency, hash). Two rows that reach the
-  threshold share a column of their first n - ceil(t n) + 1, so only that block
-  of columns is multiplied, and the columns left of a common one bound the
-  overlap from above;
-* pairs that are left are verified over whole sets.
-
-Only connected groups are asked for, so the product is formed in two steps:
-first each column's most central row against its others; then, for columns
-whose rows are still in several groups, rows of different groups. A group of
-many near copies is joined by its first star, not by all of its pairs.
+  reach the threshold with anything. That is counted over a residue class of
+  the shingles first (a count over fewer shingles is still a lower bound), and
+  for the rows that stay over all of them;
+* columns are ordered by (frequency, hash), those of one row first. Two rows
+  that reach the threshold share a column of the larger one's first
+  n - ceil(t n) + 1 and of the smaller one's first n - ceil(2t / (1 + t) n) + 1:
+  only this leading block is multiplied first, and where its first common
+  column stands bounds the overlap from above;
+* for the pairs that are left the product is formed over all columns. They are
+  dealt into blocks of hash ranges, as many as a row's size asks for; a block of
+  one row meets the same block of its partner, the partial overlap counts are
+  summed by pair, and pairs below the least overlap for their sizes go.
+
+Only connected groups are asked for, so the leading block is multiplied in two
+steps: first each column's most central row by its others; then, for columns
+whose rows are still in several groups, rows of different groups, in tiles of
+at most ``TILE`` by ``TILE`` rows. A group of many near copies is joined by its
+first star, not by all of its pairs; pages of one template whose own parts are
+too large to link have no column in the smaller one's leading block, and so
+form no pair at all.
 """
 
 from __future__ import annotations
@@ -26,18 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import FILTER_BITS, bitmap, has
+from .bitmaps import bitmap, has
 from .components import components
 from .kernel import LOWER, U, Words, chunks, mix, signed
-from .spill import bounded_batches, partitions, written
+from .spill import bounded_batches, written
 
 N = 3
 PERCENT = 90
-#: Cells that a task holds before it sends them.
-PACK = 400_000
+#: Shingles of a row in a block of columns, about.
+WIDE = 4096
+#: Rows of a column in a block of rows.
+TILE = 2048
 
 
 def _set_of(words: Words, grams: np.ndarray, row: int, n: int) -> np.ndarray:
@@ -69,132 +78,30 @@ def _profiles(n: int):
                     size.append(len(g))
                     digest.append(_digests(g))
                 d = np.array(digest, U).reshape(-1, 2)
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(size, pa.int32()), pa.array(signed(d[:, 0])), pa.array(signed(d[:, 1]))], ["doc_id", "n", "cid", "check"])
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(signed(d[:, 0])), pa.array(signed(d[:, 1]))], ["doc_id", "n", "cid", "check"])
 
     return run
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """First all lowest bytes, then all next ones, and so on: sorted or small numbers compress well so."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-_CELLS = "b int, h binary, at binary, classes binary"
-
-
-def _packed(cid: np.ndarray, doc: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The cells of a batch by bucket of h: each shingle once, with its class, or with none if classes of the batch share it."""
-    if not len(h):
-        return
-    order = np.argsort(h)
-    h, c = h[order], cid[doc[order]]
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    low, high = np.minimum.reduceat(c, start), np.maximum.reduceat(c, start)
-    h, shared = h[start], low != high
-    cut = np.searchsorted(((h >> U(40)) * U(buckets)) >> U(24), np.arange(buckets + 1))
-    rows = []
-    for k, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if e > s:
-            classes, at = np.unique(low[s:e], return_inverse=True)
-            at = at + 1
-            at[shared[s:e]] = 0
-            rows.append((k, _planes(h[s:e]), _planes(at.astype("<u4")), classes.tobytes()))
-    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["b", "h", "at", "classes"])
-
-
-def _text_cells(n: int, share: int, buckets: int):
-    """Cells of texts, of one residue class of the shingles, packed by about PACK of them."""
+def _text_cells(n: int, share: int):
+    """(cid, h): the class of each text and its shingles of one residue class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cids, docs, hs, held = [], [], [], 0
         for b in batches:
             for i, j, data, at in chunks(b.column(0)):
                 w = Words(data, at, case=LOWER)
                 grams = w.grams(n)
+                cids, hs = [], []
                 for row in range(j - i):
                     g = _set_of(w, grams, row, n)
-                    h = g[g % U(share) == 0]
-                    docs.append(np.full(len(h), len(cids), np.int32))
                     cids.append(_digests(g)[0])
-                    hs.append(h)
-                    held += len(h)
-                if held > PACK:
-                    yield from _packed(signed(np.array(cids, U)), np.concatenate(docs), np.concatenate(hs), buckets)
-                    cids, docs, hs, held = [], [], [], 0
-        if hs:
-            yield from _packed(signed(np.array(cids, U)), np.concatenate(docs), np.concatenate(hs), buckets)
-
-    return run
-
-
-def _set_cells(buckets: int):
-    """Cells of whole sets (cid, grams)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grams = b.column(1)
-            n = np.diff(grams.offsets.to_numpy())
-            yield from _packed(b.column(0).to_numpy(), np.repeat(np.arange(len(n)), n), grams.flatten().to_numpy().view(U), buckets)
-
-    return run
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of each bucket, the first column, of rows sorted by it."""
-    now, rows = None, []
-    for b in batches:
-        for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if k != now and rows:
-                yield rows
-                rows = []
-            now = k
-            rows.append(row)
-    if rows:
-        yield rows
-
-
-_COUNTS = "b int, cids binary, us binary"
-
-
-def _own_cells(buckets: int):
-    """Per class the shingles that no other one has, of cells sorted by bucket, packed by bucket of the class. Holds one bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
-            h = np.concatenate([_from_planes(r[0], "<u8") for r in rows])
-            at = [_from_planes(r[1], "<u4") for r in rows]
-            c = np.concatenate([np.append(0, np.frombuffer(r[2], np.int64))[a] for r, a in zip(rows, at, strict=True)])
-            shared = np.concatenate(at) == 0
-            order = np.argsort(h)
-            h, c, shared = h[order], c[order], shared[order]
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            own = (np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & ~np.maximum.reduceat(shared, start)
-            cid, u = np.unique(c[start[own]], return_counts=True)
-            of = (mix(cid.view(U)) % U(buckets)).astype(np.int32)
-            order = np.argsort(of, kind="stable")
-            cid, u, of = cid[order], u[order].astype("<u4"), of[order]
-            cut = np.searchsorted(of, np.arange(buckets + 1))
-            full = [(k, cid[s:e].tobytes(), _planes(u[s:e])) for k, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
-            if full:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*full, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["b", "cids", "us"])
+                    hs.append(g[g % U(share) == 0])
+                cid = np.repeat(np.array(cids, U), [len(h) for h in hs])
+                yield pa.record_batch([pa.array(signed(cid)), pa.array(signed(np.concatenate(hs)))], ["cid", "h"])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, u) of counts sorted by bucket: a row a class."""
-    for rows in _by_bucket(batches):
-        cid = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-        u = np.concatenate([_from_planes(r[1], "<u4") for r in rows])
-        cid, at = np.unique(cid, return_inverse=True)
-        yield pa.record_batch([pa.array(cid), pa.array(np.bincount(at, u).astype(np.int64))], ["cid", "u"])
-
-
 def _sets(n: int, wanted):
     """Class and whole set of the texts whose key the bitmap has."""
 
@@ -210,118 +117,141 @@ def _sets(n: int, wanted):
                 if sets:
                     ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                     cid = signed(np.array([_digests(g)[0] for g in sets], U))
-                    yield pa.record_batch([pa.array(cid), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sets))))], ["cid", "n", "grams"])
+                    yield pa.record_batch([pa.array(cid), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(sets))))], ["cid", "n", "grams"])
 
     return run
 
 
-def _unique(cells: DataFrame) -> DataFrame:
-    """(cid, u): how many shingles of the cells are of no other class. A shingle comes once from a batch of documents, so a common one is no hot key, and counts travel packed, so rows grow with the classes only."""
-    n = partitions(cells.sparkSession)
-    dealt = lambda df: df.repartition(n, "b").sortWithinPartitions("b")
-    return dealt(dealt(cells).mapInArrow(_own_cells(2 * n), _COUNTS)).mapInArrow(_summed, "cid long, u long")
-
-
 def _apart(percent: int) -> str:
     """How many shingles a row of n may have that its partner lacks."""
-    return f"(n - cast((n * {percent} + 99) div 100 as int))"
+    return f"(n - cast((n * {percent} + 99) div 100 as bigint))"
+
+
+def _low(percent: int) -> str:
+    """The same for the smaller row of a pair."""
+    return f"(n - cast((2 * n * {percent} + {99 + percent}) div {100 + percent} as bigint))"
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a_*, b_*) at a common column: sizes, and the columns from there on, must allow the least overlap."""
+    """(x, y, x_n, y_n) of pairs (a_*, b_*) at a common column: sizes, and the columns from there on, must allow the least overlap."""
     least = f"({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent}"
-    ok = pairs.where(f"1 + least(a_n - a_pos, b_n - b_pos) - 1 >= {least} and least(a_n, b_n) >= {least}")
-    return ok.select(F.least("a_cid", "b_cid").alias("x"), F.greatest("a_cid", "b_cid").alias("y")).distinct()
+    ok = pairs.where(f"least(a_n - a_pos, b_n - b_pos) >= {least}")
+    first = F.col("a_cid") < F.col("b_cid")
+    a, b = F.struct(F.col("a_cid").alias("cid"), F.col("a_n").alias("n")), F.struct(F.col("b_cid").alias("cid"), F.col("b_n").alias("n"))
+    ok = ok.select(F.when(first, a).otherwise(b).alias("x"), F.when(first, b).otherwise(a).alias("y"))
+    return ok.select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y"), F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n")).distinct()
+
+
+def _level(n: str) -> Column:
+    """A row of n shingles has 2 ** level blocks of columns."""
+    return F.expr(f"cast(ceil(log2(greatest(1D, ({n}) / {WIDE}D))) as int)")
+
+
+def _column_blocks(ordered: DataFrame, percent: int) -> DataFrame:
+    """(cid, level, b, cols): each row's columns by block, at the level of its size and at that of the largest partner it may have. Most rows have one block."""
+    at = ordered.select("cid", "grams", F.explode(F.array_distinct(F.array(_level("n"), _level(f"n * 100 div {percent}")))).alias("level"))
+    one = at.where("level = 0").select("cid", "level", F.lit(0).alias("b"), F.col("grams").alias("cols"))
+    cells = at.where("level > 0").select("cid", "level", F.explode("grams").alias("h")).withColumn("b", F.expr("cast(shiftrightunsigned(h, 64 - level) as int)"))
+    return one.unionByName(cells.groupBy("cid", "level", "b").agg(F.collect_list("h").alias("cols")))
 
 
-def _verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the threshold. Shingles of one row only are not in ``grams``; no overlap has them."""
-    side = lambda c: ordered.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("grams").alias(f"{c}_grams"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("o", F.size(F.array_intersect("x_grams", "y_grams")))
-    return both.where(f"100 * o >= {percent} * (x_n + y_n - o)").select("x", "y")
+def _product(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose overlap, summed over the blocks of columns, reaches the threshold. Shingles of one row only are in no block; no overlap has them."""
+    pairs = pairs.withColumn("level", _level("greatest(x_n, y_n)"))
+    side = lambda c: blocks.select(F.col("cid").alias(c), "level", "b", F.col("cols").alias(f"{c}_cols"))
+    met = pairs.join(side("x"), ["x", "level"]).join(side("y"), ["y", "level", "b"])
+    partial = met.select("x", "y", "x_n", "y_n", F.size(F.array_intersect("x_cols", "y_cols")).alias("o"))
+    summed = partial.groupBy("x", "y", "x_n", "y_n").agg(F.sum("o").alias("o"))
+    return summed.where(f"100 * o >= {percent} * (x_n + y_n - o)").select("x", "y")
 
 
-def classes_and_links(docs: DataFrame, n: int = N, percent: int = PERCENT, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tiles(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of different labels at common columns, the larger row with a smaller one in whose leading block the column is. A column's rows are dealt into blocks, and pairs of blocks meet."""
+    blocks = open_.groupBy("h").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"), F.max("low").alias("any"))
+    rows = open_.join(blocks.where("any").drop("any"), "h").withColumn("blk", F.pmod(F.hash("cid"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda t, p: t.select("h", "i", "j", *(F.col(c).alias(f"{p}_{c}") for c in ("cid", "n", "pos", "label")))
+    larger = rows.select("*", F.col("blk").alias("i"), every.alias("j"))
+    smaller = rows.where("low").select("*", F.col("blk").alias("j"), every.alias("i"))
+    met = side(larger, "a").join(side(smaller, "b"), ["h", "i", "j"])
+    return met.where("a_label <> b_label and (b_n < a_n or (b_n = a_n and b_cid < a_cid))")
+
+
+def classes_and_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles, classes, labels): per row doc_id, n, cid; per set cid, rep; per linked set node, label."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     share = max(1, 60 // max(1, 100 - percent))
-    buckets = 2 * partitions(spark)
-    profiles = written(docs.mapInArrow(_profiles(n), f"doc_id {kind}, n int, cid long, check long"), "profiles")
+    profiles = written(docs.mapInArrow(_profiles(n), f"doc_id {kind}, n long, cid long, check long"), "profiles")
     classes = written(profiles.where("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    few = _unique(docs.select("text").mapInArrow(_text_cells(n, share, buckets), _CELLS))
-    stay = classes.join(few, "cid", "left").where(f"coalesce(u, 0) <= {_apart(percent)}").select(F.xxhash64("rep").alias("k"))
-    wanted = spark.sparkContext.broadcast(bitmap(stay, bits))
-    sets = written(docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_sets(n, wanted), "cid long, n int, grams array<long>"), "sets")
-    few = _unique(sets.select("cid", "grams").mapInArrow(_set_cells(buckets), _CELLS))
-    sets = sets.join(few, "cid", "left").where(f"coalesce(u, 0) <= {_apart(percent)}").groupBy("cid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    sets = written(sets, "sets")
+    cells = docs.select("text").mapInArrow(_text_cells(n, share), "cid long, h long")
+    own = cells.groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")).where("cid = other")
+    stay = classes.join(own.groupBy("cid").agg(F.count("*").alias("u")), "cid", "left").where(f"coalesce(u, 0) <= {_apart(percent)}")
+    stay = written(stay.select("cid", F.xxhash64("rep").alias("k")), "stay")
+    wanted = spark.sparkContext.broadcast(bitmap(stay.select("k")))
+    sets = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(_sets(n, wanted), "cid long, n long, grams array<long>")
+    sets = written(sets.join(stay.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "sets")
     cells = sets.select("cid", F.explode("grams").alias("h"))
     often = cells.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     rows = cells.join(often, "h").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"))
     ordered = rows.join(sets.select("cid", "n"), "cid").select("cid", "n", F.col("g.h").alias("grams")).withColumn("u", F.col("n") - F.size("grams"))
     ordered = written(ordered.where(f"u <= {_apart(percent)}"), "ordered")
-    block = ordered.select("cid", "n", "u", F.posexplode(F.expr(f"slice(grams, 1, {_apart(percent)} + 1 - u)")).alias("i", "h"))
-    block = written(block.select("cid", "n", "u", "h", (F.col("u") + F.col("i")).alias("pos")), "block")
+    blocks = written(_column_blocks(ordered, percent), "columns")
+    block = ordered.select("cid", "n", "u", F.posexplode(F.expr(f"slice(grams, 1, cast({_apart(percent)} + 1 - u as int))")).alias("i", "h"))
+    block = block.select("cid", "n", "u", "h", (F.col("u") + F.col("i")).alias("pos")).withColumn("low", F.expr(f"pos <= {_low(percent)}"))
+    block = written(block, "block")
 
     side = lambda t, p: t.select("h", *(F.col(c).alias(f"{p}_{c}") for c in t.columns if c != "h"))
     pivots = block.groupBy("h").agg(F.min(F.struct("u", "n", "cid", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("h", "p.cid", "p.n", "p.pos")
     stars = side(block, "a").join(side(pivots, "b"), "h").where("a_cid <> b_cid")
-    links = written(_verified(_bounded(stars, percent), ordered, percent), "links")
+    links = written(_product(_bounded(stars, percent), blocks, percent), "links")
     labelled = block.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     open_ = written(labelled.join(mixed, "h", "left_semi"), "open")
-    rest = side(open_, "a").join(side(open_, "b"), "h").where("a_label < b_label")
-    more = _verified(_bounded(rest, percent), ordered, percent)
+    more = _product(_bounded(_tiles(open_, percent), percent), blocks, percent)
     return profiles.select("doc_id", "n", "cid"), classes.select("cid", "rep"), components(links.unionByName(more))
 
 
-def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, **how) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id long, text; other columns are not read).
 
     A text shorter than n words is one shingle, its whole sequence. A null or
     empty text, or one of spaces only, has no shingle and is its own component.
     Rows with equal sets, repeated rows among them, are linked. Rows that share
-    a doc_id are judged each by its own text. Sets are told apart by 64-bit
-    hashes of shingles and of sets.
+    a doc_id are judged each by its own text. No rows give no rows. Shingles are
+    told apart by 64-bit hashes, sets by 128 bits and their size.
     """
-    profiles, classes, labels = classes_and_links(docs, n, percent, **how)
+    profiles, classes, labels = classes_and_links(docs, n, percent)
     groups = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     groups = written(groups, "groups")
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = written(groups.join(least, "label").select("cid", "component_id"), "of")
     out = profiles.join(of, "cid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
-def _sorted_out(suspects, wanted: bool):
-    """Rows (k, row) of which the bitmap has the key, or has not."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(has(suspects.value, b.column(0).to_numpy().view(U)) == wanted))
 
-    return run
-
-
-def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, bits: int = FILTER_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group of linked rows: that of the least doc_id, and among rows of one doc_id that of the least text hash; of rows equal in both, any. Rows without words stay. Columns stay as they are, whatever their names.
 
-    Only rows that a bitmap takes for rejected or repeated are shuffled.
+    Only rows that a bitmap takes for rejected or repeated are shuffled; a task
+    gets their keys, not their texts.
     """
     key = F.struct("doc_id", F.xxhash64("doc_id", "text").alias("h"))
-    found = written(ngram_components(docs.select(key.alias("doc_id"), "text"), n, percent, bits=bits), "found").withColumn("k", F.col("doc_id.h"))
+    found = written(ngram_components(docs.select(key.alias("doc_id"), "text"), n, percent), "found").withColumn("k", F.col("doc_id.h"))
     gone = written(found.where("not doc_id <=> component_id").select("k").distinct(), "gone")
     repeated = found.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    suspects = docs.sparkSession.sparkContext.broadcast(bitmap(gone.unionByName(repeated), bits))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kind = f"k long, row {rows.schema['row'].dataType.simpleString()}"
-    clear = rows.mapInArrow(_sorted_out(suspects, False), kind)
-    judged = rows.mapInArrow(_sorted_out(suspects, True), kind).join(gone, "k", "left_anti").dropDuplicates(["k"])
-    return clear.unionByName(judged).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(written(gone.unionByName(repeated), "suspects")))
+
+    @F.arrow_udf("boolean")
+    def suspect(k: pa.Array) -> pa.Array:
+        return pa.array(has(bits.value, k.to_numpy(zero_copy_only=False).view(U)))
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("suspect", suspect("k"))
+    judged = rows.where("suspect").join(gone, "k", "left_anti").dropDuplicates(["k"])
+    return rows.where("not suspect").unionByName(judged).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 __all__ = ["classes_and_links", "ngram_components", "one_of_each"]
