@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernel import buffers
+from .spill import bounded_batches
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -30,6 +31,8 @@ WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 LIMIT = 4096
 #: Words, and prefixes, whose counts a worker keeps.
 KEPT_WORDS = 250_000
+#: Characters of a prefix, and of a word, that is kept.
+SHORT = 64
 
 
 class PieceModel:
@@ -94,36 +97,45 @@ class PieceModel:
     def prefixes(self, word: str) -> list[int]:
         """Token counts of the 0, 1, ... first characters of a word, which holds no mark but at its beginning.
 
-        The state of a prefix, its count and its last token, is kept for all
-        words that begin with it.
+        Counts and last tokens are held by position, so time and memory grow
+        with the word's length. States of the first ``SHORT`` characters are
+        kept for all words that begin alike.
         """
         if len(self.states) > KEPT_WORDS:
             self.states = {}
-        states, made, ends, fits = self.states, self.made, self.ends, self.fits
+        states, chars, longest = self.states, self.chars, self.longest
         counts, last = [0], [""]
-        for end in range(1, len(word) + 1):
-            prefix = word[:end]
-            state = states.get(prefix)
-            if state is None:
-                if prefix[-1] not in self.chars:
-                    state = counts[-1] + len(prefix[-1].encode(errors="surrogatepass")), ""
-                else:
-                    begin = end - 1
-                    while True:
-                        t = word[begin:end]
-                        if t in made:
-                            p = last[begin]
-                            if not p or ((ok := fits.get((p, t))) is None and self.compatible(p, t)) or ok:
-                                state = counts[begin] + 1, t
-                                break
-                        elif t not in ends:
-                            raise ValueError(f"no last token of {prefix!r}")
-                        begin -= 1
-                states[prefix] = state
+        for end in range(1, min(SHORT, len(word)) + 1):
+            if (state := states.get(prefix := word[:end])) is None:
+                state = states[prefix] = self._state(word, end, counts, last)
             counts.append(state[0])
             last.append(state[1])
+        for end in range(SHORT + 1, len(word) + 1):
+            if word[end - 1] in chars:
+                n, t = self._state(word, end, counts, last)
+            else:
+                n, t = counts[-1] + len(word[end - 1].encode(errors="surrogatepass")), ""
+            counts.append(n)
+            last.append(t)
+            if end > longest:
+                last[end - longest] = None  # out of any token's reach
         return counts
 
+    def _state(self, word: str, end: int, counts: list[int], last: list[str]) -> tuple[int, str]:
+        """Count and last token of a prefix, from those of shorter ones."""
+        made, ends, fits = self.made, self.ends, self.fits
+        if word[end - 1] not in self.chars:
+            return counts[-1] + len(word[end - 1].encode(errors="surrogatepass")), ""
+        for begin in range(end - 1, -1, -1):
+            t = word[begin:end]
+            if t in made:
+                p = last[begin]
+                if not p or ((ok := fits.get((p, t))) is None and self.compatible(p, t)) or ok:
+                    return counts[begin] + 1, t
+            elif t not in ends:
+                break
+        raise ValueError(f"no last token at character {end} of a word")
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
@@ -138,6 +150,8 @@ class _Kept(dict):
         self.value, self.old = value, {}
 
     def __missing__(self, word: str) -> int:
+        if len(word) > SHORT:
+            return self.value(word)
         if len(self) > KEPT_WORDS:
             self.old = dict(self)
             self.clear()
@@ -219,22 +233,26 @@ def model_path(name: str = MODEL) -> str:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text). A null or empty text has no bytes and no tokens; rows are judged one by one. ``path``: the model's file, on every executor."""
+    """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text). A null or empty text has no bytes and no tokens; rows are judged one by one, repeated ones too; a very long word takes time and memory in proportion. ``path``: the model's file, on every executor."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_counted(path or model_path(), limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _prefix_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([counter.prefix_counts(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "counts"])
+            for i, t in enumerate(b.column(1)):
+                counts = pa.array(counter.prefix_counts(t.as_py() or ""))
+                yield pa.record_batch([b.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts)], ["doc_id", "counts"])
 
     return run
 
 
 def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, counts: the token counts of every prefix (by code points) of every text; [0] for a null or empty one."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_prefix_rows(path or model_path()), f"doc_id {kind}, counts array<long>")
 
