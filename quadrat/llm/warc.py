@@ -4,7 +4,9 @@ An archive is a row of gzip members, one a record. The reader deals byte
 ranges to tasks. A task looks for gzip's magic bytes from the beginning of its
 range, takes a place for a member only if it decodes to a record's header, and
 from there reads member after member; it owns those that begin inside its range
-and reads on past the end to finish the last.
+and reads on past the end to finish the last. Between members nothing may stand,
+so a place where the next one should begin but no whole one does is damage and
+an error, as is a number of records that isn't the one written.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .spill import partitions, scratch, written
 
 MAGIC = b"\x1f\x8b\x08"
+#: What a record begins with.
+VERSION = b"WARC/1."
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,16 +91,20 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     its own and only files of tasks that ended well are listed, so lost or
     repeated tasks leave nothing that is read.
     """
-    rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("d"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"))
-    shared = rows.groupBy("d").agg(F.max("page_id").alias("largest"), F.count("*").alias("c")).where("c > 1")
-    shared = written(shared.select("d", "largest"), "shared")
-    revisit = (F.col("bytes") >= least_bytes) & F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    rows = rows.join(shared, "d", "left").select("page_id", "url", "html", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    small = pages.select("page_id", digest.alias("d")).where(size >= least_bytes)
+    equal = small.groupBy("d").agg(F.max("page_id").alias("largest"), F.count("*").alias("c")).where("c > 1")
+    # numbers and digests meet; a page gets its answer by its number, so copies of one page are no hot key where html travels
+    known = small.join(equal, "d").where("largest is not null and not page_id <=> largest").select(F.col("page_id").alias("_id"), F.col("d").alias("_d"), F.col("largest").alias("refers_to")).distinct()
+    known = written(known, "revisits")
+    rows = pages.select("page_id", "url", "html", digest.alias("d")).join(known, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("d") == F.col("_d")), "left")
+    rows = rows.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
     return written(rows.mapInArrow(_writer(folder), "path string, size long, records long"), "files")
 
 
 class RecordReader:
-    """Records of an archive that begin in a byte range."""
+    """Records of an archive that begin in a byte range. Damage is an error: a member that is cut short or whose stream or checksum is wrong, and anything else between members."""
 
     def __init__(self, source, start: int, end: int, size: int):
         self.source, self.end, self.size = source, end, size
@@ -115,28 +123,40 @@ class RecordReader:
         self.base, self.data = self.base + n, self.data[n:]
 
     def _member(self) -> tuple[bytes, int] | None:
-        """The record at the beginning of the data and its length there; None if none begins here."""
+        """The record at the beginning of the data and its length there; None if what begins here isn't a record. Raises if one begins and doesn't end."""
         squeezed = zlib.decompressobj(31)
-        parts, used, checked = [], 0, False
-        while True:
-            try:
-                parts.append(squeezed.decompress(self.data[used:]))
-            except zlib.error:
-                return None
-            used = len(self.data)
-            if not checked:
-                head = b"".join(parts)[:7]
-                if head[: len(b"WARC/1.")] != b"WARC/1."[: len(head)]:
+        try:
+            head = squeezed.decompress(self.data, len(VERSION))
+            while len(head) < len(VERSION) and not squeezed.eof:
+                n = len(self.data)
+                if not self._more():
                     return None
-                checked = len(head) == 7
-            if squeezed.eof:
-                return (b"".join(parts), used - len(squeezed.unused_data)) if checked else None
-            if not self._more():
-                return None
+                head += squeezed.decompress(squeezed.unconsumed_tail + self.data[n:], len(VERSION) - len(head))
+        except zlib.error:
+            return None
+        if head != VERSION:
+            return None
+        parts, rest = [head], squeezed.unconsumed_tail
+        try:
+            while True:
+                parts.append(squeezed.decompress(rest))
+                if squeezed.eof:
+                    return b"".join(parts), len(self.data) - len(squeezed.unused_data)
+                n = len(self.data)
+                if not self._more():
+                    raise ValueError(f"a record at byte {self.base} is cut short")
+                rest = self.data[n:]
+        except zlib.error as e:
+            raise ValueError(f"a damaged record at byte {self.base}: {e}") from None
 
     def __iter__(self) -> Iterator[bytes]:
+        inside = self.base == 0  # at the border of a member, not somewhere within one
         while self.base < self.end:
+            if len(self.data) < len(MAGIC) and self._more():
+                continue
             at = self.data.find(MAGIC)
+            if inside and self.data and at != 0:
+                raise ValueError(f"no record begins at byte {self.base}, where the last one ends")
             if at < 0:
                 keep = min(len(self.data), len(MAGIC) - 1)
                 self._drop(len(self.data) - keep)
@@ -149,6 +169,9 @@ class RecordReader:
             if found := self._member():
                 yield found[0]
                 self._drop(found[1])
+                inside = True
+            elif inside:
+                raise ValueError(f"no record begins at byte {self.base}, where the last one ends")
             else:
                 self._drop(1)
 
@@ -206,7 +229,16 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bo
     return out if payloads else out.drop("payload")
 
 
+def checked(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder; an error if they aren't as many as the records of files."""
+    rows = written(rows, "records")
+    got, want = rows.count(), files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if got != want:
+        raise ValueError(f"{got} records were read and {want} written")
+    return rows
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of pages, as read back from the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of pages, as read back from the archives. A null html is an empty payload; rows that share page_id and html have one answer; no rows give none."""
     files = write_archives(pages, folder or scratch(pages.sparkSession, "warc"))
-    return read_archives(files, split_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read_archives(files, split_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), files)
