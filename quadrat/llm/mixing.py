@@ -5,12 +5,12 @@ capacity for their weight gives each its target, no more than ``MOST`` times
 its size. A document of a source with rate r = target / size is taken floor(r)
 times, and once more with probability r - floor(r).
 
-That draw is seeded by hashes, and marginally a Bernoulli draw. Draws of
-documents of like size are made together: in strata of a source, sorted by
-size, the seed of the stratum is moved on by the fraction from document to
-document, and one is taken when the sum passes a whole number. So a source's
-words come near its target even where a few long documents hold most of them,
-which independent draws miss.
+Each document's draw is its own: its doc_id's hash, turned by the seed of its
+source, is compared with the fraction. A source tries ``SEEDS`` seeds, all in
+one pass over narrow rows, and takes the one whose words come nearest to its
+target, so that a small source isn't missed where a few documents hold most of
+its words: the miss of one draw is about a standard deviation, and the least of
+64 about a fiftieth of it.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from .spill import written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-SEED = "mix-1"
-#: Documents of a source that are drawn together, about.
-STRATUM = 256
+SALT = "mix-2"
+#: Seeds that a source tries.
+SEEDS = 64
 _UNIT = float(1 << 48)
 
 
@@ -59,36 +59,61 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "docs", "source_size", "target", rate.alias("rate"))
 
 
-def _drawn(rows: DataFrame, seed: str, stratum: int) -> DataFrame:
-    """rows (doc_id, source, size, ...) with source_size, target and copies."""
-    known = written(targets(rows.select("source", "size")), "targets").withColumnRenamed("source", "_of")
-    rows = rows.join(known, F.col("source").eqNullSafe(F.col("_of")), "left")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = rows.withColumn("_s", F.pmod(_number(key), F.ceil(F.col("docs") / stratum)))
-    start = _number(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")), F.col("_s").cast("string"))) / _UNIT
-    at = F.row_number().over(Window.partitionBy("source", "_s").orderBy("size", "doc_id"))
+def _once(seed: Column, part: Column) -> Column:
+    """1 with probability ``part``: the document's number, turned by the seed, is below it."""
+    turned = F.col("_u") + seed / float(SEEDS)
+    return F.when(turned - F.floor(turned) < part, 1).otherwise(0)
+
+
+def _with_number(rows: DataFrame, salt: str) -> DataFrame:
+    return rows.withColumn("_u", _number(F.concat_ws(":", F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / _UNIT)
+
+
+def _seeds(sizes: DataFrame, salt: str) -> DataFrame:
+    """_of (a source), source_size, target, rate and _seed, a row a source, of sizes (doc_id, source, size)."""
+    known = written(targets(sizes.select("source", "size")), "targets").withColumnRenamed("source", "_of")
+    of = F.col("source").eqNullSafe(F.col("_of"))
     part = F.col("rate") - F.floor("rate")
-    once = F.floor(start + part * at) - F.floor(start + part * (at - 1))
-    return rows.withColumn("copies", F.floor("rate") + once)
+    rows = _with_number(sizes, salt).join(known.select("_of", "rate"), of)
+    tries = rows.groupBy("source").agg(*(F.sum(F.col("size") * _once(F.lit(i), part)).alias(f"s{i}") for i in range(SEEDS)))
+    tries = tries.join(known, of).withColumn("tries", F.array(*(F.abs(F.col("source_size") * F.floor("rate") + F.col(f"s{i}") - F.col("target")) for i in range(SEEDS))))
+    return written(tries.select("_of", "source_size", "target", "rate", (F.array_position("tries", F.array_min("tries")) - 1).alias("_seed")), "seeds")
+
 
+def _drawn(rows: DataFrame, sizes: DataFrame, salt: str) -> DataFrame:
+    """rows (doc_id, source, ...) with source_size, target and copies."""
+    rows = _with_number(rows, salt).join(_seeds(sizes, salt), F.col("source").eqNullSafe(F.col("_of")), "left")
+    return rows.withColumn("copies", (F.floor("rate") + _once(F.col("_seed"), F.col("rate") - F.floor("rate"))).cast("int"))
 
-def mix_plan(docs: DataFrame, seed: str = SEED, stratum: int = STRATUM) -> DataFrame:
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", n_words().alias("size")), "sizes")
+
+
+def mix_plan(docs: DataFrame, salt: str = SALT) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source).
 
-    A null text has size 0 and takes nothing; a null source is a source. A
-    source without words has target 0. Rows that share a doc_id are drawn each
-    for itself. No rows give no rows.
+    A null or wordless text has size 0 and takes nothing; a null source is a
+    source. A source without words has target 0. Rows that share a doc_id, equal
+    ones too, have the same draw. The same rows give the same answers; of seeds
+    that come as near, the first is taken. No rows give no rows.
     """
-    rows = written(docs.select("doc_id", "source", n_words().alias("size")), "sizes")
-    return _drawn(rows, seed, stratum).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = _sizes(docs)
+    return _drawn(rows, rows, salt).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, stratum: int = STRATUM) -> DataFrame:
-    """docs, each row as often as it is taken (0 to 3 times). Columns stay as they are, whatever their names."""
+def mix(docs: DataFrame, salt: str = SALT) -> DataFrame:
+    """docs, each row as often as it is taken (0 to 3 times). Columns stay as they are, whatever their names.
+
+    A document without words is copied at its source's rate like others, and
+    takes no words. Counting and drawing read doc_id, source and the number of
+    words only; texts are read once more for the copies and not shuffled while
+    the table of sources is small enough to be sent to tasks.
+    """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select("doc_id", "source", n_words().alias("size"), row.alias("row"))
-    taken = _drawn(rows, seed, stratum).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = docs.select("doc_id", "source", row.alias("row"))
+    taken = _drawn(rows, _sizes(docs), salt).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = f"""
@@ -109,11 +134,12 @@ WITH sized AS (
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN least({MOST}.0, target / source_size) ELSE 0.0 END AS rate FROM aimed
 ), dealt AS (
-  SELECT d.doc_id, d.size, r.*, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT % ceil(r.docs / {STRATUM}.0)::BIGINT AS s
+  SELECT d.doc_id, d.size, r.*, ('0x' || substr(md5(concat_ws(':', '{SALT}', coalesce(d.doc_id::VARCHAR, ''))), 1, 12))::BIGINT / {_UNIT} AS u, rate - floor(rate) AS part
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
-), placed AS (
-  SELECT *, ('0x' || substr(md5(concat_ws(':', '{SEED}', coalesce(source, ''), s::VARCHAR)), 1, 12))::BIGINT / {_UNIT} AS start,
-    row_number() OVER (PARTITION BY source, s ORDER BY size, doc_id) AS spot, rate - floor(rate) AS part FROM dealt
-)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + floor(start + part * spot) - floor(start + part * (spot - 1))))::BIGINT AS taken FROM placed
+), tried AS (
+  SELECT source, i, abs(any_value(source_size) * floor(any_value(rate)) + sum(CASE WHEN u + i / {SEEDS}.0 - floor(u + i / {SEEDS}.0) < part THEN size ELSE 0 END)::BIGINT - any_value(target)) AS miss
+  FROM dealt, range({SEEDS}) t(i) GROUP BY source, i
+), seeded AS (SELECT source, arg_min(i, (miss, i)) AS i FROM tried GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u + i / {SEEDS}.0 - floor(u + i / {SEEDS}.0) < part THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM dealt d JOIN seeded s ON d.source IS NOT DISTINCT FROM s.source
 """
