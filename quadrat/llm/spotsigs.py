@@ -3,9 +3,10 @@
 A signature is a chain: a common word (the anchor), the content word right
 after it, and the next content word within ``REACH`` words. A document's
 fingerprint is its set of signatures, as 32-bit hashes. Fingerprints are
-compared by Jaccard similarity, pruned by set length: sets whose sizes differ
-too much aren't intersected, and the join partitions sets by length so that
-only neighbouring partitions meet.
+compared by Jaccard similarity, pruned by set length: sets are partitioned by
+length so that a set that can reach the least similarity with another is in the
+same partition or a neighbouring one, and others aren't intersected. For given
+pairs (``likeness``) that least is ``FLOOR``, in the join ``SIMILARITY``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ANCHORS = (
 ).split()
 REACH = 3
 SIMILARITY = 0.8
+#: A likeness that the lengths alone show to be below this is 0.
+FLOOR = 0.1
 _SIGNS = "\t\n\x0b\f\r.,;:!?\"'()[]{}|/*#<>=+-_&%$~`^@\\"
 
 
@@ -52,11 +55,17 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(F.size("_f") > 0, F.col("_f")).otherwise(none)).drop("_w", "_c", "_f")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of two signature sets; 1 for two empty ones."""
+def partition(n: Column, least: float) -> Column:
+    """Number of the length partition: sets whose sizes' ratio is at least ``least`` are in the same or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / -math.log(least) + 1e-9)
+
+
+def likeness(a: str, b: str, least: float = FLOOR) -> Column:
+    """Jaccard similarity of two signature sets; 1 for two empty ones; 0, without an intersection, if their lengths keep it below ``least``."""
     na, nb = F.size(a), F.size(b)
+    apart = (F.abs(partition(na, least) - partition(nb, least)) > 1) | (F.least(na, nb) < least * F.greatest(na, nb))
     common = F.size(F.array_intersect(a, b))
-    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(common / (na + nb - common))
+    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0) | apart, 0.0).otherwise(common / (na + nb - common))
 
 
 def shown(a: str) -> Column:
@@ -88,7 +97,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     many first ones, or all, of the next document's. A null text is empty. Rows
     that share a doc_id follow each other by the hash of their text; rows equal
     in both are one document, and each gets its results. A lone document is its
-    own next one.
+    own next one. A null doc_id comes first. No rows give none. near_edited and
+    near_next are 0 where the sets' lengths keep them below ``FLOOR``.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.select("k", "text")
@@ -118,8 +128,7 @@ def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     often = cells.groupBy("s").agg(F.count("*").alias("df"))
     ranked = cells.join(often, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("g"))
     first = F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity) + 1e-9)
-    block = written(ranked.select("id", "n", band.alias("band"), F.explode(first).alias("f")).select("id", "n", "band", "f.s"), "block")
+    block = written(ranked.select("id", "n", partition(F.col("n"), similarity).alias("band"), F.explode(first).alias("f")).select("id", "n", "band", "f.s"), "block")
     low = block.select("s", F.col("id").alias("a"), F.col("n").alias("a_n"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("a_band"))
     high = block.select("s", F.col("id").alias("b"), F.col("n").alias("b_n"), "band")
     fits = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & ((F.col("a_band") < F.col("band")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
