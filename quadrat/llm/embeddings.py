@@ -46,6 +46,8 @@ LEAST = 2
 #: Vectors for a filter that K is chosen for.
 LOAD = 16
 BLOCK = 1024
+#: Smaller filters that are compared at once.
+COLUMNS = 2048
 SEED = 5
 
 
@@ -159,7 +161,7 @@ def _filtered(k: int, cosine: float, kind: str):
 
 
 def _matched(cosine: float, kind: str):
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         f, n = int(key[1]), len(rows)
         x = _unit(np.frombuffer(b"".join(rows["vec"]), kind).reshape(n, -1))
         near = x @ x.T >= cosine
@@ -177,9 +179,14 @@ def _matched(cosine: float, kind: str):
         smaller = [v[v < f] for v in lists]
         names, col = np.unique(np.concatenate(smaller), return_inverse=True)
         if len(names):
-            has = np.zeros((len(used), len(names)), np.float32)
-            has[np.repeat(np.arange(len(used)), [len(v) for v in smaller]), col] = 1
-            own = near & (has @ has.T == 0)
+            row, own = np.repeat(np.arange(len(used)), [len(v) for v in smaller]), near.copy()
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            for begin in range(0, len(names), COLUMNS):
+                a, b = np.searchsorted(col, (begin, begin + COLUMNS))
+                has = np.zeros((len(used), min(COLUMNS, len(names) - begin)), np.float32)
+                has[row[a:b], col[a:b] - begin] = 1
+                own &= has @ has.T == 0
         else:
             own = near
         label = np.arange(len(used))

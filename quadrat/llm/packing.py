@@ -1,9 +1,10 @@
 """Packing documents into sequences: first-fit decreasing with a tournament tree of bin capacities.
 
 Documents are tokenised and cut into full sequences and a rest where they
-stand; only lengths and places travel. Documents are dealt by a salted hash
-into groups of about ``GROUP_DOCS``, so that one task packs a bounded number of
-pieces whatever the input. In a group, pieces are placed longest first, each
+stand; only lengths and places travel. Pieces are dealt by a salted hash of
+document, place and copy into groups of about ``GROUP_PIECES``, so that one task
+packs a bounded number of pieces, though one document may have a billion tokens
+or a billion copies. In a group, pieces are placed longest first, each
 into the first sequence with room, which a tournament tree over the capacities
 finds in log(sequences) steps.
 """
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spill import written
+from .spill import bounded_batches, written
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
-GROUP_DOCS = 4096
+GROUP_PIECES = 4096
 SEED = 11
-KEPT_WORDS = 200_000
+#: Words whose ids a worker keeps, and characters of the longest of them.
+KEPT_WORDS, SHORT = 200_000, 64
 #: Separators for Python's split that the tokenizer doesn't take for white space.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Texts whose pre-tokens are found here: white space, printable ASCII and the letters of the Latin-1 block, which normalisation leaves as they are.
@@ -47,6 +49,8 @@ class _Kept(dict):
         self.value, self.old = value, {}
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > SHORT:
+            return self.value(word)
         if len(self) > KEPT_WORDS:
             self.old = dict(self)
             self.clear()
@@ -156,28 +160,34 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     """doc_id, start, length, ids_crc32, doc_tokens: every document (null text: empty) in pieces of at most ``length`` ids, its end id included, so that each has a piece."""
     import public_tokenizers
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     path = path or str(public_tokenizers.path(TOKENIZER))
     return docs.select("doc_id", "text").mapInArrow(_cut(path, length), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """pieces() with sequence_id and offset.
 
     Every id lies in exactly one piece and one place; a sequence has no gaps
-    from 0. Rows that share a doc_id are packed each for itself. No documents
-    give no rows. The same rows give the same packing.
+    from 0. A null or empty text is its end id alone. Rows that share a doc_id,
+    equal ones too, are packed each for itself. Of pieces of one length those of
+    smaller doc_id and start are placed first. No documents give no rows. The
+    same rows give the same packing.
     """
-    cut = written(pieces(docs, path, length), "pieces")
-    groups = max(1, round(cut.where("start = 0").count() / group_docs))
+    cut = pieces(docs, path, length)
+    own = cut.columns
+    cut = written(cut.groupBy(*own).agg(F.count("*").alias("c")), "pieces")
+    groups = max(1, round((cut.agg(F.sum("c")).first()[0] or 0) / group_pieces))
     kind = cut.schema["doc_id"].dataType.simpleString()
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "length", "doc_tokens"], kind="stable", ignore_index=True)
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "length", "doc_tokens", "copy"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), length)
         rows["sequence_id"] = (int(key[0]) << 32) + bins
         rows["offset"] = offsets
-        return rows.drop(columns="grp")
+        return rows.drop(columns=["grp", "copy"])
 
-    spread = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(groups)))
+    copies = cut.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("copy"))
+    spread = copies.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "copy", F.lit(SEED)), F.lit(groups)))
     return spread.groupBy("grp").applyInPandas(one, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
