@@ -5,31 +5,48 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.sources.tabular import parse_bool, parse_date
+from quadrat.sources.tabular import DELIMITERS, SNIFFED_LINES, parse_bool, parse_date
+from quadrat.sources.workbooks import sheets
 
 #: Limits of archives and of kept text, and the box of the state.
 ARCHIVE_BYTES, ARCHIVE_DEPTH, TEXT_BYTES = 500 << 20, 2, 2_000_000
 WEST, SOUTH, EAST, NORTH = -124.6, 32.4, -114.0, 42.1
 
 
+#: What a file that is no good raises.
+BAD = (KeyError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError)
+#: Suffixes without a reader.
+UNREAD = (".pdf", ".xls", ".ods", ".png", ".jpg", ".jpeg", ".tif", ".tiff")
+
+
 def _members(name: str, raw: bytes, depth: int) -> Iterator[tuple[str, bytes, str | None]]:
-    """(name, content, problem) of a file, or of an archive's members; of the archive itself if it is too large to unpack."""
-    if depth < ARCHIVE_DEPTH and name.lower().endswith(".zip") and zipfile.is_zipfile(io.BytesIO(raw)):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            if sum(i.file_size for i in z.infolist()) > ARCHIVE_BYTES:
-                yield name, raw, f"expands to more than {ARCHIVE_BYTES} bytes; not unpacked"
-                return
-            for i in z.infolist():
-                if not i.is_dir():
-                    yield from _members(f"{name}!{i.filename}", z.read(i), depth + 1)
-    else:
-        yield name, raw, None
+    """(name, content, problem) of a file, or of an archive's members; of the archive itself if it is too large or too deep to unpack, or broken."""
+    if not (name.lower().endswith(".zip") and zipfile.is_zipfile(io.BytesIO(raw))):
+        yield name, raw, f"no reader for {name[name.rindex('.'):].lower()}" if name.lower().endswith(UNREAD) else None
+        return
+    if depth >= ARCHIVE_DEPTH:
+        yield name, raw, f"an archive more than {ARCHIVE_DEPTH} deep; not unpacked"
+        return
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if sum(i.file_size for i in z.infolist()) > ARCHIVE_BYTES:
+            yield name, raw, f"expands to more than {ARCHIVE_BYTES} bytes; not unpacked"
+            return
+        for i in z.infolist():
+            if not i.is_dir():
+                try:
+                    content = z.read(i)
+                except BAD as e:
+                    yield f"{name}!{i.filename}", b"", f"can't be unpacked: {e}"
+                    continue
+                yield from _members(f"{name}!{i.filename}", content, depth + 1)
 
 
 def docx_text(raw: bytes) -> str:
@@ -52,6 +69,8 @@ def _text(name: str, raw: bytes) -> str | None:
     low = name.lower()
     if low.endswith(".docx"):
         return docx_text(raw)
+    if low.endswith((".xlsx", ".xlsm")):
+        return "\n".join("\t".join(row) for _, rows in sheets(raw) for row in rows)
     if low.endswith((".html", ".htm")):
         return html_text(raw.decode("utf-8", "replace"))
     return raw.decode("utf-8", "replace") if low.endswith((".txt", ".csv", ".tsv", ".md")) else None
@@ -64,8 +83,8 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = None
                 try:
                     text = _text(name, raw)
-                except (KeyError, zipfile.BadZipFile) as e:
-                    problem = str(e)
+                except BAD as e:
+                    problem = str(e) or type(e).__name__
                 yield pa.record_batch([pa.array([name]), pa.array([raw], pa.binary()), pa.array([text], pa.string()), pa.array([problem], pa.string())], ["path", "content", "text", "problem"])
 
 
@@ -88,7 +107,8 @@ def inspection_type(text: Column) -> Column:
 def inspections(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an inspection log with a header of known labels; other columns under extra."""
     known = {"insp date": "day", "date": "day", "type": "type", "site no.": "site", "site id": "site", "permit": "permit", "operator": "operator", "inspector": "inspector", "result": "result", "violations": "violations"}
-    rows = spark.read.csv(path, header=True, multiLine=True)
+    head = "\n".join(r.value for r in spark.read.text(path).limit(SNIFFED_LINES).collect())
+    rows = spark.read.csv(path, header=True, multiLine=True, sep=max((",", *DELIMITERS), key=head.count))
     named = {known[c.strip().lower()]: c for c in reversed(rows.columns) if c.strip().lower() in known}
     col = lambda n: F.col(f"`{named[n]}`") if n in named else F.lit(None).cast("string")
     rest = [c for c in rows.columns if c not in named.values()]

@@ -102,3 +102,81 @@ def test_pull_skips_known_files(spark):
     f = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "2")], "name string, sha256 string")
     known = spark.createDataFrame([("1",)], "sha256 string")
     assert [r.sha256 for r in incremental.pull(f, known).collect()] == ["2"]
+
+
+def test_quoted_cells(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Use report\n"Permit #",Operator Name,Site ID,"Appl Date",Product,Quantity,Units\n45,"SMITH, JOHN",301001,7/1/2021,"X ""Plus""",2,Gal\n46,"Two\nlines",301002,7/2/2021,Y,"1,000",Gal\n')
+    got = tabular.use_records(spark, str(tmp_path)).orderBy("permit_number").collect()
+    assert [(r.permit_number, r.operator_name, r.product_name, r.quantity) for r in got] == [("45", "SMITH, JOHN", 'X "Plus"', 2.0), ("46", "Two\nlines", "Y", 1000.0)]
+
+
+def test_separate_places_and_times(spark, tmp_path):
+    (tmp_path / "p.tsv").write_text("County\tTownship\tRange\tSection\tDate Applied\tTime Applied\tEnd Date/Time Applied\tProduct Name\nHumboldt\t7\t2\t3\t07/01/2021\t6:30 PM\t7/1/2021 8:05 PM\tX\nPlumas\tT29N\tR11W\t23\t2021-07-02\t0615\t\tX\n\tx\t11\t23\t2021-07-02\t99\t\tX\n")
+    got = tabular.use_records(spark, str(tmp_path)).orderBy("line").collect()
+    assert [r.mtrs for r in got] == ["H07N02E03", "M29N11W23", None]
+    assert [str(r.started) for r in got] == ["2021-07-01 18:30:00", "2021-07-02 06:15:00", "2021-07-02 00:00:00"] and str(got[0].ended) == "2021-07-01 20:05:00"
+
+
+def workbook(path, sheets):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda r, c, v: f'<c r="{chr(65 + c)}{r + 1}" s="1"><v>{v}</v></c>' if isinstance(v, float) else f'<c r="{chr(65 + c)}{r + 1}" t="inlineStr"><is><t>{v}</t></is></c>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        for i, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{r + 1}">' + "".join(cell(r, c, v) for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows)) + "</sheetData></worksheet>")
+
+
+def test_best_sheet(spark, tmp_path):
+    head = ["Permit #", "Operator Name", "Site ID", "Application Date", "Product", "Quantity"]
+    workbook(tmp_path / "w.xlsx", {"Summary": [["Permit #", "of the county"], ["x"]], "Data": [["County export"], head, ["45", "Acme", "301001", 44378.0, "X", None], ["46", None, "301002", 44379.5, "Y", "3"]], "Key": [["a"]]})
+    got = tabular.use_records(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r.permit_number, r.operator_name, str(r.application_date), r.quantity) for r in got] == [("45", "Acme", "2021-07-01", None), ("46", None, "2021-07-02", 3.0)]
+    assert "County export" in files.source_files(spark, str(tmp_path)).first().text
+
+
+def test_broken_members_give_problems(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("good.txt", "fine")
+        z.writestr("bad.txt", "spoiled " * 50)
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[raw.rindex(b"spoiled ", 0, raw.index(b"PK\x01\x02"))] ^= 1
+    (tmp_path / "a.zip").write_bytes(bytes(raw))
+    (tmp_path / "b.ods").write_bytes(b"x")
+    (tmp_path / "c.xlsx").write_bytes(b"not a workbook")
+    got = {r.path.rpartition("/")[2]: r for r in files.source_files(spark, str(tmp_path)).collect()}
+    assert got["a.zip!good.txt"].text == "fine" and "unpacked" in got["a.zip!bad.txt"].problem and ".ods" in got["b.ods"].problem and got["c.xlsx"].problem
+
+
+def test_duplicates_by_the_rules(spark):
+    day = dt.date(2021, 7, 1)
+    row = lambda i, file, mtrs="M30N10E01", site="301001", doc=None, acres=10.0, county="x", start=day: (i, county, "use_report", start, mtrs, site, doc, file, acres)
+    rows = [
+        row(1, 1), row(2, 2), row(3, 1), row(4, 3, acres=10.5), row(5, 4, acres=11.2), row(6, 5, mtrs="M30N10E02"), row(7, 6, mtrs=None, site="30-10-01"), row(8, 7, doc="A-1", acres=99.0), row(9, 8, doc="a1"), row(10, 9, doc="B"),
+        row(11, 10, county=None), row(12, 11, county=None), row(13, 12, start=None), row(14, 13, mtrs=None, site=None), row(15, 14),
+    ]
+    records = spark.createDataFrame(rows, "id int, county string, kind string, start date, mtrs string, site string, document string, file int, acres double")
+    items = [(i, "p", 1.0) for i in range(1, 15)] + [(15, "q", 1.0), (2, "r", 2.0), (7, "r", 2.0)]
+    got = {tuple(r) for r in linkage.duplicate_records(records, spark.createDataFrame(items, "id int, product string, quantity double")).collect()}
+    assert got == {(1, 4), (3, 4), (2, 7), (8, 9), (11, 12), (1, 9), (1, 10), (1, 15), (3, 9), (3, 10), (3, 15), (4, 9), (4, 10), (4, 15), (9, 15), (10, 15)}
+
+
+def test_snapshot_is_built_once(spark, tmp_path):
+    from quadrat.operators import ingest
+
+    rows, built = spark.range(5).withColumn("day", F.lit("2024-01-01")), []
+    make = lambda: built.append(1) or rows
+    for _ in range(2):
+        assert ingest.snapshot(spark, f"file://{tmp_path}", ingest.fingerprint(rows, "day"), make).count() == 5
+    assert ingest.snapshot(spark, f"file://{tmp_path}", ingest.fingerprint(rows.limit(4), "day"), make).count() == 5 and len(built) == 2
+
+
+def test_record_sink(spark, tmp_path):
+    from quadrat.operators import ingest
+
+    records = spark.createDataFrame([(1, 2021, "a", None, "f.csv"), (2, 2022, "b", 3.0, "f.csv")], "id int, year int, owner string, acres double, file string")
+    lines = spark.createDataFrame([(1, "X"), (2, "Y"), (2, "Z")], "id int, product string")
+    ingest.write_records(records, lines, str(tmp_path), "id", "file", "owner", "acres")
+    assert spark.read.parquet(f"{tmp_path}/records").where("year = 2022").count() == 1 and spark.read.parquet(f"{tmp_path}/lines").count() == 3
+    assert sorted((r.id, r.field, r.value) for r in spark.read.parquet(f"{tmp_path}/provenance").collect()) == [(1, "owner", "a"), (2, "acres", "3.0"), (2, "owner", "b")]
