@@ -84,7 +84,7 @@ def person_key(name: Column) -> Column:
     clean = F.regexp_replace(F.upper(strip_accents(F.trim(name))), "[^A-Z, ]", "")
     drop = _in((*TITLES, *SUFFIXES))
     words = lambda c: F.filter(F.split(c, "[ ,]+"), lambda w: (w != "") & ~F.array_contains(drop, w))
-    head, tail = words(F.substring_index(clean, ",", 1)), words(F.expr("''") if False else F.regexp_replace(clean, "^[^,]*,?", ""))
+    head, tail = words(F.substring_index(clean, ",", 1)), words(F.regexp_replace(clean, "^[^,]*,?", ""))
     plain = words(clean)
     ordered = F.concat(F.slice(plain, -1, 1), F.slice(plain, 1, F.greatest(F.size(plain) - 1, F.lit(0))))
     comma = F.contains(clean, F.lit(",")) & (F.size(tail) > 0)

@@ -44,3 +44,8 @@ def html_hrefs(html: Column) -> Column:
 
 def emails(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), 0)
+
+
+def is_page(path: str) -> Column:
+    """Neither a call of the interface nor a part of the site's code."""
+    return ~F.startswith(F.col(path), F.lit("/api/")) & ~F.startswith(F.col(path), F.lit("/_next/"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.names import MATCH, REJECT, company_key, company_score
+from quadrat.operators.storage import kept
 from quadrat.plans.domain import exact_sum
 
 #: Weights and thresholds of the score.
@@ -70,33 +69,19 @@ def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component) of every node: the least id that edges (a, b) lead to. Labels take their neighbours' least and then their label's own label, each round written to the checkpoint folder so that lost executors lose no lineage."""
-    spark = nodes.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels, changed = _kept(spark, nodes.select("id", F.col("id").alias("component"))), 1
-    both = _kept(spark, both)
+    labels, changed = kept(nodes.select("id", F.col("id").alias("component")), "labels"), 1
+    both = kept(both, "edges")
     while changed:
         least = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(least, labels.id == least.a, "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         jump = step.select(F.col("id").alias("j"), F.col("c").alias("jc"))
-        new = _kept(spark, step.join(jump, step.c == jump.j).select("id", "old", F.col("jc").alias("component")))
+        new = kept(step.join(jump, step.c == jump.j).select("id", "old", F.col("jc").alias("component")), "labels")
         changed = new.where("old <> component").count()
         labels = new.select("id", "component")
     return labels
 
 
-def _kept(spark, df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quadrat-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    at = f"{folder.rstrip('/')}/linkage-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def clusters(members: DataFrame) -> DataFrame:
     """Summary of (component, records): range, acres, methods, counties, flags for review."""
     return members.groupBy("component").agg(
@@ -117,9 +102,30 @@ def first_copies(files: DataFrame, order: str, *identity: Column) -> DataFrame:
     return files.withColumn("copy", F.row_number().over(Window.partitionBy(*identity).orderBy(order)))
 
 
-def duplicate_records(records: DataFrame) -> DataFrame:
-    """(a, b): records of one county, kind and day, at the same place or of the same operator, with acres within .6."""
-    side = lambda p: records.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "county", "method", "start", "operator_id", "category", "acres")))
-    on = F.expr("a_county <=> b_county and a_method = b_method and a_start = b_start and a_id < b_id")
-    near = F.expr("(a_operator_id = b_operator_id or a_category = b_category and abs(a_acres - b_acres) <= 600)")
-    return side("a").join(side("b"), on & near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+def duplicate_records(records: DataFrame, products: DataFrame, acres_within: float = 0.6) -> DataFrame:
+    """(a, b), a < b: records of different documents that report one application.
+
+    records: id, county, kind, start, mtrs, site, document, file, acres;
+    products: id, product, quantity. Two records are compared if county (nulls
+    too), kind and day are equal and so are their sections or, where one has
+    none, their site ids. With two document numbers these decide. Else their
+    products must be the same, or as many with the same known quantities, and
+    acres no more than ``acres_within`` apart. A record without a day or a place
+    repeats nothing, nor do two of one file.
+    """
+    item = F.struct(F.coalesce(F.col("product"), F.lit("")).alias("product"), F.round(F.col("quantity").cast("double"), 3).alias("quantity"))
+    sets = products.groupBy("id").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    clean = lambda c: F.nullif(F.regexp_replace(F.upper(c), "[^A-Z0-9]", ""), F.lit(""))
+    rows = records.join(sets, "id", "left").withColumns({"_site": clean(F.col("site")), "_doc": clean(F.col("document")), "_mtrs": F.nullif("mtrs", F.lit(""))})
+    places = F.array_compact(F.array(F.concat(F.lit("m/"), F.col("_mtrs")), F.concat(F.lit("s/"), F.col("_site"))))
+    fields = ("id", "file", "_mtrs", "_site", "_doc", "items", "acres")
+    keyed = rows.where("start is not null").select(F.coalesce("county", F.lit("")).alias("county"), F.col("county").isNull().alias("none"), "kind", "start", F.explode(places).alias("place"), *fields)
+    side = lambda p: keyed.select("county", "none", "kind", "start", "place", *(F.col(c).alias(f"{p}{c}") for c in fields))
+    met = side("a").join(side("b"), ["county", "none", "kind", "start", "place"]).where("aid < bid and not coalesce(afile = bfile, false)")
+    here = F.when(F.col("a_mtrs").isNotNull() & F.col("b_mtrs").isNotNull(), F.col("a_mtrs") == F.col("b_mtrs")).otherwise(F.col("a_site").eqNullSafe(F.col("b_site")))
+    amounts = lambda c: F.array_sort(F.transform(c, lambda x: x["quantity"]))
+    known = ~F.exists("aitems", lambda x: x["quantity"].isNull()) & (F.size("aitems") == F.size("bitems")) & (amounts("aitems") == amounts("bitems"))
+    same = F.coalesce((F.col("aitems") == F.col("bitems")) | known, F.lit(False))
+    close = F.coalesce(F.abs(F.col("aacres") - F.col("bacres")) <= acres_within, F.lit(True))
+    repeats = F.when(F.col("a_doc").isNotNull() & F.col("b_doc").isNotNull(), F.col("a_doc") == F.col("b_doc")).otherwise(same & close)
+    return met.where(here & repeats).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()

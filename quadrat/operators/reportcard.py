@@ -11,9 +11,14 @@ from quadrat.plans.domain import exact_sum
 
 def inspected(apps: DataFrame, inspections: DataFrame) -> DataFrame:
     """Ids of apps with an inspection of their county and category from a day before they start to a day after they end. (apps: id, county, category, start, ended; inspections: county, category, day.)"""
-    i = inspections.select(F.col("county").alias("c"), F.col("category").alias("s"), "day")
-    within = (F.col("day") >= F.date_sub("start", 1)) & (F.col("day") <= F.date_add(F.coalesce("ended", "start"), 1))
-    return apps.join(i, (apps.county == i.c) & (apps.category == i.s) & within, "left_semi").select("id")
+    week = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / 7)
+    first, last = F.date_sub("start", 1), F.date_add(F.coalesce("ended", "start"), 1)
+    # each side is dealt by county, category and week, so that a county's years don't meet in one task
+    a = apps.select("id", "county", "category", first.alias("first"), last.alias("last")).where("first <= last")
+    a = a.select("*", F.explode(F.sequence(week(F.col("first")), week(F.col("last")))).alias("week"))
+    i = inspections.select("county", "category", "day", week(F.col("day")).alias("week")).distinct()
+    met = a.join(i, ["county", "category", "week"]).where("day between first and last")
+    return met.select("id").distinct()
 
 
 def year_metrics(apps: DataFrame, inspections: DataFrame) -> DataFrame:

@@ -14,8 +14,12 @@ OUTLIER_LEAST_LINES = 3
 def judged(lines: DataFrame, acres: Column) -> DataFrame:
     """lines with rate, the median rate of (product, unit), and held_out: a rate of more than ten times the median of at least three lines. Unresolved units and lines without acres aren't judged."""
     rate = F.when(F.col("family").isin("volume", "mass") & (acres > 0), F.col("quantity") / acres)
-    key = Window.partitionBy(F.upper("product"), "unit")
-    return lines.withColumn("rate", rate).withColumn("typical", F.median("rate").over(key)).withColumn("held_out", F.coalesce((F.count("rate").over(key) >= OUTLIER_LEAST_LINES) & (F.col("rate") > OUTLIER_FACTOR * F.col("typical")), F.lit(False)))
+    rated = lines.withColumn("rate", rate)
+    key = [F.upper("product").alias("_product"), F.col("unit").alias("_unit")]
+    typical = rated.where("rate is not null").groupBy(*key).agg(F.median("rate").alias("typical"), F.count("*").alias("_n"))
+    met = rated.join(typical, F.upper("product").eqNullSafe(F.col("_product")) & F.col("unit").eqNullSafe(F.col("_unit")), "left").drop("_product", "_unit")
+    held = F.coalesce((F.col("_n") >= OUTLIER_LEAST_LINES) & (F.col("rate") > OUTLIER_FACTOR * F.col("typical")), F.lit(False))
+    return met.withColumn("held_out", held).drop("_n")
 
 
 def tally(apps: DataFrame, lines: DataFrame, *by: str) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.operators.storage import scratch
+
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
     """New Parquet files of a folder, or one file, as a stream; ts becomes a timestamp, as watermarks need."""
@@ -62,10 +62,13 @@ def ingest(stream: DataFrame, checkpoint: str, known: Callable[[], DataFrame], w
 
 
 def run_now(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all that a stream has now, and return its result as a table."""
-    name = f"result_{uuid.uuid4().hex}"
+    """Process all that a stream has now, and return its result as a table in the shared folder. Each batch writes a part of its own, over what a failed try of it left; in complete mode a batch replaces the ones before."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{base.rstrip('/')}/{name}" if base else tempfile.mkdtemp(prefix="quadrat-stream-")
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    at = scratch(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/out/part-none")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/part-{'all' if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/part-*")
