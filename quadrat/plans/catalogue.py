@@ -1,4 +1,4 @@
-"""Every query of the reference's own operators, by name, with the SQL that checks it.
+"""Every query of the engine's own operators, by name, with the SQL that checks it.
 
 A query takes (spark, sf_dir) and reads the driver's tables as the domain of
 ``domain.py``. SQL is DuckDB's, over views of the same names.
@@ -520,9 +520,20 @@ def _(d):
     return linkage.proposals(linkage.scored(_pairs(records), records), labels)
 
 
-@on("duplicate_records", ", x AS (SELECT 1) SELECT p.id AS a, q.id AS b FROM apps p JOIN apps q ON p.county = q.county AND p.method = q.method AND p.start = q.start AND p.id < q.id AND (p.operator_id = q.operator_id OR p.category = q.category AND abs(p.acres - q.acres) <= 600)")
+@on("duplicate_records", """, rec AS (SELECT id, county, method AS kind, date_trunc('month', start)::DATE AS start, CASE WHEN id % 2 = 0 THEN 'S' || (operator_id % 5)::VARCHAR END AS mtrs, 'p-' || (operator_id % 3)::VARCHAR AS site,
+  CASE WHEN id % 3 = 0 THEN 'd' || (id % 6)::VARCHAR END AS document, id % 4 AS file, acres FROM apps),
+items AS (SELECT id, list_sort(list(DISTINCT {'p': kind, 'q': quantity % 3})) AS items, list_sort(list_transform(list(DISTINCT {'p': kind, 'q': quantity % 3}), lambda x: x.q)) AS amounts FROM lines GROUP BY id),
+r AS (SELECT rec.*, items, amounts FROM rec LEFT JOIN items USING (id))
+SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.county = b.county AND a.kind = b.kind AND a.start = b.start AND a.id < b.id AND a.file <> b.file
+WHERE (CASE WHEN a.mtrs IS NOT NULL AND b.mtrs IS NOT NULL THEN a.mtrs = b.mtrs ELSE a.site = b.site END)
+  AND CASE WHEN a.document IS NOT NULL AND b.document IS NOT NULL THEN a.document = b.document ELSE coalesce(a.items = b.items OR a.amounts = b.amounts, false) AND abs(a.acres - b.acres) <= 50000 END""")
 def _(d):
-    return linkage.duplicate_records(d.apps)
+    i, c = F.col("id"), F.col("operator_id")
+    records = d.apps.select(
+        "id", "county", F.col("method").alias("kind"), F.trunc("start", "month").alias("start"), F.when(i % 2 == 0, F.concat(F.lit("S"), (c % 5).cast("string"))).alias("mtrs"), F.concat(F.lit("p-"), (c % 3).cast("string")).alias("site"),
+        F.when(i % 3 == 0, F.concat(F.lit("d"), (i % 6).cast("string"))).alias("document"), (i % 4).alias("file"), "acres",
+    )
+    return linkage.duplicate_records(records, d.lines.select("id", F.col("kind").alias("product"), (F.col("quantity") % 3).alias("quantity")), acres_within=50_000)
 
 
 # chemistry
@@ -834,3 +845,6 @@ def _(spark, sf_dir):
     c, s = domain.table(spark, sf_dir, "customer"), domain.table(spark, sf_dir, "supplier")
     apps = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("area"), F.col("c_name").alias("owner"), F.lit(None).cast("string").alias("landowner"))
     return overlay.select_parcels_of_area(apps, s.select(F.col("s_nationkey").alias("area"), F.col("s_name").alias("parcel_owner"), F.col("s_suppkey").cast("string").alias("apn")))
+
+
+from quadrat.plans import directory  # noqa: E402, F401  registers its queries here
