@@ -51,7 +51,7 @@ def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
     kind = "s int, bits binary"
     n = min(slices, partitions(keys.sparkSession))
     out = np.zeros(bits // 8, np.uint8)
-    for r in keys.mapInArrow(fill, kind).repartition(n, "s").mapInArrow(union, kind).toLocalIterator():
+    for r in keys.mapInArrow(fill, kind).repartition(n, "s").mapInArrow(union, kind).collect():
         out[r.s * size // 8 : (r.s + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 

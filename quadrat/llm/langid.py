@@ -134,7 +134,7 @@ def _filled(chosen: DataFrame, planes: int, slots: int) -> list[np.ndarray]:
     kind = "p int, s int, table binary"
     n = min(planes * (slots // size), partitions(chosen.sparkSession))
     out = [np.zeros(slots, U) for _ in range(planes)]
-    for r in chosen.mapInArrow(fill, kind).repartition(n, "p", "s").mapInArrow(union, kind).toLocalIterator():
+    for r in chosen.mapInArrow(fill, kind).repartition(n, "p", "s").mapInArrow(union, kind).collect():
         out[r.p][r.s * size : (r.s + 1) * size] = np.frombuffer(r.table, U)
     return out
 
