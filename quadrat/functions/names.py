@@ -5,10 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quadrat.functions.sites import let
+
 #: Legal forms, spellings of one stem, and words too common to tell names apart.
 LEGAL = ("INC", "INCORPORATED", "LLC", "LLP", "LP", "LTD", "LIMITED", "CORP", "CORPORATION", "CO", "COMPANY", "PC", "PLLC", "TRUST", "THE")
 STEMS = {
@@ -91,5 +93,52 @@ def person_key(name: Column) -> Column:
     return F.coalesce(F.when(F.size(plain) == 0, "").when(comma, F.array_join(F.concat(head, tail), " ")).otherwise(F.array_join(ordered, " ")), F.lit(""))
 
 
+def person_parts(name: Column) -> Column:
+    """struct(given, middle, family, suffix) of either name order, '' for what there is none of. 'Compton, Jr' is a suffix after a comma; a single name is a family's."""
+    text = F.regexp_replace(F.upper(strip_accents(F.trim(F.coalesce(name, F.lit(""))))), "[^A-Z, ]", " ")
+    words = lambda c: F.filter(F.split(c, "[ ,]+"), lambda w: w != "")
+    head, tail = words(F.substring_index(text, ",", 1)), words(F.regexp_replace(text, "^[^,]*,?", ""))
+    after = (F.size(tail) == 1) & F.array_contains(_in(SUFFIXES), F.get(tail, 0))
+    ordered = F.when(after, F.concat(head, tail)).otherwise(F.concat(tail, head))
+
+    def made(every: Column) -> Column:
+        ends = F.filter(every, lambda w: F.array_contains(_in(SUFFIXES), w))
+        suffix = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(""))
+        return let(F.filter(every, lambda w: ~F.array_contains(_in((*TITLES, *SUFFIXES)), w)), lambda t: _named(t, suffix))
+
+    return let(ordered, made)
+
+
+def _named(t: Column, suffix: Column) -> Column:
+    given = F.when(F.size(t) > 1, F.get(t, 0)).otherwise("")
+    middle = F.when(F.size(t) > 2, F.array_join(F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))), " ")).otherwise("")
+    return F.struct(given.alias("given"), middle.alias("middle"), F.coalesce(F.get(t, F.size(t) - 1), F.lit("")).alias("family"), suffix.alias("suffix"))
+
+
+def person_match_key(name: Column) -> Column:
+    """'FAMILY|GIVEN', without middle names, which sources give or leave out."""
+    return let(person_parts(name), lambda p: F.when(p["given"] == "", p["family"]).otherwise(F.concat(p["family"], F.lit("|"), p["given"])))
+
+
+def compare_people(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with score and matched of two people's names: a match is a candidate, never a decision.
+
+    Families that are less than .9 alike tell people apart (the score is then
+    their likeness), else: .95, a match, for equal given names; .75 if their
+    middle names differ; .8 if one given name begins the other; .5 otherwise; 0
+    if either can't be parsed. Only different families go to Python.
+    """
+    x = pairs.withColumns({"_pa": person_parts(F.col(a)), "_pb": person_parts(F.col(b))})
+    part = lambda side, k: F.col(f"_p{side}.{k}")
+    fa, fb, ga, gb, ma, mb = (part(s, k) for k in ("family", "given", "middle") for s in "ab")
+    unlike = x.where((fa != "") & (fb != "") & (fa != fb)).select(fa.alias("_fa"), fb.alias("_fb")).distinct().withColumn("_r", sequence_ratio(F.col("_fa"), F.col("_fb")))
+    x = x.join(unlike, (fa == F.col("_fa")) & (fb == F.col("_fb")), "left")
+    both, begins = (ga != "") & (gb != ""), ga.startswith(gb) | gb.startswith(ga)
+    score = (
+        F.when((fa == "") | (fb == ""), 0.0).when((fa != fb) & (F.col("_r") < 0.9), F.round("_r", 4)).when(both & (ga == gb) & (ma != "") & (mb != "") & (ma != mb), 0.75).when(both & (ga == gb), 0.95).when(both & begins, 0.8).otherwise(0.5)
+    )
+    return x.withColumn("score", score).withColumn("matched", F.col("score") == 0.95).drop("_pa", "_pb", "_fa", "_fb", "_r")
+
+
 def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))

@@ -35,11 +35,13 @@ def permit_flags(materials: DataFrame) -> DataFrame:
     return named.select("id", F.trim("name").alias("subject"), F.lit("california_restricted_material").alias("reason"), F.lit("red").alias("level"), F.lit(True).alias("regulatory"))
 
 
-def watchlist_flags(ingredients: DataFrame) -> DataFrame:
-    """Flags of ingredients on the watch list under any of their spellings; never regulatory. (id, name.)"""
-    table = F.create_map(*(F.lit(x) for name, spelled in WATCHED.items() for s in spelled for x in (s.upper(), name)))
-    subject = F.try_element_at(table, F.upper(F.trim("name")))
-    return ingredients.select("id", subject.alias("subject"), F.lit("publisher_watchlist").alias("reason"), F.lit("red").alias("level"), F.lit(False).alias("regulatory")).where("subject is not null")
+def watchlist_flags(ingredients: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
+    """Flags of ingredients (id, name) on the publisher's watch list under any of their spellings; never regulatory. ``watchlist``: name, spelling; the list as published by default."""
+    if watchlist is None:
+        watchlist = ingredients.sparkSession.createDataFrame([(name, s) for name, spelled in WATCHED.items() for s in spelled], "name string, spelling string")
+    known = watchlist.select(F.upper(F.trim("spelling")).alias("_key"), F.col("name").alias("subject")).dropDuplicates(["_key"])
+    met = ingredients.withColumn("_key", F.upper(F.trim("name"))).join(known, "_key")
+    return met.select("id", "subject", F.lit("publisher_watchlist").alias("reason"), F.lit("red").alias("level"), F.lit(False).alias("regulatory"))
 
 
 def label_flags(labels: DataFrame) -> DataFrame:

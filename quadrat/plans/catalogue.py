@@ -44,12 +44,24 @@ class _Of:
     def apps(self) -> DataFrame:
         return domain.applications(self.spark, self.dir)
 
+    def apps_of(self, *need: str) -> DataFrame:
+        """Only these columns, and only the joins that they take."""
+        return domain.applications(self.spark, self.dir, *need)
+
     @property
     def published(self) -> DataFrame:
         return self.apps.where("status = 'published'")
 
+    def published_of(self, *need: str) -> DataFrame:
+        return self.apps_of("status", *need).where("status = 'published'").drop("status")
+
     @property
     def lines(self) -> DataFrame:
+        """Product lines without their applicator, which asks for a join of its own."""
+        return domain.lines(self.spark, self.dir, applicator=False).drop("applicator")
+
+    @property
+    def lines_by(self) -> DataFrame:
         return domain.lines(self.spark, self.dir)
 
     @property
@@ -84,13 +96,13 @@ def _tally_sql(keys: str, extra: str = "", where: str = "true", of: str = "statu
 
 @on("tally_by_year", _tally_sql("year"))
 def _(d):
-    return tallies.tally(d.published, d.lines, "year")
+    return tallies.tally(d.published_of("id", "acres", "year"), d.lines, "year")
 
 
 @on("tally_all_years_rollup", f"""{_per()} SELECT year, count(*) AS applications, {xsum('acres')} AS acres, {xsum('gallons')} AS gallons, {xsum('pounds')} AS pounds, grouping(year)::INT AS all_years
   FROM apps JOIN per USING (id) WHERE status = 'published' GROUP BY ROLLUP (year)""")
 def _(d):
-    return tallies.all_years(d.published, d.lines)
+    return tallies.all_years(d.published_of("id", "acres", "year"), d.lines)
 
 
 _MIX = """, mixes AS (SELECT id, string_agg(DISTINCT ingredient, ' + ' ORDER BY ingredient) AS mix FROM lines WHERE kind = 'herbicide' GROUP BY id)"""
@@ -99,22 +111,22 @@ _MIX = """, mixes AS (SELECT id, string_agg(DISTINCT ingredient, ' + ' ORDER BY
 @on("tally_by_chemical_mix", f"{_per()}{_MIX} SELECT mix, year, {_TALLY} FROM apps JOIN per USING (id) JOIN mixes USING (id) WHERE status = 'published' GROUP BY ALL")
 def _(d):
     lines = d.lines
-    return tallies.tally(tallies.with_mix(d.published, lines), lines, "mix", "year")
+    return tallies.tally(tallies.with_mix(d.published_of("id", "acres", "year"), lines), lines, "mix", "year")
 
 
 @on("tally_by_county", _tally_sql("county, year"))
 def _(d):
-    return tallies.tally(d.published, d.lines, "county", "year")
+    return tallies.tally(d.published_of("id", "acres", "county", "year"), d.lines, "county", "year")
 
 
 @on("tally_by_landowner_top250", f"{_tally_sql('operator')} ORDER BY gallons DESC NULLS LAST, pounds DESC NULLS LAST, applications DESC, operator LIMIT 250")
 def _(d):
-    return tallies.largest(tallies.tally(d.published, d.lines, "operator"), 250, "operator")
+    return tallies.largest(tallies.tally(d.published_of("id", "acres", "operator"), d.lines, "operator"), 250, "operator")
 
 
 @on("tally_adjuvants", _tally_sql("product, year", ", product", "kind = 'adjuvant'"))
 def _(d):
-    return tallies.tally(d.published, d.lines.where("kind = 'adjuvant'"), "product", "year")
+    return tallies.tally(d.published_of("id", "acres", "year"), d.lines.where("kind = 'adjuvant'"), "product", "year")
 
 
 _JUDGED = """, rated AS (SELECT *, CASE WHEN family IN ('volume', 'mass') AND price > 0 THEN quantity / (price / 1000) END AS rate FROM lines),
@@ -155,14 +167,14 @@ def _(d):
 @on("owner_tally_compact", f"""{_per(', ingredient')}, t AS (SELECT operator, ingredient, {_TALLY} FROM apps JOIN per USING (id) WHERE status = 'published' GROUP BY ALL)
   SELECT *, row_number() OVER (PARTITION BY operator ORDER BY lines DESC, ingredient)::INT AS place FROM t QUALIFY place <= 3""")
 def _(d):
-    return tallies.top_of_each(tallies.tally(d.published, d.lines, "operator", "ingredient"), "operator", "ingredient", 3)
+    return tallies.top_of_each(tallies.tally(d.published_of("id", "acres", "operator"), d.lines, "operator", "ingredient"), "operator", "ingredient", 3)
 
 
 @on("top_n_other", f"""{_per(', ingredient')}, t AS (SELECT ingredient, year, {_TALLY} FROM apps JOIN per USING (id) WHERE status = 'published' GROUP BY ALL),
   top AS (SELECT ingredient FROM t GROUP BY ingredient ORDER BY {xsum('gallons')} DESC NULLS LAST, ingredient LIMIT 5)
   SELECT year, CASE WHEN ingredient IN (FROM top) THEN ingredient ELSE 'Other' END AS series, {xsum('gallons')} AS gallons FROM t GROUP BY ALL""")
 def _(d):
-    return tallies.folded(tallies.tally(d.published, d.lines, "ingredient", "year"), "year", "ingredient", "gallons", 5)
+    return tallies.folded(tallies.tally(d.published_of("id", "acres", "year"), d.lines, "ingredient", "year"), "year", "ingredient", "gallons", 5)
 
 
 # statistics and the grid
@@ -184,7 +196,7 @@ def _breakdown(name: str, by: str, of_lines: bool):
 
     @on(name, f", x AS (SELECT 1) SELECT {by}, count(DISTINCT id) AS applications, {xsum('acres')} AS acres FROM {keyed} WHERE status = 'published' GROUP BY {by}")
     def _(d):
-        return stats.breakdown(d.published, by, d.lines if of_lines else None)
+        return stats.breakdown(d.published, by, d.lines_by if of_lines else None)
 
 
 for _name, _by, _on_lines in (("county", "county", False), ("year", "year", False), ("applicator", "applicator", True), ("landowner", "operator", False), ("method", "method", False), ("product", "product", True)):
@@ -273,7 +285,7 @@ def _dimension(name: str, by: str | None, compat: bool = False):
 
     @on(name, f", per AS (SELECT id{extra}, {_SUMS} FROM lines GROUP BY ALL) SELECT {key}, {_TOTALS} FROM apps JOIN per USING (id){keys} GROUP BY ALL")
     def _(d):
-        return agg.aggregate(_planned(d.apps), d.lines, by, compat)
+        return agg.aggregate(_planned(d.apps), d.lines_by if by == "applicator" else d.lines, by, compat)
 
 
 for _name, _by in (("none", None), ("county", "county"), ("year", "year"), ("operator", "operator"), ("landowner", "operator_id"), ("applicator", "applicator"), ("method", "method"), ("site_category", "category"), ("district", "district"), ("product", "product")):
@@ -462,7 +474,7 @@ def _(spark, sf_dir):
 
 
 def _records(d: _Of) -> DataFrame:
-    per = d.lines.groupBy("id").agg(F.max("ended").alias("ended"), F.array_sort(F.collect_set("product_id")).alias("products"), F.min("applicator").alias("applicator"), F.min("record_kind").alias("kind"))
+    per = d.lines_by.groupBy("id").agg(F.max("ended").alias("ended"), F.array_sort(F.collect_set("product_id")).alias("products"), F.min("applicator").alias("applicator"), F.min("record_kind").alias("kind"))
     return d.apps.join(per, "id").select("id", F.col("operator").alias("owner"), "kind", "start", "ended", "applicator", "products", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("pca"), F.lit(None).cast("string").alias("permit"), "year", "operator_id")
 
 

@@ -89,6 +89,16 @@ def _(d):
     return parties.enforcement_counts(actions, "nation")
 
 
+@on("person_keys", _NONE + """SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN f ELSE f || '|' || g END AS key FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'COMPTON' WHEN 1 THEN 'PENA' ELSE 'OBRIEN' END AS f, CASE c_custkey % 2 WHEN 0 THEN 'SHANE' ELSE 'ANA' END AS g FROM customer)""")
+def _(d):
+    from quadrat.functions import names
+
+    k = F.col("c_custkey")
+    family, given = _pick(k, "Compton", "Peña", "OBrien"), _pick(k, "Shane", "Ana")
+    name = F.when(k % 5 == 0, _text(family, ", ", given, " Q.")).when(k % 5 == 1, _text("Mr. ", given, " ", family, ", Jr")).when(k % 5 == 2, _text(given, " van ", family)).when(k % 5 == 3, _text(F.upper(family), ",", given)).otherwise(family)
+    return d.table("customer").select("c_custkey", names.person_match_key(name).alias("key"))
+
+
 # intake
 
 
@@ -163,6 +173,19 @@ def _(d):
     return d.table("events").select("event_id", path.alias("path")).where(web.is_page("path")).select("event_id")
 
 
+@on("detected_formats", _NONE + """SELECT event_id, CASE WHEN score >= 0.3 THEN profile END AS profile, score FROM (
+  SELECT event_id, CASE WHEN t >= 0.7 OR t >= greatest(p, v, e) THEN 'tabular_use_records' WHEN p >= greatest(v, e) THEN 'restricted_materials_permit' WHEN v >= e THEN 'investigation_report' ELSE 'enforcement_action' END AS profile, CASE WHEN t >= 0.7 THEN t ELSE greatest(t, p, v, e) END AS score FROM (
+    SELECT event_id, CASE WHEN event_id % 5 IN (0, 3) AND user_id % 13 > 0 THEN least(1, round(0.4 + 0.05 * (user_id % 13), 6)) ELSE 0 END::DOUBLE AS t, CASE WHEN event_id % 5 IN (1, 2, 3) THEN [0, 0.6, 0.8, 0, 0.1, 0, 0][event_id % 7 + 1] ELSE 0 END::DOUBLE AS p,
+      CASE WHEN event_id % 5 IN (1, 2, 3) THEN [0, 0, 0, 0.75, 0, 0.15, 0][event_id % 7 + 1] ELSE 0 END::DOUBLE AS v, CASE WHEN event_id % 5 IN (1, 2, 3) THEN [0, 0, 0, 0, 0.8, 0.15, 0][event_id % 7 + 1] ELSE 0 END::DOUBLE AS e FROM events))""")
+def _(d):
+    from quadrat.sources import detect
+
+    k = F.col("event_id")
+    text = _pick(k, "", "Restricted Materials Permit", "RESTRICTED MATERIALS PERMIT\nSites list", "Case ID: INV-7 complaint date", "notice of proposed action; civil penalty; contact list", "nature of violation, complaint date", "x" * 9000 + "decision and order")
+    rows = d.table("events").select(k, detect.detected(_text("f", _pick(k, ".CSV", ".pdf", ".docx", ".txt", ".png")), text, F.col("user_id") % 13).alias("x"))
+    return rows.select("event_id", "x.profile", "x.score")
+
+
 # locations
 
 

@@ -21,31 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exact_sum(c: Column) -> Column:
-    """A sum of millionths, which doesn't depend on the order of rows."""
-    return F.sum(F.floor(c.cast("double") * 1e6 + 0.5).cast("decimal(28,0)")).cast("double") / 1e6
-
-
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c, n, r = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
-    p = F.col("o_orderpriority")
-    return (
-        o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-        .select(
-            F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("start"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("acres"),
-            F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "needs_review").otherwise("planned").alias("status"),
-            F.when(p.startswith("1"), "aerial").when(p.startswith("5"), "unknown").otherwise("ground").alias("method"), p.substr(1, 1).isin("1", "2").alias("flagged"),
-            F.col("n_name").alias("county"), F.col("r_name").alias("district"), F.col("o_custkey").alias("operator_id"), F.col("c_name").alias("operator"), F.col("c_mktsegment").alias("category"),
-        )
-    )
-
-
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product lines with quantities resolved by unit and formulation."""
-    li, p, s = (table(spark, sf_dir, x) for x in ("lineitem", "part", "supplier"))
+    """A sum of millionths, which doesn't depend on the order of rows: the upper bits and the lower 20 are summed apart as longs, which no number of rows overflows."""
+    v = F.floor(c.cast("double") * 1e6 + 0.5)
+    high, low = F.sum(F.shiftright(v, 20)), F.sum(v.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (high.cast("decimal(28,0)") * F.lit(1 << 20) + low.cast("decimal(28,0)")).cast("double") / 1e6
+
+
+#: Columns of an application that need the operator's row, its county's, and its district's.
+_OF_OPERATOR, _OF_COUNTY, _OF_DISTRICT = ("operator", "category"), ("county",), ("district",)
+
+
+def applications(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
+    """Applications; with ``need`` only these columns, and only the joins that they take. Keys of the schema are whole, so a join left out drops no row."""
+    o, p = table(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    columns = {
+        "id": F.col("o_orderkey"), "start": F.to_date("o_orderdate"), "year": F.year("o_orderdate"), "acres": F.col("o_totalprice"),
+        "status": F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "needs_review").otherwise("planned"),
+        "method": F.when(p.startswith("1"), "aerial").when(p.startswith("5"), "unknown").otherwise("ground"), "flagged": p.substr(1, 1).isin("1", "2"),
+        "county": F.col("n_name"), "district": F.col("r_name"), "operator_id": F.col("o_custkey"), "operator": F.col("c_name"), "category": F.col("c_mktsegment"),
+    }
+    asked = need or tuple(columns)
+    if {*asked} & {*_OF_OPERATOR, *_OF_COUNTY, *_OF_DISTRICT}:
+        o = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    if {*asked} & {*_OF_COUNTY, *_OF_DISTRICT}:
+        o = o.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    if {*asked} & {*_OF_DISTRICT}:
+        o = o.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return o.select(*(columns[c].alias(c) for c in asked))
+
+
+def lines(spark: SparkSession, sf_dir: str, applicator: bool = True) -> DataFrame:
+    """Product lines with quantities resolved by unit and formulation; without ``applicator`` its table isn't joined."""
+    li, p = (table(spark, sf_dir, x) for x in ("lineitem", "part"))
     first = F.split("p_type", " ")[0]
     state = F.when(first.isin("SMALL", "MEDIUM"), "dry").when(first.isin("LARGE", "STANDARD"), "liquid")
     unit = F.when(F.col("l_returnflag") == "R", "Gallon").when(F.col("l_returnflag") == "A", "Pounds").otherwise("Ounce")
-    rows = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
+    rows = li.join(p, li.l_partkey == p.p_partkey)
+    rows = rows.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")) if applicator else rows.withColumn("s_name", F.lit(None).cast("string"))
     return rows.select(
         F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("product_id"), F.col("p_name").alias("product"), F.col("p_brand").alias("ingredient"), F.col("p_size").alias("percent"),
         (F.col("p_retailprice") / 100).alias("density"), F.when(first == "PROMO", "adjuvant").otherwise("herbicide").alias("kind"), unit.alias("unit"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),

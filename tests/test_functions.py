@@ -142,3 +142,15 @@ def test_geometry(value):
     assert value(lambda: geo.distance_miles(F.lit(40.0), F.lit(-120.0), F.lit(41.0), F.lit(-120.0))) == pytest.approx(69.09, abs=0.01)
     ring = lambda *ps: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ps))
     assert value(lambda: geo.area_and_centroid(ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)))) == (4.0, 1.0, 1.0)
+
+
+def test_compare_people(spark):
+    from quadrat.functions import names
+
+    cases = [
+        ("Shane Compton", "Compton, Shane", 0.95), ("Shane A Compton", "Compton, Shane B", 0.75), ("S. Carnegie", "Scott Carnegie", 0.8), ("Ann Lee", "Bob Lee", 0.5), ("Compton, Jr", "Shane Compton", 0.5), (None, "A B", 0.0), ("Dr. Shane Compton III", "shane compton", 0.95),
+        ("Jo Carnegie-West", "Jo Carnegie West", 0.95), ("Jo Smithsonian", "Jo Smithsonien", 0.95), ("Jo Smith", "Jo Jones", 0.2), ("12", "Jo Jones", 0.0),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r.i: (r.score, r.matched) for r in names.compare_people(df, "a", "b").collect()}
+    assert got == {i: (s, s == 0.95) for i, (_, _, s) in enumerate(cases)}

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import shutil
 import subprocess
 import sys
 
@@ -45,10 +46,12 @@ def test_query(spark, duck, name):
         assert got == rows(columns, want.fetchall())
 
 
-def test_without_the_optional_part(tmp_path):
-    """A copy without the corpus folders imports, and has its other queries."""
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_optional_part(tmp_path, pipeline):
+    """A copy without the corpus folders imports, with or without the pipeline's file, and runs its other queries."""
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    subprocess.run(["cp", "-r", f"{repo}/quadrat", f"{repo}/__spark_entry__.py", tmp_path], check=True)
-    subprocess.run(["rm", "-rf", tmp_path / "quadrat" / "llm"], check=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'tally_by_year' in q and 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
+    shutil.copytree(f"{repo}/quadrat", tmp_path / "quadrat", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])):
+        shutil.copy(f"{repo}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'tally_by_year' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); print(len(q), len(e.oracle_sql()))"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})

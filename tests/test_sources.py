@@ -180,3 +180,13 @@ def test_record_sink(spark, tmp_path):
     ingest.write_records(records, lines, str(tmp_path), "id", "file", "owner", "acres")
     assert spark.read.parquet(f"{tmp_path}/records").where("year = 2022").count() == 1 and spark.read.parquet(f"{tmp_path}/lines").count() == 3
     assert sorted((r.id, r.field, r.value) for r in spark.read.parquet(f"{tmp_path}/provenance").collect()) == [(1, "owner", "a"), (2, "acres", "3.0"), (2, "owner", "b")]
+
+
+def test_detected_formats(spark):
+    from quadrat.sources import detect
+
+    rows = [("a.pdf", "Pesticide Use Report\nNotice of Intent", 0), ("b.pdf", "Pesticide use report. Restricted materials permit, sites list", 0), ("c.TXT", "decision and order", 6), ("d.txt", "decision and order", 3), ("e", "decision and order", 0), ("f.docx", None, 0)]
+    got = spark.createDataFrame(rows, "name string, text string, n int").select("name", detect.detected(F.col("name"), F.col("text"), F.col("n")).alias("x")).collect()
+    assert {r.name: (r.x.profile, r.x.score) for r in got} == {
+        "a.pdf": ("pur_form", 0.75), "b.pdf": ("restricted_materials_permit", 0.8), "c.TXT": ("tabular_use_records", 0.7), "d.txt": ("tabular_use_records", 0.55), "e": (None, 0.0), "f.docx": (None, 0.0),
+    }
