@@ -351,7 +351,7 @@ def test_cap_recall_at_the_threshold():
     assert np.mean(shared) > 0.97
 
 
-@pytest.mark.parametrize(("dim", "k"), [(2, 64), (16, 64), (16, 1024), (64, 256), (64, 2048)])
+@pytest.mark.parametrize(("dim", "k"), [(2, 64), (8, 64), (16, 64), (16, 1024), (32, 1024), (64, 256), (64, 4096), (256, 1024), (768, 1024)])
 def test_cap_recall_holds_for_every_k_and_dimension(dim, k):
     rng = np.random.default_rng(8)
     a, b = rng.standard_normal((2, 400, dim))
