@@ -98,8 +98,25 @@ def proposals(scores: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def first_copies(files: DataFrame, order: str, *identity: Column) -> DataFrame:
-    """Files with copy: which of the files of one identity it is, in the order given."""
-    return files.withColumn("copy", F.row_number().over(Window.partitionBy(*identity).orderBy(order)))
+    """Files with copy: which of the files of one identity it is, in the order given (a key). Nulls are an identity.
+
+    Rows are dealt by ranges of identity and order, so that one identity's many
+    files fill many tasks. Each task numbers its own; what an identity has in
+    earlier ranges, known for one identity a range at most, is added.
+    """
+    names = [f"_i{k}" for k in range(len(identity))]
+    rows = files.select("*", *(c.alias(n) for c, n in zip(identity, names, strict=True)))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(rows.repartitionByRange(n, *names, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(*names, "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null").select(F.col("_p").alias("_q"), *(F.col(c).alias(f"{c}b") for c in names), "_before")
+    same = F.col("_p") == F.col("_q")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}b"))
+    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_p", *names).orderBy(order)))
+    out = own.join(before, same, "left").withColumn("copy", (F.col("_r") + F.coalesce("_before", F.lit(0))).cast("int"))
+    return out.select(*files.columns, "copy")
 
 
 def duplicate_records(records: DataFrame, products: DataFrame, acres_within: float = 0.6) -> DataFrame:

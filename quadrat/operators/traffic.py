@@ -36,9 +36,13 @@ def within_limit(hits: DataFrame, key: str, seconds: int, limit: int) -> DataFra
 
 
 def within_budget(calls: DataFrame, limit: int, *order: str) -> DataFrame:
-    """calls with used (how many of the month so far) and granted (not beyond the limit)."""
-    w = Window.partitionBy(F.date_format("ts", "yyyy-MM")).orderBy(*order)
-    return calls.withColumn("used", F.row_number().over(w)).withColumn("granted", F.col("used") <= limit)
+    """calls (ts, ...) with used (how many of the month so far) and granted (not beyond the limit). The order begins with ts. Hours are numbered apart, after what the month's earlier hours hold, so that a month isn't one task's."""
+    rows = calls.withColumns({"_month": F.date_format("ts", "yyyy-MM"), "_hour": F.date_trunc("hour", "ts")})
+    earlier = Window.partitionBy("_month").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("_month", "_hour").agg(F.count("*").alias("_n")).select("_month", "_hour", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_month", "_hour").orderBy(*order)))
+    used = own.join(hours, ["_month", "_hour"]).withColumn("used", (F.col("_before") + F.col("_r")).cast("int"))
+    return used.withColumn("granted", F.col("used") <= limit).drop("_month", "_hour", "_before", "_r")
 
 
 def incremental_window(last: Column, days: int = 14, floor: str = "2020-01-01") -> Column:

@@ -380,13 +380,17 @@ def _(spark, sf_dir):
     return domain.table(spark, sf_dir, "customer").select("c_custkey", names.company_key(F.get(F.array(*spelled), (F.col("c_custkey") % 4).cast("int"))).alias("key"))
 
 
-@query("company_compare_pairs")
+@query("company_compare_pairs", """WITH v AS (SELECT DISTINCT 'B' || (c_custkey // 6 % 20) AS b, c_custkey % 6 AS v FROM customer), k AS (SELECT DISTINCT b, CASE v WHEN 1 THEN b || ' TIMBER SERVICES' WHEN 2 THEN 'TIMBER ' || b WHEN 3 THEN b || ' AVIATION' WHEN 5 THEN b || ' TIMBER GROUP' ELSE b || ' TIMBER' END AS key FROM v)
+  SELECT x.key AS a, y.key AS b, CASE WHEN y.key LIKE 'TIMBER%' THEN 0.97 ELSE 0.93 END AS score FROM k x JOIN k y ON x.b = y.b AND x.key < y.key WHERE NOT contains(x.key || y.key, 'AVIATION') AND (y.key NOT LIKE 'TIMBER%' OR x.key = x.b || ' TIMBER')""")
 def _(spark, sf_dir):
-    """Customers of one nation and segment whose names are matches or worth a review; the sequence similarity has no SQL."""
-    c = domain.table(spark, sf_dir, "customer").select("c_custkey", names.company_key(F.col("c_name")).alias("key"), F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("block"))
-    pairs = linkage.candidate_pairs(c, F.col("block"), key="c_custkey")
-    side = lambda p: c.select(F.col("c_custkey").alias(p), F.col("key").alias(f"{p}_key"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", names.company_score(F.col("a_key"), F.col("b_key")).alias("score")).where(F.col("score") >= names.REJECT)
+    """Different names that share a word and are matches by the exact tiers; what the sequence similarity adds below them has no SQL, tests hold it."""
+    k = F.col("c_custkey")
+    base = F.concat(F.lit("B"), (F.floor(k / 6) % 20).cast("string"))
+    spelled = F.element_at(F.array(F.concat(base, F.lit(" Timber, Inc.")), F.concat(base, F.lit(" Timber Svcs")), F.concat(F.lit("The Timber "), base), F.concat(base, F.lit(" Aviation Co")), F.concat(F.lower(base), F.lit(" timberlands LLC")), F.concat(base, F.lit(" Timber Group"))), (k % 6 + 1).cast("int"))
+    keys = domain.table(spark, sf_dir, "customer").select(names.company_key(spelled).alias("key")).distinct()
+    words = keys.withColumn("word", F.explode(F.array_distinct(names.core_tokens(F.col("key"))))).where("word <> 'TIMBER'")
+    pairs = words.select(F.col("key").alias("a"), "word").join(words.select(F.col("key").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("score", names.company_score(F.col("a"), F.col("b"))).where(F.col("score") >= 0.93)
 
 
 _SITE = "lpad((20 + l_orderkey % 31)::VARCHAR, 2, '0') || lpad((l_partkey % 70)::VARCHAR, 2, '0') || lpad((l_suppkey % 41)::VARCHAR, 2, '0')"
