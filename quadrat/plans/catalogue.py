@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions import classify, finder, names, policy, sites, units, web
@@ -510,10 +510,11 @@ _COMPONENTS = f"""WITH RECURSIVE {domain.SQL}{_EDGES}, walk AS (SELECT id, id AS
 
 
 def _components(d: _Of) -> DataFrame:
-    apps = d.apps.select("id", "operator_id", "year", "start")
-    side = lambda p: apps.select(*(F.col(c).alias(f"{p}_{c}") for c in apps.columns))
-    x = side("a").join(side("b"), F.expr("a_operator_id = b_operator_id and a_year = b_year and a_id < b_id")).where(F.abs(F.datediff("a_start", "b_start")) <= 30)
-    return linkage.components(x.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), apps.select("id"))
+    """Components of applications of one operator and year less than a month apart: neighbours in time are the only links needed."""
+    apps = d.apps_of("id", "operator_id", "year", "start")
+    w = Window.partitionBy("operator_id", "year").orderBy("start", "id")
+    near = apps.select("id", F.lag("id").over(w).alias("before"), F.datediff("start", F.lag("start").over(w)).alias("days")).where("days <= 30")
+    return linkage.components(near.select(F.col("before").alias("a"), F.col("id").alias("b")), apps.select("id"))
 
 
 @on("components", f"{_COMPONENTS} SELECT id, component FROM comp")
