@@ -27,8 +27,14 @@ def unit_key(unit: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.upper(unit), "[^A-Z ]", " ")), F.lit(""))
 
 
-def _lookup(table: dict[str, float], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+def _known(key: Column) -> Column:
+    """struct(gallons, pounds, counted, either) of a unit's key; null if the unit is unknown. Volumes are asked before masses."""
+    rows = []
+    for name in (*GALLONS, *POUNDS, *COUNTED, *EITHER):
+        gallons, pounds = GALLONS.get(name), POUNDS.get(name) if name not in GALLONS else None
+        of = (F.lit(gallons).cast("double").alias("gallons"), F.lit(pounds).cast("double").alias("pounds"), F.lit(name in COUNTED).alias("counted"), F.lit(name in EITHER).alias("either"))
+        rows += [F.lit(name), F.struct(*of)]
+    return F.try_element_at(F.create_map(*rows), key)
 
 
 def formulation_state(product: Column, formulation: Column | None = None) -> Column:
@@ -43,20 +49,23 @@ def formulation_state(product: Column, formulation: Column | None = None) -> Col
 
 
 def normalize_quantity(amount: Column, unit: Column, state: Column | None = None) -> Column:
-    """struct(family, gallons, pounds, count, note). ``state`` ('dry', 'liquid', null) decides an ounce."""
-    key = unit_key(unit)
+    """struct(family, gallons, pounds, count, note). ``state`` ('dry', 'liquid', null) decides an ounce. """
     state = F.lit(None).cast("string") if state is None else state
-    ounce = key.isin(*EITHER)
-    given = amount.isNotNull() & (key != "")
-    gallons = F.when(given & ounce & (state == "liquid"), amount / 128).when(given & ~ounce, amount * _lookup(GALLONS, key))
-    pounds = F.when(given & ounce & (state == "dry"), amount / 16).when(given & ~ounce & _lookup(GALLONS, key).isNull(), amount * _lookup(POUNDS, key))
-    count = F.when(given & key.isin(*COUNTED), amount)
-    family = F.when(gallons.isNotNull(), "volume").when(pounds.isNotNull(), "mass").when(count.isNotNull(), "count").otherwise("unknown")
-    note = (
-        F.when(amount.isNull(), "no quantity").when(key == "", "no unit").when(ounce & (state == "dry"), "weight ounce of a dry product").when(ounce & (state == "liquid"), "fluid ounce of a liquid product")
-        .when(ounce, "ounce of an unknown formulation").when(family == "unknown", F.concat(F.lit("unknown unit "), unit))
-    )
-    return F.struct(family.alias("family"), gallons.alias("gallons"), pounds.alias("pounds"), count.alias("count"), note.alias("note"))
+
+    def made(x: dict[str, Column]) -> Column:
+        ounce = F.coalesce(x["known"]["either"], F.lit(False))
+        gallons = F.when(ounce, F.when(state == "liquid", amount / 128)).otherwise(amount * x["known"]["gallons"])
+        pounds = F.when(ounce, F.when(state == "dry", amount / 16)).otherwise(amount * x["known"]["pounds"])
+        count = F.when(x["known"]["counted"], amount)
+        family = F.when(gallons.isNotNull(), "volume").when(pounds.isNotNull(), "mass").when(count.isNotNull(), "count").otherwise("unknown")
+        note = (
+            F.when(amount.isNull(), "no quantity").when(x["key"] == "", "no unit").when(ounce & (state == "dry"), "weight ounce of a dry product").when(ounce & (state == "liquid"), "fluid ounce of a liquid product")
+            .when(ounce, "ounce of an unknown formulation").when(family == "unknown", F.concat(F.lit("unknown unit "), unit))
+        )
+        return F.struct(family.alias("family"), gallons.alias("gallons"), pounds.alias("pounds"), count.alias("count"), note.alias("note"))
+
+    key = unit_key(unit)
+    return made({"key": key, "known": _known(key)})
 
 
 def active_ingredient_pounds(gallons: Column, pounds: Column, percent: Column, density: Column) -> Column:

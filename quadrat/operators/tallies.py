@@ -15,13 +15,23 @@ def judged(lines: DataFrame, acres: Column) -> DataFrame:
     """lines with rate, the median rate of (product, unit), and held_out: a rate of more than ten times the median of at least three lines. Unresolved units and lines without acres aren't judged."""
     rate = F.when(F.col("family").isin("volume", "mass") & (acres > 0), F.col("quantity") / acres)
     rated = lines.withColumn("rate", rate)
-    key = [F.upper("product").alias("_product"), F.col("unit").alias("_unit")]
-    typical = rated.where("rate is not null").groupBy(*key).agg(F.median("rate").alias("typical"), F.count("*").alias("_n"))
+    typical = medians(rated.select(F.upper("product").alias("_product"), F.col("unit").alias("_unit"), "rate"), "rate", "_product", "_unit").withColumnsRenamed({"median": "typical", "n": "_n"})
     met = rated.join(typical, F.upper("product").eqNullSafe(F.col("_product")) & F.col("unit").eqNullSafe(F.col("_unit")), "left").drop("_product", "_unit")
     held = F.coalesce((F.col("_n") >= OUTLIER_LEAST_LINES) & (F.col("rate") > OUTLIER_FACTOR * F.col("typical")), F.lit(False))
     return met.withColumn("held_out", held).drop("_n")
 
 
+def medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, n, median) of the values that aren't null, exactly: a key's values are numbered in order as they stream from the sort, which holds none of them, and the middle one or two are taken."""
+    counts = rows.groupBy(*keys).agg(F.count(value).alias("n")).select("n", *(F.col(k).alias(f"{k}_c") for k in keys))
+    numbered = rows.select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())).alias("_r"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_c"))
+    middle = numbered.join(counts, same).where("_r = floor((n + 1) / 2) or _r = ceil((n + 1) / 2)")
+    return middle.groupBy(*keys).agg(F.first("n").alias("n"), F.avg(value).alias("median"))
+
+
 def tally(apps: DataFrame, lines: DataFrame, *by: str) -> DataFrame:
     """Per key: applications, acres (once each), gallons, pounds, unresolved amount and line counts. Keys are columns of apps or of lines; lines are summed per application first, so both sides are narrow when they meet."""
     of_apps = [k for k in by if k in apps.columns]
