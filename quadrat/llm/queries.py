@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, licences, mixing, ngram_join, oracles, packing, spotsigs, substrings, token_counts, warc
+from . import centroids, embeddings, langid, licences, mixing, ngram_join, oracles, packing, spotsigs, substrings, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard, op4_token_counts, op5_source_mixing, op6_spotsigs, op7_licence_scan, op8_warc, op9_embedding_near_dedup, op10_packing)
+    for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard, op4_token_counts, op5_source_mixing, op6_spotsigs, op7_licence_scan, op8_warc, op9_embedding_near_dedup, op10_packing, op11_centroid_clustering)
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -29,10 +29,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: survives lost executors and cuts lineage."""
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: survives lost executors and cuts lineage. ``options``: the writer's."""
     at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
