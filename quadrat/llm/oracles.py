@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids
+from . import centroids, variants
 from .mixing import ORACLE_SQL as MIXING
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -44,4 +44,4 @@ n AS (SELECT a AS id, count(*) AS n FROM near GROUP BY a), nodes AS (SELECT id F
 SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM comp LEFT JOIN n USING (id)
 """
 
-ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op3_ngram_jaccard": NGRAMS, "op5_source_mixing": MIXING, "op8_warc": WARC, "op9_embedding_near_dedup": EMBEDDINGS, "op11_centroid_clustering": centroids.oracle_sql()}
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRINGS, "op3_ngram_jaccard": NGRAMS, "op5_source_mixing": MIXING, "op8_warc": WARC, "op9_embedding_near_dedup": EMBEDDINGS, "op11_centroid_clustering": centroids.oracle_sql(), "op13_spelling_variants": variants.ORACLE_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, embeddings, langid, licences, mixing, ngram_join, oracles, packing, spotsigs, substrings, token_counts, warc
+from . import byte_bpe, centroids, embeddings, langid, licences, mixing, ngram_join, oracles, packing, spotsigs, substrings, token_counts, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,17 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard, op4_token_counts, op5_source_mixing, op6_spotsigs, op7_licence_scan, op8_warc, op9_embedding_near_dedup, op10_packing, op11_centroid_clustering)
+    for f in (op1_language_id, op2_substring_dedup, op3_ngram_jaccard, op4_token_counts, op5_source_mixing, op6_spotsigs, op7_licence_scan, op8_warc, op9_embedding_near_dedup, op10_packing, op11_centroid_clustering, op12_byte_bpe, op13_spelling_variants)
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
