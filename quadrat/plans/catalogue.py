@@ -864,4 +864,4 @@ def _(spark, sf_dir):
     return overlay.select_parcels_of_area(apps, s.select(F.col("s_nationkey").alias("area"), F.col("s_name").alias("parcel_owner"), F.col("s_suppkey").cast("string").alias("apn")))
 
 
-from quadrat.plans import directory  # noqa: E402, F401  registers its queries here
+from quadrat.plans import directory, places  # noqa: E402, F401  register their queries here
