@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.operators import geo, shapes
 from quadrat.plans.catalogue import query
 from quadrat.plans.domain import table
+from quadrat.sources import boundaries
 
 
 def _ring(*points: tuple[Column, Column]) -> Column:
@@ -99,3 +100,30 @@ def _(spark, sf_dir) -> DataFrame:
     w, south, size = s * 7919 % 990, s * 104729 % 990, s % 3 * 10 + 10
     squares = table(spark, sf_dir, "supplier").select(s.alias("id"), shapes.ring_edges(geo.box_ring(w, south, w + size, south + size)).alias("edges"))
     return shapes.section_links(points, squares).select("id", "section", "inside", F.round("distance", 6).alias("distance"))
+
+
+_BOUNDARIES = """
+WITH s AS (SELECT s_suppkey AS id, s_suppkey % 5 AS kind, s_suppkey % 7 + 1 AS w FROM supplier)
+SELECT 'u' || id || CASE WHEN kind < 2 OR kind = 3 THEN '.kml' ELSE '.geojson' END AS path, CASE kind WHEN 0 THEN w * 2 WHEN 1 THEN w * 2 - 0.25 WHEN 2 THEN w * 2 + 1.5 END::DOUBLE AS area, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END::INT AS rings,
+  CASE kind WHEN 3 THEN 'not in California; its projection may not be declared' WHEN 4 THEN 'no polygon in it' END AS problem FROM s
+"""
+
+
+@query("boundary_files", _BOUNDARIES)
+def _(spark, sf_dir) -> DataFrame:
+    """Boundary files of suppliers, in hundredths of a degree: boxes in KML, with a hole or not, boxes that overlap in GeoJSON, boxes elsewhere, and points."""
+    s = F.col("s_suppkey")
+    kind, wide = s % 5, s % 7 + 1
+    west = F.when(kind == 3, 10.0).otherwise(-121.0)
+    corner = lambda x, y: F.concat((west + x / 100).cast("decimal(12,6)").cast("string"), F.lit(","), (38 + y / 100).cast("decimal(12,6)").cast("string"))
+    box = lambda x0, y0, x1, y1: (corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))
+    n = F.lit
+    lines = lambda tag, ring: (n(f"<{tag}><LinearRing><coordinates>"), F.concat_ws(",0 ", *ring), n(f"</coordinates></LinearRing></{tag}>"))
+    hole = F.when(kind == 1, F.concat(*lines("innerBoundaryIs", box(n(0.25), n(0.25), n(0.75), n(0.75))))).otherwise("")
+    kml = F.concat(n('<kml xmlns="http://www.opengis.net/kml/2.2"><Placemark><Polygon>'), *lines("outerBoundaryIs", box(n(0), n(0), wide, n(2))), hole, n("</Polygon></Placemark></kml>"))
+    ring = lambda r: F.concat(n("[[["), F.concat_ws("],[", *r), n("]]]"))
+    both = F.concat(n('{"type":"MultiPolygon","coordinates":['), ring(box(n(0), n(0), wide, n(2))), n(","), ring(box(wide - 0.5, n(1), wide + 0.5, n(3))), n("]}"))
+    point = F.concat(n('{"type":"Point","coordinates":['), corner(n(0), n(0)), n("]}"))
+    content = F.when((kind < 2) | (kind == 3), kml).when(kind == 2, both).otherwise(point)
+    files = table(spark, sf_dir, "supplier").select(F.concat(n("u"), s.cast("string"), F.when((kind < 2) | (kind == 3), ".kml").otherwise(".geojson")).alias("path"), content.cast("binary").alias("content"))
+    return boundaries.read_boundaries(files).select("path", F.round(shapes.area(F.col("edges")) * 10_000, 6).alias("area"), F.size("rings").alias("rings"), "problem")
