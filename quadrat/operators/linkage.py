@@ -15,26 +15,52 @@ AUTO, REVIEW = 75, 45
 DATE_WINDOW, PROPOSE_WINDOW = 1, 30
 
 
+def blocked(records: DataFrame, own: Column, other: Column | None = None, key: str = "id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, a_x, b_x for x in carry), a < b, of records whose array ``own`` meets the other's array ``other`` (the same by default). A pair comes up in its first common block only, so nothing is made distinct afterwards."""
+
+    def side(p: str, blocks: Column) -> DataFrame:
+        rows = records.select(F.col(key).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in carry), F.array_distinct(F.array_compact(blocks)).alias(f"{p}_blocks"))
+        return rows.withColumn("block", F.explode(f"{p}_blocks"))
+
+    met = side("a", own).join(side("b", own if other is None else other), "block").where("a < b")
+    return met.where(F.get(F.array_intersect("a_blocks", "b_blocks"), 0) == F.col("block")).drop("block", "a_blocks", "b_blocks")
+
+
 def candidate_pairs(records: DataFrame, *blocks: Column, key: str = "id") -> DataFrame:
     """(a, b), a < b, of records that share a block; null blocks pair nothing. A record takes part once in each of its blocks."""
-    keyed = records.select(key, F.explode(F.array_distinct(F.array_compact(F.array(*blocks)))).alias("block"))
-    left, right = keyed.select(F.col(key).alias("a"), "block"), keyed.select(F.col(key).alias("b"), "block")
-    return left.join(right, "block").where("a < b").select("a", "b").distinct()
+    return blocked(records, F.array(*blocks), key=key)
+
+
+def _blocks() -> tuple[Column, Column]:
+    permit, year = F.trim("permit"), F.col("year").cast("string")
+    return F.concat(F.lit("o/"), F.col("operator_id").cast("string"), F.lit("/"), year), F.when(permit != "", F.concat(F.lit("p/"), permit, F.lit("/"), year))
 
 
 def record_pairs(records: DataFrame) -> DataFrame:
     """Candidate pairs by operator and year, and by permit and year; blank permits pair nothing."""
-    permit, year = F.trim("permit"), F.col("year").cast("string")
-    return candidate_pairs(records, F.concat(F.lit("o/"), F.col("operator_id").cast("string"), F.lit("/"), year), F.when(permit != "", F.concat(F.lit("p/"), permit, F.lit("/"), year)))
+    return candidate_pairs(records, *_blocks())
+
+
+#: What a score needs of each record, besides its id; names are compared by their keys.
+_COMPARED = ("kind", "start", "ended", "products", "place", "permit", "named", "owner_key", "applicator_key", "pca_key")
+_NAMES = ("owner", "applicator", "pca")
 
 
-def _alike(x: DataFrame, name: str) -> DataFrame:
-    """x with ``{name}_score``, the similarity of both sides' companies; different pairs of keys are scored once. 0 if either is blank."""
-    keyed = x.withColumns({"_ka": company_key(F.col(f"a_{name}")), "_kb": company_key(F.col(f"b_{name}"))})
-    unlike = keyed.where("_ka <> '' and _kb <> '' and _ka <> _kb").select("_ka", "_kb").distinct()
-    unlike = unlike.withColumn("_s", F.round(company_score(F.col("_ka"), F.col("_kb")), 4))
-    score = F.when(F.col("_ka") == "", 0.0).when(F.col("_ka") == F.col("_kb"), 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))
-    return keyed.join(unlike, ["_ka", "_kb"], "left").withColumn(f"{name}_score", score).drop("_ka", "_kb", "_s")
+def _keyed(records: DataFrame) -> DataFrame:
+    """Records with their companies' keys, made once a record."""
+    return records.withColumns({f"{n}_key": company_key(F.col(n)) for n in _NAMES} | {"named": F.coalesce(F.col("owner") != "", F.lit(False))})
+
+
+def _with_likeness(x: DataFrame) -> DataFrame:
+    """x, a written table, with ``{name}_score`` of both sides' companies; each different pair of keys is scored once, whichever name it is of. 0 if either is blank."""
+    both = F.explode(F.array(*(F.struct(F.col(f"a_{n}_key").alias("k"), F.col(f"b_{n}_key").alias("l")) for n in _NAMES)))
+    unlike = x.select(both.alias("p")).select("p.*").where("k <> '' and l <> '' and k <> l").distinct()
+    unlike = kept(unlike.select("k", "l", F.round(company_score(F.col("k"), F.col("l")), 4).alias("s")).where(F.col("s") > 0), "alike")
+    for n in _NAMES:
+        a, b = F.col(f"a_{n}_key"), F.col(f"b_{n}_key")
+        x = x.join(unlike.select(F.col("k").alias(f"a_{n}_key"), F.col("l").alias(f"b_{n}_key"), F.col("s").alias("_s")), [f"a_{n}_key", f"b_{n}_key"], "left")
+        x = x.withColumn(f"{n}_score", F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.coalesce("_s", F.lit(0.0)))).drop("_s")
+    return x
 
 
 def date_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -43,13 +69,9 @@ def date_gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.least(days(a0, b0), days(a0, b1), days(a1, b0))
 
 
-def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs with score and outcome (auto, review, separate). records: id, owner, kind, start, ended, applicator, products (array), place (number or null), pca, permit. Owners, applicators and advisers are compared as companies; owners of both sides whose names are below REJECT keep a pair apart."""
-    names = ("owner", "kind", "start", "ended", "applicator", "products", "place", "pca", "permit")
-    side = lambda p: records.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in names))
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
-    for name in ("owner", "applicator", "pca"):
-        x = _alike(x, name)
+def _judged(x: DataFrame) -> DataFrame:
+    """(a, b, score, outcome) of pairs with both records' columns."""
+    x = _with_likeness(kept(x, "pairs"))
     gap = date_gap(F.col("a_start"), F.col("a_ended"), F.col("b_start"), F.col("b_ended"))
     near, season = F.coalesce(gap <= DATE_WINDOW, F.lit(False)), F.coalesce(gap <= PROPOSE_WINDOW, F.lit(False))
     close = F.coalesce(F.abs(F.col("a_place") - F.col("b_place")) <= 1, F.lit(False))
@@ -61,12 +83,37 @@ def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
         points(alike("owner"), "owner") + points(near, "dates") + points(close, "adjacent") + points(alike("applicator"), "applicator")
         + points(F.arrays_overlap("a_products", "b_products"), "products") + points(alike("pca"), "pca") + points(permit, "permit")
     )
-    named = F.coalesce((F.col("a_owner") != "") & (F.col("b_owner") != ""), F.lit(False))
-    apart = ~same("kind") | (named & (F.col("owner_score") < REJECT))
+    apart = ~same("kind") | (F.col("a_named") & F.col("b_named") & (F.col("owner_score") < REJECT))
     outcome = F.when(apart, "separate").when((F.col("score") >= AUTO) & near, "auto").when((F.col("score") >= REVIEW) & (near | season & close), "review").otherwise("separate")
     return x.withColumn("score", total).select("a", "b", "score", outcome.alias("outcome"))
 
 
+def scored(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs (a, b) with score and outcome (auto, review, separate). records: id, owner, kind, start, ended, applicator, products (array), place (number or null), pca, permit. Owners, applicators and advisers are compared as companies; owners of both sides whose names are below REJECT keep a pair apart."""
+    keyed = kept(_keyed(records).select("id", *_COMPARED), "keyed")
+    side = lambda p: keyed.select(F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in _COMPARED))
+    return _judged(pairs.join(side("a"), "a").join(side("b"), "b"))
+
+
+def scored_candidates(records: DataFrame, proposable: bool = False) -> DataFrame:
+    """``scored`` of the candidate pairs of records (also operator_id, year), which meet once, with their columns.
+
+    ``proposable``: only pairs whose dates are within ``PROPOSE_WINDOW`` days,
+    which all others than separate ones are. Blocks are then divided by days, so
+    that a block's pairs grow with those days, not with its size squared; dates
+    a block apart meet through the neighbouring days of one side.
+    """
+    keyed = kept(_keyed(records).select("id", "operator_id", "year", *_COMPARED), "keyed")
+    blocks = F.array_compact(F.array(*_blocks()))
+    if not proposable:
+        return _judged(blocked(keyed, blocks, carry=_COMPARED))
+    days = F.transform(F.array_distinct(F.array_compact(F.array("start", "ended"))), lambda d: F.floor(F.unix_date(d) / (PROPOSE_WINDOW + 1)))
+    around = F.flatten(F.transform(days, lambda d: F.array(d - 1, d, d + 1)))
+    of = lambda days: F.flatten(F.transform(blocks, lambda b: F.transform(days, lambda d: F.concat(b, F.lit("/"), d.cast("string")))))
+    pairs = blocked(keyed, of(days), of(around), carry=_COMPARED)
+    return _judged(pairs.where(date_gap(F.col("a_start"), F.col("a_ended"), F.col("b_start"), F.col("b_ended")) <= PROPOSE_WINDOW))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component) of every node: the least id that edges (a, b) lead to. Labels take their neighbours' least and then their label's own label, each round written to the checkpoint folder so that lost executors lose no lineage."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

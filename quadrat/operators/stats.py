@@ -34,15 +34,17 @@ def counties(apps: DataFrame) -> DataFrame:
 
 
 def grid(apps: DataFrame, lines: DataFrame | None = None, *, county=None, year=None, method=None, owner=None, flagged=None, chemical=None, text=None, since=None, until=None) -> DataFrame:
-    """apps that meet every filter given. Dates ask for overlap of [start, ended]; ``chemical`` and ``text`` look into lines by semi-joins."""
+    """apps that meet every filter given. Dates ask for overlap of [start, ended], each for its own side; an application without lines ends when it starts. ``since`` adds the column ended. ``chemical`` and ``text`` look into lines by semi-joins."""
     for column, value in (("county", county), ("year", year), ("method", method), ("flagged", flagged)):
         if value is not None:
             apps = apps.where(F.col(column) == value)
     if owner:
         apps = apps.where(F.col("operator").ilike(f"%{owner}%"))
-    if since or until:
+    if since:
         ended = lines.groupBy("id").agg(F.max("ended").alias("ended"))
-        apps = apps.join(ended, "id").where((F.col("ended") >= F.lit(since).cast("date")) & (F.col("start") <= F.lit(until).cast("date")))
+        apps = apps.join(ended, "id", "left").withColumn("ended", F.coalesce("ended", "start")).where(F.col("ended") >= F.lit(since).cast("date"))
+    if until:
+        apps = apps.where(F.col("start") <= F.lit(until).cast("date"))
     if chemical:
         apps = apps.join(lines.where(F.col("ingredient").ilike(f"%{chemical}%")), "id", "left_semi")
     if text:

@@ -222,11 +222,22 @@ def _(d):
     return stats.grid(d.published, year=1996, method="aerial", owner="1", flagged=True).select(_COLUMNS)
 
 
-@on("grid_interval_overlap", f", e AS (SELECT id, max(ended) AS ended FROM lines GROUP BY id) SELECT {_GRID}, ended FROM apps JOIN e USING (id) WHERE ended >= DATE '1997-03-01' AND start <= DATE '1997-03-31'")
+@on("grid_interval_overlap", f", e AS (SELECT id, max(ended) AS ended FROM lines GROUP BY id) SELECT {_GRID}, coalesce(ended, start) AS ended FROM apps LEFT JOIN e USING (id) WHERE coalesce(ended, start) >= DATE '1997-03-01' AND start <= DATE '1997-03-31'")
 def _(d):
     return stats.grid(d.apps, d.lines, since="1997-03-01", until="1997-03-31").select(*_COLUMNS, "ended")
 
 
+@on("grid_since", f", e AS (SELECT id, max(ended) AS ended FROM lines WHERE line > 1 GROUP BY id) SELECT {_GRID}, coalesce(ended, start) AS ended FROM apps LEFT JOIN e USING (id) WHERE coalesce(ended, start) >= DATE '1998-06-01'")
+def _(d):
+    """One side only; applications of a single line have none here."""
+    return stats.grid(d.apps, d.lines.where("line > 1"), since="1998-06-01").select(*_COLUMNS, "ended")
+
+
+@on("grid_until", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE start <= DATE '1995-03-31'")
+def _(d):
+    return stats.grid(d.apps, d.lines, until="1995-03-31").select(_COLUMNS)
+
+
 @on("grid_chemical_semijoin", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE status = 'published' AND id IN (SELECT id FROM lines WHERE ingredient ILIKE '%#12%')")
 def _(d):
     return stats.grid(d.published, d.lines, chemical="#12").select(_COLUMNS)
@@ -478,31 +489,32 @@ def _(spark, sf_dir):
 
 
 def _records(d: _Of) -> DataFrame:
+    """Records with made permits, which two operators share, sections, which lie side by side by number, and advisers; some have none."""
     per = d.lines_by.groupBy("id").agg(F.max("ended").alias("ended"), F.array_sort(F.collect_set("product_id")).alias("products"), F.min("applicator").alias("applicator"), F.min("record_kind").alias("kind"))
-    return d.apps.join(per, "id").select("id", F.col("operator").alias("owner"), "kind", "start", "ended", "applicator", "products", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("pca"), F.lit(None).cast("string").alias("permit"), "year", "operator_id")
+    i, c = F.col("id"), F.col("operator_id")
+    permit = F.when(i % 3 != 0, F.concat(F.lit(" P-"), F.floor(c / 2).cast("string")))
+    pca = F.when(i % 2 == 0, F.concat(F.lit("Adviser "), (c % 7).cast("string"), F.lit(", Inc.")))
+    return d.apps_of("id", "operator", "operator_id", "start", "year").join(per, "id").select("id", F.col("operator").alias("owner"), "kind", "start", "ended", "applicator", "products", F.when(i % 5 != 0, i % 40).cast("int").alias("place"), pca.alias("pca"), permit.alias("permit"), "year", "operator_id")
 
 
-_RECORDS = """, rec AS (SELECT id, operator AS owner, kind, start, ended, applicator, year, operator_id FROM apps JOIN (SELECT id, max(ended) AS ended, min(applicator) AS applicator, min(record_kind) AS kind FROM lines GROUP BY id) USING (id)),
-cand AS (SELECT a.id AS a, b.id AS b, a.owner AS ao, b.owner AS bo, a.kind AS ak, b.kind AS bk, a.applicator AS aa, b.applicator AS ba, least(abs(a.start - b.start), abs(a.start - b.ended), abs(a.ended - b.start)) AS gap FROM rec a JOIN rec b ON a.operator_id = b.operator_id AND a.year = b.year AND a.id < b.id),
+_RECORDS = """, rec AS (SELECT id, operator AS owner, kind, start, ended, applicator, year, operator_id, CASE WHEN id % 3 <> 0 THEN operator_id // 2 END AS permit, CASE WHEN id % 5 <> 0 THEN id % 40 END AS place, CASE WHEN id % 2 = 0 THEN operator_id % 7 END AS pca
+  FROM apps JOIN (SELECT id, max(ended) AS ended, min(applicator) AS applicator, min(record_kind) AS kind FROM lines GROUP BY id) USING (id)),
+met AS (SELECT a.id AS a, b.id AS b FROM rec a JOIN rec b ON a.operator_id = b.operator_id AND a.year = b.year AND a.id < b.id UNION SELECT a.id, b.id FROM rec a JOIN rec b ON a.permit = b.permit AND a.year = b.year AND a.id < b.id),
+cand AS (SELECT a.id AS a, b.id AS b, a.owner = b.owner AS own, a.kind = b.kind AS kind, a.applicator = b.applicator AS app, least(abs(a.start - b.start), abs(a.start - b.ended), abs(a.ended - b.start)) AS gap, coalesce(abs(a.place - b.place) <= 1, false) AS close, coalesce(a.pca = b.pca, false) AS pca, coalesce(a.permit = b.permit, false) AS permit FROM met JOIN rec a ON met.a = a.id JOIN rec b ON met.b = b.id),
 shared AS (SELECT DISTINCT x.id AS a, y.id AS b FROM lines x JOIN lines y ON x.product_id = y.product_id AND x.id < y.id),
-points AS (SELECT c.a, c.b, ak, bk, gap, (CASE WHEN ao = bo THEN 40 ELSE 0 END + CASE WHEN gap <= 1 THEN 25 ELSE 0 END + CASE WHEN aa = ba THEN 10 ELSE 0 END + CASE WHEN s.a IS NOT NULL THEN 10 ELSE 0 END)::INT AS score FROM cand c LEFT JOIN shared s ON c.a = s.a AND c.b = s.b),
-scores AS (SELECT a, b, score, CASE WHEN ak <> bk THEN 'separate' WHEN score >= 75 AND gap <= 1 THEN 'auto' WHEN score >= 45 AND gap <= 1 THEN 'review' ELSE 'separate' END AS outcome FROM points)
+points AS (SELECT c.*, (CASE WHEN own THEN 40 ELSE 0 END + CASE WHEN gap <= 1 THEN 25 ELSE 0 END + CASE WHEN close THEN 20 ELSE 0 END + CASE WHEN app THEN 10 ELSE 0 END + CASE WHEN s.a IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN pca THEN 5 ELSE 0 END + CASE WHEN permit THEN 20 ELSE 0 END)::INT AS score FROM cand c LEFT JOIN shared s ON c.a = s.a AND c.b = s.b),
+scores AS (SELECT a, b, score, CASE WHEN NOT kind OR NOT own THEN 'separate' WHEN score >= 75 AND gap <= 1 THEN 'auto' WHEN score >= 45 AND (gap <= 1 OR gap <= 30 AND close) THEN 'review' ELSE 'separate' END AS outcome FROM points)
 """
 
 
-def _pairs(records: DataFrame) -> DataFrame:
-    return linkage.record_pairs(records)
-
-
-@on("candidate_pairs", f"{_RECORDS} SELECT a, b FROM cand")
+@on("candidate_pairs", f"{_RECORDS} SELECT a, b FROM met")
 def _(d):
-    return _pairs(_records(d))
+    return linkage.record_pairs(_records(d))
 
 
 @on("pair_scores", f"{_RECORDS} SELECT a, b, score, outcome FROM scores")
 def _(d):
-    records = _records(d)
-    return linkage.scored(_pairs(records), records)
+    return linkage.scored_candidates(_records(d))
 
 
 _EDGES = """, edges AS (SELECT x.id AS a, y.id AS b FROM apps x JOIN apps y ON x.operator_id = y.operator_id AND x.year = y.year AND x.id < y.id AND abs(x.start - y.start) <= 30), near AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges)"""
@@ -527,14 +539,11 @@ def _(d):
     return linkage.clusters(_components(d).join(d.apps, "id"))
 
 
-@on("cluster_proposals", f"""{_RECORDS.replace(', rec AS', ', rec AS', 1)}, comp AS (SELECT id, min(id) OVER (PARTITION BY operator_id, start) AS component FROM apps)
+@on("cluster_proposals", f"""{_RECORDS}, comp AS (SELECT id, min(id) OVER (PARTITION BY operator_id, start) AS component FROM apps)
   SELECT least(x.component, y.component) AS low, greatest(x.component, y.component) AS high, count(*) AS pairs, max(score) AS score FROM scores JOIN comp x ON a = x.id JOIN comp y ON b = y.id WHERE outcome = 'review' AND x.component <> y.component GROUP BY ALL""")
 def _(d):
-    from pyspark.sql import Window
-
-    records = _records(d)
-    labels = d.apps.select("id", F.min("id").over(Window.partitionBy("operator_id", "start")).alias("component"))
-    return linkage.proposals(linkage.scored(_pairs(records), records), labels)
+    labels = d.apps_of("id", "operator_id", "start").select("id", F.min("id").over(Window.partitionBy("operator_id", "start")).alias("component"))
+    return linkage.proposals(linkage.scored_candidates(_records(d), proposable=True), labels)
 
 
 @on("duplicate_records", """, rec AS (SELECT id, county, method AS kind, date_trunc('month', start)::DATE AS start, CASE WHEN id % 2 = 0 THEN 'S' || (operator_id % 5)::VARCHAR END AS mtrs, 'p-' || (operator_id % 3)::VARCHAR AS site,
