@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
+from struct import pack as _pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BUCKET = 3
 #: Pre-tokens that go through the tables at once, and characters of texts that are gathered for that.
 SLICE, GATHERED = 1 << 16, 1 << 18
 #: Misses whose encoding a worker keeps, in each of two generations, and the most bytes of one.
-KEPT, SHORT = 100_000, 64
+KEPT, SHORT = 250_000, 64
 
 
 class PerfectHash:
@@ -97,6 +98,7 @@ class Vocabulary:
         self.raw = self.decimal.copy()
         for token, rank in self.ranks.items():
             self.decimal[rank], self.raw[rank] = str(rank).encode(), token
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.new, self.old = {}, {}
 
     def whole(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -114,43 +116,43 @@ class Vocabulary:
         return np.where(hit, self.ids[key], -1)
 
     def merged(self, word: bytes) -> list[int]:
-        """Tier two: a heap over linked bytes."""
-        ranks, n = self.ranks, len(word)
-        after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-
-        def pair(i: int) -> int | None:
-            j = after[i]
-            if j < n and (m := size[i] + size[j]) <= self.longest:
-                return ranks.get(word[i : i + m])
-            return None
-
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        """Tier two: a heap over linked bytes. An entry is a number: rank, place and length, so the least rank comes first, and of equal ones the leftmost."""
+        ranks, longest, pairs, n = self.ranks, self.longest, self.pairs, len(word)
+        wide = longest + 1
+        heap = [(r * n + i) * wide + 2 for i, (a, b) in enumerate(zip(word, word[1:])) if (r := pairs[a << 8 | b]) >= 0]  # noqa: B905  the last byte has no pair
         heapify(heap)
+        # where the part that begins here ends, 0 once it belongs to the part before it; and where the part before begins
+        end, before = list(range(1, n + 1)), list(range(-1, n))
         while heap:
-            _, i, m = heappop(heap)
-            j = after[i] if size[i] else n
-            if j >= n or size[i] + size[j] != m:
+            i, m = divmod(heappop(heap), wide)
+            i %= n
+            j = end[i]
+            if not 0 < j < n or end[j] - i != m:
                 continue  # one of the two has merged with another since
-            size[i], size[j], after[i] = m, 0, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (i, before[i]):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heappush(heap, (r, k, size[k] + size[after[k]]))
+            e = end[i] = end[j]
+            end[j] = 0
+            before[e] = i
+            if e < n and (f := end[e]) - i <= longest and (r := ranks.get(word[i:f])) is not None:
+                heappush(heap, (r * n + i) * wide + f - i)
+            if (h := before[i]) >= 0 and e - h <= longest and (r := ranks.get(word[h:e])) is not None:
+                heappush(heap, (r * n + h) * wide + e - h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[word[i : i + size[i]]])
-            i = after[i]
+            out.append(ranks[word[i : end[i]]])
+            i = end[i]
         return out
 
-    def miss(self, word: bytes) -> np.ndarray:
+    def miss(self, word: bytes) -> bytes:
+        """Ids of a pre-token, as bytes of 32-bit numbers."""
         if len(word) > SHORT:
-            return np.array(self.merged(word), np.int64)
-        if (ids := self.new.get(word)) is None:
-            if len(self.new) >= KEPT:
-                self.new, self.old = {}, self.new
-            ids = self.old.get(word)
-            ids = self.new[word] = np.array(self.merged(word), np.int64) if ids is None else ids
+            return np.array(self.merged(word), np.int32).tobytes()
+        if len(self.new) >= KEPT:
+            self.new, self.old = {}, self.new
+        ids = self.old.get(word)
+        if ids is None:
+            own = self.merged(word)
+            ids = _pack(f"{len(own)}i", *own)
+        self.new[word] = ids
         return ids
 
     def spans(self, text: str) -> Iterator[list[int] | np.ndarray]:
@@ -199,13 +201,16 @@ class Vocabulary:
         first = self.whole(data, begins, ends)
         counts = np.ones(len(first), np.int64)
         misses = np.flatnonzero(first < 0)
-        found = [self.miss(raw[b:e]) for b, e in zip(begins[misses].tolist(), ends[misses].tolist(), strict=True)]
-        counts[misses] = list(map(len, found))
+        found = []
+        for b, e in zip(begins[misses].tolist(), ends[misses].tolist(), strict=True):
+            ids = self.new.get(word := raw[b:e])
+            found.append(self.miss(word) if ids is None else ids)
+        counts[misses] = np.fromiter(map(len, found), np.int64, len(found)) // 4
         at = np.cumsum(counts) - counts
         ids = np.zeros(int(counts.sum()), np.int64)
         ids[at[first >= 0]] = first[first >= 0]
         if found:
-            own = np.concatenate(found)
+            own = np.frombuffer(b"".join(found), np.int32)
             n = counts[misses]
             ids[np.repeat(at[misses] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
         border = np.concatenate([at, [len(ids)]])
