@@ -9,10 +9,12 @@ around those are looked at, only in texts long enough for the words needed
 (length filter), and of those only blocks in which enough template words
 are near (positional filter, from prefix sums). What is left is counted.
 
-Licences differ in few words, fewer than the slack of the threshold. So a
-template names the words that tell it from its kin; a block must hold all of
-them. And a template whose kin says more (the GNU GPL's notice within that of
-the LGPL) gives way where a block of the other overlaps its own.
+Every block that meets a template is reported (``block_labels``). Licences
+differ in few words, fewer than the slack of the threshold. So labels are
+chosen among the blocks: a template names the words that tell it from its kin,
+which a block of its label holds, and a template whose kin says more (the GNU
+GPL's notice within that of the LGPL) gives way where a block of the other
+overlaps its own.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def word_hashes(text: str) -> np.ndarray:
 
 @dataclass
 class Template:
-    """A template under one order of words: its text, its words' numbers in sequence, those that a block must hold, how many distinct ones it needs, and which of them every such block has one of."""
+    """A template under one order of words: its text, its words' numbers in sequence, those that tell it apart, how many distinct ones it needs, and which of them every such block has one of."""
 
     label: str
     text: str
@@ -139,13 +141,13 @@ class Matcher:
         ok = self.vocabulary[np.minimum(number, len(self.vocabulary) - 1)] == w.hash[at]
         return at[ok], number[ok]
 
-    def blocks(self, t: Template, at: np.ndarray, number: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Where blocks that meet the template begin, and how many of its distinct words each holds. A text shorter than the template is one block."""
+    def blocks(self, t: Template, at: np.ndarray, number: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where blocks that meet the template begin, how many of its distinct words each holds, and whether all telling ones are among them. A text shorter than the template is one block."""
         own = np.isin(number, t.sequence)
         at, number = at[own], number[own]
         anchors = at[np.isin(number, t.prefix)]
         if not len(anchors):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         size = len(t.sequence)
         doc = np.searchsorted(w.of, anchors, "right") - 1
         long = w.of[doc + 1] - w.of[doc] >= t.need
@@ -163,23 +165,25 @@ class Matcher:
         near = b - a >= t.need
         starts, a, b = starts[near], a[near], b[near]
         counts = [self._counted(t, number, a[i : i + PART], b[i : i + PART]) for i in range(0, len(starts), PART)]
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        return starts[count >= t.need], count[count >= t.need]
+        count, telling = map(np.concatenate, zip(*counts, strict=True)) if counts else (np.zeros(0, np.int64), np.zeros(0, bool))
+        met = count >= t.need
+        return starts[met], count[met], telling[met]
 
     @staticmethod
-    def _counted(t: Template, number: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many distinct words of the template the blocks of hits a to b hold; 0 for those that lack a telling one."""
+    def _counted(t: Template, number: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many distinct words of the template the blocks of hits a to b hold, and whether these include all telling ones."""
         cell = np.arange(len(t.sequence))[None, :] + a[:, None]
         words = np.where(cell < b[:, None], number[np.minimum(cell, len(number) - 1)], -1)
         words.sort(axis=1)
         count = (words[:, :1] >= 0).sum(1) + ((words[:, 1:] != words[:, :-1]) & (words[:, 1:] >= 0)).sum(1)
+        telling = np.ones(len(words), bool)
         for m in t.must:
-            count[~(words == m).any(1)] = 0
-        return count
+            telling &= (words == m).any(1)
+        return count, telling
 
-    def met(self, at: np.ndarray, number: np.ndarray, w: Words) -> list[tuple[Template, np.ndarray, np.ndarray]]:
-        """Each template with its blocks and their counts, without those that give way to an overlapping block of other labels."""
-        found = [(t, *self.blocks(t, at, number, w)) for t in self.templates]
+    def labelled(self, every: list[tuple[Template, np.ndarray, np.ndarray, np.ndarray]], w: Words) -> list[tuple[Template, np.ndarray, np.ndarray]]:
+        """Of each template's blocks those that hold its telling words and don't give way to an overlapping one of other labels."""
+        found = [(t, starts[telling], count[telling]) for t, starts, count, telling in every]
         out = []
         for t, starts, count in found:
             for other, begun, _ in found:
@@ -194,7 +198,7 @@ class Matcher:
 
     def places(self, t: Template, at: np.ndarray, number: np.ndarray, w: Words) -> np.ndarray:
         """Blocks of all of a phrase's words that have them in its order."""
-        starts, _ = self.blocks(t, at, number, w)
+        starts, *_ = self.blocks(t, at, number, w)
         size = len(t.sequence)
         starts = starts[starts + size <= len(w.hash)]
         doc = np.searchsorted(w.of, starts, "right") - 1
@@ -233,6 +237,7 @@ def _scan(shared):
                 where, number = m.hits(w)
                 base: list[set[str]] = [set() for _ in range(n)]
                 every: list[set[str]] = [set() for _ in range(n)]
+                held_by: list[set[str]] = [set() for _ in range(n)]
                 count, first, last = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 score = np.zeros(n)
                 for t in m.base:
@@ -245,7 +250,11 @@ def _scan(shared):
                         base[d].add(t.label)
                         every[d].add(t.label)
                         score[d] = 1.0
-                for t, starts, held in m.met(where, number, w):
+                blocks = [(t, *m.blocks(t, where, number, w)) for t in m.templates]
+                for t, starts, *_ in blocks:
+                    for d in np.unique(np.searchsorted(w.of, starts, "right") - 1):
+                        held_by[d].add(t.label)
+                for t, starts, held in m.labelled(blocks, w):
                     doc = np.searchsorted(w.of, starts, "right") - 1
                     np.maximum.at(score, doc, held / t.distinct)
                     for d in np.unique(doc):
@@ -261,18 +270,20 @@ def _scan(shared):
                         pa.array([",".join(sorted(x)) for x in base]),
                         pa.array([",".join(sorted(x)) for x in every]),
                         pa.array(score),
+                        pa.array([",".join(sorted(x)) for x in held_by]),
                     ],
-                    ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+                    ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "block_labels"],
                 )
 
     return run
 
 
 def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text).
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, block_labels for each row of docs (doc_id, text).
 
-    A null text is empty: no words, places or labels, score 0. labels: those of
-    base phrases and of templates that a block of the text meets; score: the
+    A null text is empty: no words, places or labels, score 0. block_labels:
+    those of all templates that a block of the text meets; labels: those of base
+    phrases, and of templates that keep a block by its telling words; score: the
     highest containment among these, 1 where a base phrase stands. A text
     shorter than a template is one block: it gets the label if it alone holds
     enough of the template and its telling words. Rows are judged one by one,
@@ -283,7 +294,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, threshold: float = THR
     frequency = {r.word: r.df for r in counted.collect()}  # a row for each word of the templates
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(base, templates, threshold, frequency))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scan(matcher), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(_scan(matcher), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, block_labels string")
 
 
 def plain_words(text: str | None) -> list[str]:

@@ -36,4 +36,4 @@ def test_a_text_of_telling_words_only():
     data = np.frombuffer(b"sublicense " * 300_000, np.uint8)
     w = licences.Words(data, np.array([0, len(data)]), licences.NOT_ALNUM, licences.LOWER)
     m = licences.Matcher()
-    assert all(not len(starts) for _, starts, _ in m.met(*m.hits(w), w))
+    assert all(not len(m.blocks(t, *m.hits(w), w)[0]) for t in m.templates)

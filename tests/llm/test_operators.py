@@ -277,16 +277,19 @@ def test_licences(small, real, none):
     assert licences.scan(none).count() == 0
     # every block of a template's length, by brute force
     rows = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(real).collect()}
+    blocks = {r.doc_id: set(r.block_labels.split(",")) - {""} for r in licences.scan(real).collect()}
     for r in real.select("doc_id", "text").collect():
         w = licences.plain_words(r.text)
-        met = defaultdict(list)
+        met, whole = defaultdict(list), set()
         for label, must, text in licences.TEMPLATES:
             t, own, must = len(text.split()), set(text.split()), set(must.split())
+            whole |= {label for i in range(max(1, len(w) - t + 1)) if len(set(w[i : i + t]) & own) >= 0.8 * len(own) - 1e-9}
             met[label] += [(i, i + t) for i in range(max(1, len(w) - t + 1)) for b in [set(w[i : i + t]) & own] if len(b) >= 0.8 * len(own) - 1e-9 and must <= b]
         for label, found in met.items():
             others = [x for o in licences.GIVES_WAY.get(label, ()) for x in met[o]]
             found[:] = [x for x in found if not any(o[0] < x[1] and x[0] < o[1] for o in others)]
         assert {k for k, v in met.items() if v} == rows[r.doc_id] - {k for k, _ in licences.BASE} - {""}, r.doc_id
+        assert whole == blocks[r.doc_id], r.doc_id
 
 
 def test_warc(spark, sf, tmp_path):
