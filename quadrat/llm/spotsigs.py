@@ -3,10 +3,11 @@
 A signature is a chain: a common word (the anchor), the content word right
 after it, and the next content word within ``REACH`` words. A document's
 fingerprint is its set of signatures, as 32-bit hashes. Fingerprints are
-compared by Jaccard similarity, pruned by set length: sets are partitioned by
-length so that a set that can reach the least similarity with another is in the
-same partition or a neighbouring one, and others aren't intersected. For given
-pairs (``likeness``) that least is ``FLOOR``, in the join ``SIMILARITY``.
+compared by Jaccard similarity. In the join of a table it is pruned by set
+length: sets are partitioned by length so that a set that can reach
+``SIMILARITY`` with another is in the same partition or a neighbouring one, and
+others aren't intersected. For given pairs (``likeness``) it is exact, whatever
+the lengths.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ ANCHORS = (
 ).split()
 REACH = 3
 SIMILARITY = 0.8
-#: A likeness that the lengths alone show to be below this is 0.
-FLOOR = 0.1
 _SIGNS = "\t\n\x0b\f\r.,;:!?\"'()[]{}|/*#<>=+-_&%$~`^@\\"
 
 
@@ -60,12 +59,11 @@ def partition(n: Column, least: float) -> Column:
     return F.floor(F.log(n.cast("double")) / -math.log(least) + 1e-9)
 
 
-def likeness(a: str, b: str, least: float = FLOOR) -> Column:
-    """Jaccard similarity of two signature sets; 1 for two empty ones; 0, without an intersection, if their lengths keep it below ``least``."""
+def likeness(a: str, b: str) -> Column:
+    """Jaccard similarity of two signature sets; 1 for two empty ones."""
     na, nb = F.size(a), F.size(b)
-    apart = (F.abs(partition(na, least) - partition(nb, least)) > 1) | (F.least(na, nb) < least * F.greatest(na, nb))
     common = F.size(F.array_intersect(a, b))
-    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0) | apart, 0.0).otherwise(common / (na + nb - common))
+    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(common / (na + nb - common))
 
 
 def shown(a: str) -> Column:
@@ -97,8 +95,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     many first ones, or all, of the next document's. A null text is empty. Rows
     that share a doc_id follow each other by the hash of their text; rows equal
     in both are one document, and each gets its results. A lone document is its
-    own next one. A null doc_id comes first. No rows give none. near_edited and
-    near_next are 0 where the sets' lengths keep them below ``FLOOR``.
+    own next one. A null doc_id comes first. No rows give none.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.select("k", "text")

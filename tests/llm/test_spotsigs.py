@@ -20,7 +20,7 @@ def chains(text):
 def jaccard(a, b):
     if not a and not b:
         return 1.0
-    return 0.0 if min(len(a), len(b)) < spotsigs.FLOOR * max(len(a), len(b)) else len(a & b) / len(a | b)
+    return len(a & b) / len(a | b)
 
 
 def test_against_chains(spark, sf):
