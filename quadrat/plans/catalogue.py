@@ -16,6 +16,7 @@ from quadrat.operators import aggregate as agg
 from quadrat.operators import chemistry, geo, linkage, overlay, reportcard, stats, tallies, traffic
 from quadrat.plans import domain
 from quadrat.plans.domain import exact_sum, xsum
+from quadrat.sources import detect, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -404,6 +405,22 @@ def _(spark, sf_dir):
     return pairs.withColumn("score", names.company_score(F.col("a"), F.col("b"))).where(F.col("score") >= 0.93)
 
 
+@query("company_review_pairs", """SELECT a.c_custkey AS a, b.c_custkey AS b, 'review' AS tier FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey
+  UNION ALL SELECT c_custkey, -1 - s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'match' ELSE 'review' END FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey""")
+def _(spark, sf_dir):
+    """The tables' own names with their trades, compared within a nation and trade down to ``REJECT``: a customer's is like those of its neighbours, and a supplier's takes a customer's name in full or in part. Tests hold the scores."""
+    c, s = domain.table(spark, sf_dir, "customer"), domain.table(spark, sf_dir, "supplier")
+    customers = c.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("name"), F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("block"))
+    taken = s.join(c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
+    spelled = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("The "), F.col("c_mktsegment"), F.lit(" "), F.col("c_name"), F.lit(", LLC"))).otherwise(F.concat_ws(" ", F.replace("c_name", F.lit("Customer"), F.lit("Custom")), "c_mktsegment"))
+    suppliers = taken.select((-1 - F.col("s_suppkey")).alias("id"), spelled.alias("name"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("block"))
+    both = customers.select("id", "name", F.array("block", F.concat(F.lit("s"), F.col("id").cast("string"))).alias("blocks")).unionByName(suppliers.select("id", "name", F.array("block").alias("blocks")))
+    keyed = both.select("id", "blocks", names.company_key(F.col("name")).alias("key"))
+    pairs = linkage.blocked(keyed, F.col("blocks"), carry=("key",)).withColumn("score", names.company_score(F.col("a_key"), F.col("b_key"))).where(F.col("score") >= names.REJECT)
+    taker = F.col("a") < 0  # of a pair, the supplier
+    return pairs.select(F.when(taker, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(taker, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(F.col("score") >= names.MATCH, "match").otherwise("review").alias("tier"))
+
+
 _SITE = "lpad((20 + l_orderkey % 31)::VARCHAR, 2, '0') || lpad((l_partkey % 70)::VARCHAR, 2, '0') || lpad((l_suppkey % 41)::VARCHAR, 2, '0')"
 _BOUND = "l_partkey % 70 BETWEEN 1 AND 60 AND l_suppkey % 41 BETWEEN 1 AND 36"
 
@@ -451,13 +468,16 @@ def _(spark, sf_dir):
     return linkage.first_copies(files, "doc_id", F.col("sha"))
 
 
-@query("format_detect_scores", """WITH s AS (SELECT doc_id, (CASE WHEN contains(text, 'License') THEN 0.6 ELSE 0 END + CASE WHEN contains(text, '|') THEN 0.2 ELSE 0 END)::DOUBLE AS permit, (CASE WHEN regexp_matches(text, '[0-9]{3}') THEN 0.35 ELSE 0 END)::DOUBLE AS form FROM documents)
-  SELECT doc_id, permit, form, CASE WHEN greatest(permit, form) < 0.3 THEN 'unknown' WHEN permit >= form THEN 'permit' ELSE 'form' END AS detected FROM s""")
+@query("format_detect_scores", """WITH t AS (SELECT doc_id, upper(left(regexp_replace(replace(replace(text, 'License', 'Restricted Materials Permit'), '|', ' sites list '), '[0-9]{3}', 'notice of intent', 'g'), 8000)) AS u FROM documents),
+  h AS (SELECT doc_id, contains(u, 'RESTRICTED MATERIALS PERMIT') AS p, contains(u, 'SITES LIST') AS l, contains(u, 'NOTICE OF INTENT') AS n FROM t)
+  SELECT doc_id, round(0.6 * p::INT + 0.2 * l::INT, 6)::DOUBLE AS permit, CASE WHEN n AND NOT (p AND l) THEN 0.55 ELSE 0 END::DOUBLE AS form, CASE WHEN p AND NOT (n AND NOT p) THEN 'restricted_materials_permit' WHEN n AND NOT (p AND l) THEN 'pur_form' END AS detected FROM h""")
 def _(spark, sf_dir):
-    permit = F.when(F.contains("text", F.lit("License")), 0.6).otherwise(0.0) + F.when(F.contains("text", F.lit("|")), 0.2).otherwise(0.0)
-    form = F.when(F.col("text").rlike("[0-9]{3}"), 0.35).otherwise(0.0)
-    rows = domain.table(spark, sf_dir, "documents").select("doc_id", permit.alias("permit"), form.alias("form"))
-    return rows.withColumn("detected", F.when(F.greatest("permit", "form") < 0.3, "unknown").when(F.col("permit") >= F.col("form"), "permit").otherwise("form"))
+    """Scores of documents whose licences, bars and numbers are put into the wordings of forms; ties go to the first profile."""
+    text = F.replace(F.replace("text", F.lit("License"), F.lit("Restricted Materials Permit")), F.lit("|"), F.lit(" sites list "))
+    text = F.regexp_replace(text, "[0-9]{3}", "notice of intent")
+    scores = detect.text_scores(text)
+    found = detect.detected(F.lit("a.txt"), text, F.lit(0))["profile"]
+    return domain.table(spark, sf_dir, "documents").select("doc_id", scores["restricted_materials_permit"].alias("permit"), scores["pur_form"].alias("form"), found.alias("detected"))
 
 
 @query("html_title_href_host", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::INT AS hrefs,
@@ -472,11 +492,12 @@ def _(spark, sf_dir):
     return domain.table(spark, sf_dir, "documents").select("doc_id", found.alias("e")).where(F.size("e") > 0).select("doc_id", F.array_join("e", "; ").alias("emails"))
 
 
-@query("header_map", """SELECT field, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'action' WHEN 'view' THEN 'action' WHEN 'purchase' THEN 'sale' END AS field FROM events) WHERE field IS NOT NULL GROUP BY field""")
+@query("header_map", """SELECT CASE user_id % 6 WHEN 0 THEN 'permit_number' WHEN 1 THEN 'site_id' ELSE 'operator_name' END AS field, count(*) AS n FROM events WHERE user_id % 6 < 3 GROUP BY ALL""")
 def _(spark, sf_dir):
-    synonyms = spark.createDataFrame([("click", "action"), ("view", "action"), ("purchase", "sale")], "label string, field string")
-    e = domain.table(spark, sf_dir, "events").select(F.lower(F.trim("event_type")).alias("label"))
-    return e.join(F.broadcast(synonyms), "label").groupBy("field").agg(F.count("*").alias("n"))
+    """Labels in odd spellings beside the events' own words, which no field goes by."""
+    k = F.col("user_id") % 6
+    label = F.when(k == 0, "Permit #").when(k == 1, "SITE-id").when(k == 2, "  Permittee / Permit Operator: ").when(k == 3, "County & Name").otherwise(F.col("event_type"))
+    return domain.table(spark, sf_dir, "events").select(tabular.field_of(label).alias("field")).where("field is not null").groupBy("field").agg(F.count("*").alias("n"))
 
 
 @query("unique_slugs", """WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS i FROM s) SELECT p_partkey, CASE WHEN i = 1 THEN base ELSE base || '-' || i::VARCHAR END AS slug FROM n""")

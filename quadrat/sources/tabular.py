@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 from collections.abc import Iterator
 
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions import sites
+from quadrat.sources.delimited import split_rows
 
 #: Delimiters in the order in which ties are broken, and the lines looked at.
 DELIMITERS = ("\t", ",", ";", "|")
@@ -129,52 +128,55 @@ def base_registration(number: Column) -> Column:
     return F.nullif(F.regexp_replace(n, "^[^-]*[^0-9-][^-]*$", ""), F.lit(""))
 
 
-def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, line, cells) of whole files: quoted cells may hold delimiters, quotes and line breaks. A line's number is that of its row."""
+def _sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, line, cells) of the best sheet of workbooks. A line's number is that of its row."""
     from quadrat.sources.workbooks import best_sheet
 
     for b in batches:
         for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if path.lower().endswith((".xlsx", ".xlsm")):
-                rows = best_sheet(raw, lambda row: len({f for c in row if (f := match_label(c))}), HEADER_LINES)
-            else:
-                text = raw.decode("utf-8-sig", "replace")
-                head = "\n".join(text.splitlines()[:SNIFFED_LINES])
-                rows = csv.reader(io.StringIO(text, newline=""), delimiter=max(DELIMITERS, key=head.count))
-            part: list[list[str]] = []
-            done = 0
-            for row in rows:
-                part.append([c.strip() for c in row])
-                if len(part) == 5000:
-                    yield _rows(path, done, part)
-                    done, part = done + len(part), []
-            if part:
-                yield _rows(path, done, part)
-
-
-def _rows(path: str, done: int, part: list[list[str]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([path] * len(part)), pa.array(range(done + 1, done + len(part) + 1), pa.int32()), pa.array(part, pa.list_(pa.string()))], ["file", "line", "cells"])
+            best = best_sheet(raw, lambda row: len({f for c in row if (f := match_label(c))}), HEADER_LINES)
+            rows = [[c.strip() for c in row] for row in best]
+            for i in range(0, len(rows), 5000):
+                part = rows[i : i + 5000]
+                yield pa.record_batch([pa.array([path] * len(part)), pa.array(range(i + 1, i + len(part) + 1), pa.int32()), pa.array(part, pa.list_(pa.string()))], ["file", "line", "cells"])
 
 
 def grid(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, cells) of delimited files and of the best sheet of .xlsx workbooks. A file is read by one task and sent on in parts."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_grid, "file string, line int, cells array<string>")
+    """(file, line, cells) of delimited files, which are read by splits, and of the best sheet of .xlsx workbooks, which a task reads whole."""
+    book = F.lower("_metadata.file_name").rlike(r"\.xls[xm]$")
+    books = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.xls[xm]$")).select("path", "content").mapInArrow(_sheets, "file string, line int, cells array<string>")
+    return split_rows(spark, path, DELIMITERS, SNIFFED_LINES, ~book).unionByName(books)
+
+
+def field_of(label: Column) -> Column:
+    """The field that a label stands for, as ``match_label`` has it; null for other labels."""
+    labels = F.create_map(*(F.lit(x) for kv in _FIELD.items() for x in kv))
+    return F.try_element_at(labels, F.trim(F.regexp_replace(F.replace(F.lower(label), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")))
+
+
+def _headers(rows: DataFrame) -> DataFrame:
+    """(file, line, cells) of each file's header, for files that have one."""
+    known = F.size(F.array_distinct(F.array_compact(F.transform("cells", field_of))))
+    heads = rows.where(F.col("line") <= HEADER_LINES).withColumn("known", known).where(F.col("known") >= LEAST_LABELS)
+    return heads.groupBy("file").agg(F.min_by(F.struct("line", "cells"), F.struct(-F.col("known"), "line")).alias("h")).select("file", "h.*")
+
+
+def problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, problem) of delimited files and workbooks with rows, but without a header that ``records`` knows."""
+    rows = grid(spark, path).where(F.col("line") <= HEADER_LINES)
+    none = rows.select("file").distinct().join(_headers(rows), "file", "left_anti")
+    return none.select("file", F.lit(f"no line with {LEAST_LABELS} known labels among the first {HEADER_LINES}").alias("problem"))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, fields map): rows below each file's header, cells under their field's name, others under their label.
 
     The header is the line among the first fifteen with the most known labels,
-    four at least; a field's first column counts. A file without a header and
-    blank rows give nothing.
+    four at least; a field's first column counts. Blank rows give nothing, nor
+    does a file without a header, which ``problems`` lists.
     """
     rows = grid(spark, path)
-    labels = F.create_map(*(F.lit(x) for kv in _FIELD.items() for x in kv))
-    key = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
-    known = F.size(F.array_distinct(F.array_compact(F.transform("cells", lambda c: F.try_element_at(labels, key(c))))))
-    heads = rows.where(F.col("line") <= HEADER_LINES).withColumn("known", known).where(F.col("known") >= LEAST_LABELS)
-    best = heads.groupBy("file").agg(F.min_by(F.struct("line", "cells"), F.struct(-F.col("known"), "line")).alias("h"))
-    heads = best.select("file", F.col("h.line").alias("head"), F.transform("h.cells", lambda c: F.coalesce(F.try_element_at(labels, key(c)), c)).alias("names"))
+    heads = _headers(rows).select("file", F.col("line").alias("head"), F.transform("cells", lambda c: F.coalesce(field_of(c), c)).alias("names"))
     body = rows.join(heads, "file").where("line > head").where(F.exists("cells", lambda c: c != ""))
     pairs = F.filter(F.arrays_zip(F.col("names").alias("k"), F.col("cells").alias("v")), lambda p: p["k"].isNotNull() & (p["k"] != "") & p["v"].isNotNull())
     once = F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda a, p: F.when(F.exists(a, lambda q: q["k"] == p["k"]), a).otherwise(F.concat(a, F.array(F.struct(p["k"].alias("k"), p["v"].alias("v"))))))
