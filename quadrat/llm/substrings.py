@@ -6,7 +6,8 @@ anchors, so only anchors are indexed, about one for every dozen words. The
 index is a list of immutable runs, each a table of (fp, n) sorted by fp: a new
 batch becomes a run, is merge-joined with the earlier ones to find anchors
 that occur more than once, and runs are compacted into one when there are many.
-A table is fed in ``BATCHES`` and then verified as a whole. An index that
+A table's anchors are written once and fed in ``BATCHES``, of which the last
+finds ``FAN_IN`` runs and compacts; it is then verified as a whole. An index that
 outlives a table also keeps its windows' hashes in the runs, so that a window
 that stands once in a later batch and once in an earlier one is a repeat.
 An anchor that repeats is only a hint; it is verified by the full hashes of the
@@ -40,7 +41,7 @@ WIDTH = 35
 #: An anchor of more rows than this goes by single windows.
 HOT_ROWS = 1000
 #: Runs of an index that are compacted into one when a further one comes.
-FAN_IN = 8
+FAN_IN = 2
 #: Batches that a table without history is dealt in.
 BATCHES = 3
 
@@ -115,7 +116,8 @@ def _anchors(w: Words, width: int):
     grams, full = w.grams(k), w.grams(width)
     bits = U(max(1, int(len(grams) - 1).bit_length()))
     low = (U(1) << bits) - U(1)
-    least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U), width - k + 1) & low
+    rank = np.unique(grams, return_inverse=True)[1].astype(U)  # whole hashes are compared, so equal windows choose alike in any slice
+    least = sliding_min((rank << bits) | np.arange(len(grams), dtype=U), width - k + 1) & low
     at = np.flatnonzero(ok)
     return at, full[at], least[at].astype(np.int64), grams
 
@@ -138,6 +140,22 @@ def _anchor_rows(width: int):
     return run
 
 
+def _dealt_anchors(width: int):
+    """``_anchor_rows`` of (text, batch), with the text's batch beside each anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, data, at in chunks(b.column(0)):
+                w = Words(data, at)
+                if found := _anchors(w, width):
+                    where, _, anchor, grams = found
+                    new = _stretches(where, anchor)
+                    doc = np.searchsorted(w.of, where[new], "right") - 1
+                    yield pa.record_batch([pa.array(signed(grams[anchor[new]])), b.column(1).take(pa.array(i + doc))], ["fp", "batch"])
+
+    return run
+
+
 _STRETCH = pa.schema([("fp", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("windows", pa.binary()), ("hot", pa.bool_())])
 
 
@@ -250,7 +268,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, hot_rows: int = HOT_ROWS
     rows, every = "fp long, rid long, at int, windows binary, hot boolean", None
     if index is None:
         index = FingerprintIndex(spark, windows=False)
-        dealt = [index.add(docs.where(F.pmod(F.hash("rid"), F.lit(BATCHES)) == i).select("text").mapInArrow(_anchor_rows(width), "fp long")) for i in range(BATCHES)]
+        anchors = written(docs.select("text", F.pmod(F.hash("rid"), F.lit(BATCHES)).alias("batch")).mapInArrow(_dealt_anchors(width), "fp long, batch int"), "anchors")
+        dealt = [index.add(anchors.where(F.col("batch") == i).select("fp")) for i in range(BATCHES)]
         found = dealt[0]
         for other in dealt[1:]:
             found = found.unionByName(other)

@@ -25,6 +25,15 @@ def test_batches_of_a_table_equal_one(spark, monkeypatch, batches):
     assert sorted(map(tuple, got)) == brute_removals(rows, WIDTH)
 
 
+def test_the_query_compacts(spark, monkeypatch):
+    """With the production parameters the last batch's run is compacted with the earlier ones."""
+    sizes, compact = [], substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (sizes.append(len(self.runs)), compact(self)))
+    rows = list(enumerate(texts(60, 3)))
+    got = substrings.removals(spark.createDataFrame(rows, "doc_id long, text string"), width=WIDTH).collect()
+    assert sorted(map(tuple, got)) == brute_removals(rows, WIDTH) and sizes == [substrings.BATCHES]
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_later_batches_need_no_earlier_texts(spark, hot):
     """A window of a batch is a repeat if it stands elsewhere in that batch or anywhere in an earlier one; the index, compacted on the way, is all that is kept of those."""
