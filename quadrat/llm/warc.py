@@ -108,7 +108,7 @@ class RecordReader:
 
     def __init__(self, source, start: int, end: int, size: int):
         self.source, self.end, self.size = source, end, size
-        self.base, self.data = start, b""
+        self.base, self.data = start, bytearray()
 
     def _more(self) -> bool:
         at = self.base + len(self.data)
@@ -120,7 +120,8 @@ class RecordReader:
         return bool(got)
 
     def _drop(self, n: int) -> None:
-        self.base, self.data = self.base + n, self.data[n:]
+        self.base += n
+        del self.data[:n]
 
     def _member(self) -> tuple[bytes, int] | None:
         """The record at the beginning of the data and its length there; None if what begins here isn't a record. Raises if one begins and doesn't end."""
