@@ -25,6 +25,7 @@ ADJUVANT_WORDS = (
     ("surfactant", r"\b(SURFACTANT|NON[- ]?IONIC|NIS|SPREADER|WETTING AGENT|ACTIVATOR|INDUCE|R[- ]?11|SPREAD)\b"),
     ("fertilizer", r"\b(UREA|NITROGEN|FERTILI[SZ]ER|UAN)\b"),
 )
+#: Spellings of methods, rodenticides, and words of baits.
 METHODS = {"ground": "ground", "grnd": "ground", "g": "ground", "aircraft": "aerial", "air": "aerial", "aerial": "aerial", "helicopter": "aerial", "fixed wing": "aerial", "a": "aerial", "other": "other"}
 RODENTICIDES = ("brodifacoum", "bromadiolone", "bromethalin", "chlorophacinone", "cholecalciferol", "difenacoum", "difethialone", "diphacinone", "strychnine", "warfarin", "zinc phosphide", "aluminum phosphide", "magnesium phosphide")
 BAITS = r"(?i)\b(RODENT|GOPHER|MOLE|VOLE|RAT|MOUSE|SQUIRREL)\b.*\bBAIT|\bBAIT\b.*\b(RODENT|GOPHER|MOLE|VOLE|RAT|MOUSE|SQUIRREL)\b|\b(STRYCHNINE|ZINC PHOSPHIDE|GOPHER GETTER|PROZAP)\b"

@@ -37,9 +37,8 @@ def _in(values):
 def tokens(name: Column) -> Column:
     """Upper-case words: initials joined, & apart, hyphens and slashes as blanks, stems."""
     t = F.replace(F.upper(F.trim(strip_accents(name))), F.lit("&"), F.lit(" & "))
-    t = F.regexp_replace(t, r"\b([A-Z])\.\s*(?=[A-Z]\.)", "$1")
-    t = F.regexp_replace(t, r"\b([A-Z])\.(?=\s|$)", "$1")
-    t = F.regexp_replace(t, r"\b([A-Z])\s+(?=[A-Z]\b)", "$1")
+    # a letter by itself moves up to the next one, over blanks and a dot, or over a dot alone if the next has one too
+    t = F.regexp_replace(t, r"\b([A-Z])(?:\.?\s+|\.(?=[A-Z]\.))(?=[A-Z]\b)", "$1")
     t = F.regexp_replace(F.regexp_replace(t, "[-/]", " "), "[^A-Z0-9& ]", " ")
     stems = F.create_map(*(F.lit(x) for kv in STEMS.items() for x in kv))
     return F.transform(F.filter(F.split(t, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(stems, w), w))

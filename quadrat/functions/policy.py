@@ -21,8 +21,10 @@ AGENCIES = {
 RELATIONS = {
     "owned_by": ("owned by", "owns"), "owns": ("owns", "owned_by"), "managed_by": ("managed by", "manages"), "manages": ("manages", "managed_by"), "acquired_by": ("acquired by", "owns"), "dba": ("trading as", "dba"), "affiliate": ("affiliated with", "affiliate"), "branch_of": ("a licensed branch of", "owns"),
 }
+#: Relationships that give control, and how sure a source is.
 CONTROL = ("owned_by", "owns", "acquired_by", "branch_of")
 SOURCE_CONFIDENCE = {"business_registry": "verified", "licensing_record": "verified", "company_statement": "high", "published_report": "medium", "manual": "manual"}
+#: Kinds and stages of enforcement with their wording, and the stages that clear or uphold.
 ACTIONS = {"nopa": "Notice of Proposed Action", "violation": "Violation", "warning": "Warning", "civil_penalty": "Civil penalty", "license_action": "Licence action", "compliance_action": "Compliance action"}
 STAGES = {"proposed": "Proposed — not decided", "contested": "Contested by the respondent", "final": "Final", "settled": "Settled", "dismissed": "Dismissed", "withdrawn": "Withdrawn by the agency", "overturned": "Overturned on appeal", "unknown": "Outcome not known"}
 CLEARED, UPHELD, STRONG_BASIS = ("dismissed", "withdrawn", "overturned"), ("final", "settled"), ("license_number", "exact_registered_name", "manual")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Levels from the gravest, and entries of the watch list with their spellings.
@@ -25,8 +25,9 @@ def resolved(products: DataFrame, *sources: tuple[str, DataFrame], key: str = "b
 def never_downgraded(old: DataFrame, new: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """Rows of both, of each key the one of higher rank, the old one if equal."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(rank), "_new")
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
+    rest = [c for c in old.columns if c != key]
+    best = both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(rank).isNull().alias("none"), (-F.col(rank)).alias("r"), "_new")).alias("_x"))
+    return best.select(*(F.col(key) if c == key else F.col(f"_x.{c}").alias(c) for c in old.columns))
 
 
 def permit_flags(materials: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.names import company_key, company_score
@@ -28,8 +28,10 @@ def audit(before: DataFrame, after: DataFrame, key: str, field: str) -> DataFram
 
 def continued(lines: DataFrame, *filing: str) -> DataFrame:
     """Product lines of records that continue one filing, each different line once, in the order of import."""
-    w = Window.partitionBy(*filing, "product", "quantity", "unit").orderBy("import_seq")
-    return lines.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    key = (*filing, "product", "quantity", "unit")
+    rest = [c for c in lines.columns if c not in key]
+    first = lines.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("import_seq")).alias("_x"))
+    return first.select(*(F.col(c) if c in key else F.col(f"_x.{c}").alias(c) for c in lines.columns))
 
 
 def select_parcels(candidates: DataFrame, strong: float = 0.9, weak: float = 0.7) -> DataFrame:

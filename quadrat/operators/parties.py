@@ -67,12 +67,3 @@ def enforcement_counts(actions: DataFrame, by: str) -> DataFrame:
     """Per ``by``: published actions, those upheld, not yet decided and cleared. An action is published if nothing speaks against it (basis, agency, day)."""
     shown = actions.where(action_review(F.col("basis"), F.col("agency"), F.col("day")).isNull())
     return shown.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("stage").isin(*UPHELD)).alias("upheld"), F.count_if(F.col("stage").isin("proposed", "contested", "unknown")).alias("pending"), F.count_if(F.col("stage").isin(*CLEARED)).alias("cleared"))
-
-
-def enforcement_statement(requested: Column, checked: Column, total: Column, upheld: Column, pending: Column, cleared: Column) -> Column:
-    """What a profile says about enforcement, also when nothing is known."""
-    part = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {what}")))
-    counts = F.concat(total.cast("string"), F.lit(" enforcement record(s): "), F.concat_ws(", ", part(upheld, "upheld"), part(pending, "not yet decided"), part(cleared, "dismissed or withdrawn")), F.lit("."))
-    none = F.concat(F.lit("No enforcement actions were found in the records obtained from the county agricultural commissioners"), F.coalesce(F.concat(F.lit(" as of "), checked.cast("string")), F.lit("")), F.lit("."))
-    unasked = "Enforcement records for this business have not yet been requested from the relevant county agricultural commissioners. An empty section here does not mean there are none."
-    return F.when(~requested, unasked).when(F.coalesce(total, F.lit(0)) == 0, none).otherwise(counts)
