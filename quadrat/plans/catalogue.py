@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import classify, finder, names, policy, sites, units, web
 from quadrat.operators import aggregate as agg
-from quadrat.operators import chemistry, geo, linkage, overlay, reportcard, stats, tallies, traffic
+from quadrat.operators import chemistry, geo, linkage, overlay, reportcard, search, stats, storage, tallies, traffic
 from quadrat.plans import domain
 from quadrat.plans.domain import exact_sum, xsum
 from quadrat.sources import detect, tabular
@@ -249,6 +249,26 @@ def _(d):
     return stats.grid(d.apps, d.lines, text="red").select(_COLUMNS)
 
 
+_EIGHT = """, rec AS (SELECT id, operator, county, applicator, 'S-' || (operator_id % 97) AS site, 'M' || (20 + id % 28) || 'N' || lpad((id % 13 + 1)::VARCHAR, 2, '0') || 'E' AS mtrs, 'P' || (operator_id // 3) AS permit, category FROM apps JOIN (SELECT id, min(applicator) AS applicator FROM lines GROUP BY id) USING (id))"""
+
+
+@on("grid_text_index", f"""{_EIGHT} SELECT t.text, count(*) AS n, min(id) AS first, max(id) AS last FROM rec, (VALUES ('red'), ('N07e'), ('p12'), ('#0000001%1'), ('s-9')) t(text) WHERE operator ILIKE '%' || t.text || '%' OR county ILIKE '%' || t.text || '%' OR applicator ILIKE '%' || t.text || '%' OR site ILIKE '%' || t.text || '%' OR mtrs ILIKE '%' || t.text || '%' OR permit ILIKE '%' || t.text || '%' OR category ILIKE '%' || t.text || '%'
+  OR id IN (SELECT id FROM lines WHERE product ILIKE '%' || t.text || '%') GROUP BY t.text""")
+def _(d):
+    """Five searches over eight fields, those of records and of their products, by a trigram index."""
+    i, c = F.col("id"), F.col("operator_id")
+    records = d.apps_of("id", "operator", "operator_id", "county", "category").join(d.lines_by.groupBy("id").agg(F.min("applicator").alias("applicator")), "id").select(
+        "id", "operator", "county", "applicator", F.concat(F.lit("S-"), (c % 97).cast("string")).alias("site"), F.concat(F.lit("M"), (20 + i % 28).cast("string"), F.lit("N"), F.lpad((i % 13 + 1).cast("string"), 2, "0"), F.lit("E")).alias("mtrs"), F.concat(F.lit("P"), F.floor(c / 3).cast("string")).alias("permit"), "category",
+    )
+    index = search.TrigramIndex(d.spark, storage.scratch(d.spark, "trigrams"))
+    fields = ("operator", "county", "applicator", "site", "mtrs", "permit", "category")
+    index.add(search.long_form(records, "id", *fields).unionByName(search.long_form(d.lines, "id", "product")))
+    found = [index.search(t).select(F.lit(t).alias("text"), "id") for t in ("red", "N07e", "p12", "#0000001%1", "s-9")]
+    for other in found[1:]:
+        found[0] = found[0].unionByName(other)
+    return found[0].groupBy("text").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 @on("grid_page_desc_nulls_last", f", x AS (SELECT 1) SELECT {_GRID} FROM apps WHERE status = 'published' ORDER BY start DESC NULLS LAST, id LIMIT 25 OFFSET 50")
 def _(d):
     return stats.page(d.published, 3, 25).select(_COLUMNS)
