@@ -277,3 +277,45 @@ def _(d):
 @on("latest_batches", _NONE + "SELECT o_orderkey AS id, o_orderdate::DATE AS started FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
 def _(d):
     return d.table("orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("started")).orderBy(F.desc("started"), F.desc("id")).limit(25)
+
+
+# versions and pulls
+
+
+@on("rebuild_from_sources", """, l AS (SELECT id, min(id) OVER (PARTITION BY operator_id, start) AS component, acres, status FROM apps), c AS (SELECT CASE WHEN id % 10 = 0 THEN id % 100 + 1 ELSE component END AS component, acres FROM l)
+SELECT component, count(*) AS records, """ + xsum("acres") + """ AS acres, CASE WHEN component % 7 = 0 THEN 'published' ELSE 'ready' END AS status FROM c GROUP BY component""")
+def _(d):
+    """Records, clusters and applications rebuilt twice into versions of their own, with people's decisions joined last; the second version is read."""
+    from quadrat.operators import overlay, storage, versions
+    from quadrat.plans.domain import exact_sum
+
+    records = d.apps_of("id", "operator_id", "start", "acres")
+    merges = records.where("id % 10 = 0").select("id", (F.col("id") % 100 + 1).alias("cluster"), F.lit(1).alias("decided"))
+    chosen = records.select((F.col("id") * 7).alias("id"))
+    steps = {
+        "applications": (("clusters", "chosen"), lambda c, chosen: overlay.published(c.groupBy(F.col("component").alias("id")).agg(F.count("*").alias("records"), exact_sum(F.col("acres")).alias("acres")).withColumn("status", F.lit("ready")), chosen)),
+        "clusters": (("labels", "merges", "records"), lambda labels, merges, records: overlay.assigned(labels, merges).join(records.select("id", "acres"), "id")),
+        "labels": (("records",), lambda r: r.join(r.groupBy("operator_id", "start").agg(F.min("id").alias("component")), ["operator_id", "start"]).select("id", "component")),
+        "records": (("sources",), lambda sources: sources.dropDuplicates(["id"])),
+    }
+    v = versions.Versions(d.spark, storage.scratch(d.spark, "versions"))
+    for _ in range(2):
+        v.rebuild({"sources": records, "merges": merges, "chosen": chosen}, steps)
+    return v.read("applications").withColumnRenamed("id", "component")
+
+
+@on("pull_by_mark", _NONE + """, f AS (SELECT coalesce(sha256(text), 'n' || doc_id) AS sha, DATE '2024-01-01' + (doc_id % 60)::INT AS received, doc_id % 9 = 0 AS photo FROM documents WHERE doc_id % 9 <> 0)
+SELECT pull, count(*) AS files FROM (SELECT sha, CASE WHEN min(received) <= DATE '2024-01-31' THEN 1 ELSE 2 END AS pull FROM f GROUP BY sha) GROUP BY pull""")
+def _(d):
+    """Documents as files that come in over two months, pulled at the end of each; the second pull looks back a fortnight."""
+    import datetime as dt
+
+    from quadrat.operators import storage, versions
+
+    k = F.col("doc_id")
+    files = d.table("documents").select(_text("f", k.cast("string"), F.when(k % 9 == 0, ".jpg").otherwise(".txt")).alias("name"), _null().alias("file_type"), F.sha2("text", 256).alias("sha256"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")).alias("received"))
+    pull = versions.Pull(d.spark, storage.scratch(d.spark, "pull"))
+    load = lambda new: new.withColumn("problem", _null())
+    for day in (dt.date(2024, 1, 31), dt.date(2024, 2, 29)):
+        pull.run(files.where(F.col("received") <= F.lit(day)), day, load, {"names": lambda good: good.select("name")})
+    return pull.read("names").groupBy("pull").agg(F.count("*").alias("files"))
