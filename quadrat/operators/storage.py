@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +31,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def release(spark: SparkSession, hours: float = 24) -> list[str]:
+    """Delete what runs left in the shared folder, corpus operators' tables among it, and hasn't changed for so many hours; the names of what went.
+
+    Results are read from these tables, so it is called when they have been
+    written elsewhere, or regularly with more hours than any run takes. Nothing
+    else in the folder is touched: tables of runs end in 32 hexadecimal digits.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(shared_folder(spark))
+    system, gone = folder.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for s in system.listStatus(folder):
+        name = s.getPath().getName()
+        if re.search("-[0-9a-f]{32}(-windows)?$", name) and s.getModificationTime() / 1000 <= time.time() - 3600 * hours:
+            system.delete(s.getPath(), True)
+            gone.append(name)
+    return sorted(gone)

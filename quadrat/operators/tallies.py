@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.operators.storage import kept
 from quadrat.plans.domain import exact_sum
 
 OUTLIER_FACTOR = 10
@@ -22,14 +23,28 @@ def judged(lines: DataFrame, acres: Column) -> DataFrame:
 
 
 def medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, n, median) of the values that aren't null, exactly: a key's values are numbered in order as they stream from the sort, which holds none of them, and the middle one or two are taken."""
-    counts = rows.groupBy(*keys).agg(F.count(value).alias("n")).select("n", *(F.col(k).alias(f"{k}_c") for k in keys))
-    numbered = rows.select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())).alias("_r"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}_c"))
-    middle = numbered.join(counts, same).where("_r = floor((n + 1) / 2) or _r = ceil((n + 1) / 2)")
-    return middle.groupBy(*keys).agg(F.first("n").alias("n"), F.avg(value).alias("median"))
+    """(keys, n, median) of the values that aren't null, exactly; keys without any are missing. Nulls are a key.
+
+    Rows are dealt by ranges of key and value, so a key of many rows fills many
+    tasks. Each task numbers its own; what a key has in earlier ranges is added,
+    and the middle one or two are taken.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    narrow = rows.where(F.col(value).isNotNull()).select(*(F.col(k).alias(c) for k, c in zip(keys, names, strict=True)), F.col(value).alias("_v"))
+    narrow = kept(narrow.repartitionByRange(n, *names, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    key = Window.partitionBy(*names)
+    parts = narrow.groupBy(*names, "_p").agg(F.count("*").alias("_c"))
+    parts = parts.select(*(F.col(c).alias(f"{c}b") for c in names), F.col("_p").alias("_q"), "_c", F.sum("_c").over(key).alias("n"), (F.sum("_c").over(key.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
+    # only ranges that hold a middle value go on
+    low, high = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
+    parts = parts.where((F.col("_before") < high) & (low <= F.col("_before") + F.col("_c")))
+    same = F.col("_p") == F.col("_q")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}b"))
+    met = narrow.join(parts, same).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_p", *names).orderBy("_v")))
+    middle = met.where((F.col("_r") == low) | (F.col("_r") == high)).groupBy(*names).agg(F.first("n").alias("n"), F.avg("_v").alias("median"))
+    return middle.select(*(F.col(c).alias(k) for k, c in zip(keys, names, strict=True)), "n", "median")
 
 
 def tally(apps: DataFrame, lines: DataFrame, *by: str) -> DataFrame:

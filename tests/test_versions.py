@@ -95,3 +95,32 @@ def test_pulls(spark, tmp_path):
     other = versions.Pull(spark, f"file://{tmp_path}/p")
     with pytest.raises(versions.Conflict):
         pull.run(late, day(10, 2), lambda new: (other.run(late, day(10, 2), load, sinks), load(new))[1], sinks)
+
+
+def test_release(spark, tmp_path, monkeypatch):
+    """Only tables of runs go, and only old ones."""
+    from quadrat.operators import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}")
+    one = storage.kept(spark.range(3), "one")
+    (tmp_path / "people").mkdir()
+    assert storage.release(spark) == [] and one.count() == 3
+    (gone,) = storage.release(spark, hours=0)
+    assert gone.startswith("one-") and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["people"]
+
+
+def test_medians(spark):
+    """One hot key over many tasks, nulls as a key and as values, even and odd counts."""
+    import random
+    import statistics
+
+    from quadrat.operators import tallies
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.choice(["u", None]), rng.choice([None, 1.5, float(rng.randrange(40))])) for _ in range(900)] + [("empty", "u", None), ("one", "u", 2.0)]
+    want = {}
+    for k, u, v in rows:
+        if v is not None:
+            want.setdefault((k, u), []).append(v)
+    got = tallies.medians(spark.createDataFrame(rows, "p string, u string, rate double").repartition(6), "rate", "p", "u").collect()
+    assert {(r.p, r.u): (r.n, r["median"]) for r in got} == {k: (len(v), statistics.median(v)) for k, v in want.items()}
