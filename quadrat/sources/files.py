@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -22,9 +23,9 @@ WEST, SOUTH, EAST, NORTH = -124.6, 32.4, -114.0, 42.1
 
 
 #: What a file that is no good raises.
-BAD = (KeyError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError)
+BAD = (KeyError, ValueError, IndexError, struct.error, RuntimeError, NotImplementedError, EOFError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError)
 #: Suffixes without a reader.
-UNREAD = (".pdf", ".xls", ".ods", ".png", ".jpg", ".jpeg", ".tif", ".tiff")
+UNREAD = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff")
 
 
 def _members(name: str, raw: bytes, depth: int) -> Iterator[tuple[str, bytes, str | None]]:
@@ -69,7 +70,7 @@ def _text(name: str, raw: bytes) -> str | None:
     low = name.lower()
     if low.endswith(".docx"):
         return docx_text(raw)
-    if low.endswith((".xlsx", ".xlsm")):
+    if low.endswith((".xlsx", ".xlsm", ".xls", ".ods")):
         return "\n".join("\t".join(row) for _, rows in sheets(raw) for row in rows)
     if low.endswith((".html", ".htm")):
         return html_text(raw.decode("utf-8", "replace"))

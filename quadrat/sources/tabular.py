@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,7 +137,10 @@ def _sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            best = best_sheet(raw, lambda row: len({f for c in row if (f := match_label(c))}), HEADER_LINES)
+            try:
+                best = best_sheet(raw, lambda row: len({f for c in row if (f := match_label(c))}), HEADER_LINES)
+            except (KeyError, ValueError, IndexError, struct.error, zipfile.BadZipFile, ElementTree.ParseError):
+                continue
             rows = [[c.strip() for c in row] for row in best]
             for i in range(0, len(rows), 5000):
                 part = rows[i : i + 5000]
@@ -142,9 +148,9 @@ def _sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def grid(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, cells) of delimited files, which are read by splits, and of the best sheet of .xlsx workbooks, which a task reads whole."""
-    book = F.lower("_metadata.file_name").rlike(r"\.xls[xm]$")
-    books = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.xls[xm]$")).select("path", "content").mapInArrow(_sheets, "file string, line int, cells array<string>")
+    """(file, line, cells) of delimited files, which are read by splits, and of the best sheet of .xlsx, .xls and .ods workbooks, which a task reads whole; one that can't be read gives nothing, and ``files.source_files`` says why."""
+    book = F.lower("_metadata.file_name").rlike(r"\.(xls[xm]?|ods)$")
+    books = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(xls[xm]?|ods)$")).select("path", "content").mapInArrow(_sheets, "file string, line int, cells array<string>")
     return split_rows(spark, path, DELIMITERS, SNIFFED_LINES, ~book).unionByName(books)
 
 

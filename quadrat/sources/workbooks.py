@@ -1,4 +1,4 @@
-"""Rows of spreadsheets: .xlsx workbooks, read from their XML parts."""
+"""Rows of spreadsheets: .xlsx and .ods workbooks, read from their XML parts, and .xls ones."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+from quadrat.sources import oldbooks
+
 #: Numbers of built-in date and time formats.
 DATE_FORMATS = {*range(14, 23), 45, 46, 47}
 _EPOCH = dt.datetime(1899, 12, 30)
@@ -64,9 +66,63 @@ def _rows(z: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) ->
         yield cells
 
 
+#: Cells of a row of an .ods sheet, beyond which blank or repeated ones are padding.
+WIDEST = 16384
+
+
+def _ods(z: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """(name, rows) of an .ods workbook's sheets. Repeated cells and rows are written out, blank ones only before others that aren't."""
+    name, rows, skipped = "", [], 0
+    with z.open("content.xml") as f:
+        for event, e in ElementTree.iterparse(f, ("start", "end")):
+            kind = _local(e.tag)
+            get = lambda e, key: next((v for k, v in e.items() if _local(k) == key), None)
+            if kind == "table":
+                if event == "end":
+                    yield name, iter(rows)
+                    e.clear()
+                name, rows, skipped = get(e, "name") or "", [], 0
+            elif kind == "table-row" and event == "end":
+                cells, blank = [], 0
+                for c in e:
+                    if _local(c.tag) not in ("table-cell", "covered-table-cell"):
+                        continue
+                    text = _ods_text(c, get)
+                    n = min(int(get(c, "number-columns-repeated") or 1), WIDEST)
+                    if text:
+                        cells += [""] * blank + [text] * n
+                        blank = 0
+                    else:
+                        blank += n
+                n = int(get(e, "number-rows-repeated") or 1)
+                if cells:
+                    rows += [[] for _ in range(skipped)] + [list(cells) for _ in range(n)]
+                    skipped = 0
+                else:
+                    skipped += n
+                e.clear()
+
+
+def _ods_text(c: ElementTree.Element, get) -> str:
+    kind = get(c, "value-type")
+    if kind == "date":
+        return (get(c, "date-value") or "").replace("T", " ") if "T" in (get(c, "date-value") or "") else f"{get(c, 'date-value')} 00:00:00"
+    if kind in ("float", "percentage", "currency"):
+        return _shown(get(c, "value") or "", False)
+    if kind == "boolean":
+        return str(int(get(c, "boolean-value") == "true"))
+    return "\n".join("".join(p.itertext()) for p in c.iter() if _local(p.tag) == "p")
+
+
 def sheets(raw: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
     """(name, rows) of each sheet in the workbook's order."""
+    if raw[: len(oldbooks.MAGIC)] == oldbooks.MAGIC:
+        yield from oldbooks.sheets(raw, DATE_FORMATS, _shown)
+        return
     z = zipfile.ZipFile(io.BytesIO(raw))
+    if "content.xml" in z.namelist():
+        yield from _ods(z)
+        return
     strings = [_text(e) for e in _parts(z, "xl/sharedStrings.xml", "si")]
     targets = {e.get("Id"): e.get("Target") for e in _parts(z, "xl/_rels/workbook.xml.rels", "Relationship")}
     for e in list(_parts_kept(z, "xl/workbook.xml", "sheet")):
