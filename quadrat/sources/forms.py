@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import policy
+from quadrat.sources import layout
 from quadrat.sources.tabular import parse_date
 
 #: Labels of the form, and fields they give.
@@ -57,7 +58,7 @@ _MATERIAL = ("number", "name", "pests", "forms", "methods", "applicators")
 
 
 def permit_parts(text: str) -> dict:
-    """Number, dates, contacts, materials and sites of a permit with its cells set off by |, one or several a line."""
+    """Number, dates, contacts, materials and sites of a permit with its cells set off by |, one or several a line, or by where they stand."""
     found = lambda p: (m := re.search(p, text)) and m[1].strip()
     out = {"number": found(r"PERMIT:\s*(\S+)"), "operator": found(r"Operator:\s*([^#\n]+)"), "issued": found(r"Issued on:\s*([\d/]+)"), "valid": found(r"Valid as of:\s*([\d/]+)"), "expires": found(r"Expires on:\s*([\d/]+)")}
 
@@ -70,6 +71,8 @@ def permit_parts(text: str) -> dict:
         rows = [dict(zip(names, body[i : i + len(names)])) for i in range(0, len(body) - len(names) + 1, len(names))]
         return [r for r in rows if any(r.values())]
 
+    if "|" not in text:
+        return out | _by_layout(text)
     out["contacts"] = table("CONTACT LIST", "PESTICIDES LIST", _CONTACT, len(_CONTACT))
     out["materials"] = table("PESTICIDES LIST", "SITES LIST", _MATERIAL, len(_MATERIAL))
     sites = re.search(r"SITES LIST(.*?)(?:OPERATION-WIDE|\Z)", text, re.S)
@@ -78,6 +81,28 @@ def permit_parts(text: str) -> dict:
     return out
 
 
+#: A permit's tables, with their titles and what begins a row.
+_TABLES = {
+    "contacts": ("CONTACT LIST", _CONTACT, ("Name", "Phone", "License", "Expiration", "Contact Type"), r"\S.*", False),
+    "materials": ("PESTICIDES LIST", _MATERIAL, ("Number", "Pesticide", "Pests", "Forms", "Methods", "Applicators"), r"\d{1,4}", True),
+    "sites": ("SITES LIST", ("site_id", "name", "district", "mtrs", "commodity", "acres"), ("Site ID", "Site Name", "District", "MTRS", "Commodity", "Acres"), r"\w*\d\w*", True),
+}
+
+
+def _by_layout(text: str) -> dict:
+    """The three tables of a permit without separators; each ends where the next heading stands."""
+    heads = [h for h, *_ in _TABLES.values()] + ["SITES REQUIRING SCHOOLSITE NOTIFICATION", "OPERATION-WIDE CONDITIONS"]
+    parts = re.split(rf"(?m)^[ \t]*({'|'.join(heads)})[ \t]*$", text)
+    body: dict[str, str] = {}
+    for head, part in zip(parts[1::2], parts[2::2], strict=True):
+        body[head] = body.get(head, "") + part
+    out = {name: layout.table(body.get(head, ""), *how) for name, (head, *how) in _TABLES.items()}
+    for s in out["sites"]:
+        commodity, _, code = s["commodity"].rpartition("/")
+        s |= {"commodity": commodity.strip() or s["commodity"], "code": code.strip() if commodity else "", "acres": (re.match(r"[\d.,]+", s["acres"]) or [""])[0]}
+    return out
+
+
 def forms(texts: DataFrame) -> DataFrame:
     """(path, fields map, products array of maps, problem) of use-report forms (path, text)."""
 
