@@ -369,15 +369,15 @@ def _(spark, sf_dir):
 _SITE_NAMES = ("FOREST, TMBRLND", "RIGHTS OF WAY", "WATER AREA", "NOXIOUS WEED CONTROL", "GOLF COURSE TURF", "WAREHOUSE", "PASTURE LAND", "ALMOND", "FORESTRY")
 
 
-def _case(text: str, rules) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{k}'" for k, p in rules)
+_SITE_SQL = """CASE WHEN w LIKE '% FOREST %' OR w LIKE '% TIMBER %' OR w LIKE '% TIMBERLAND %' THEN 'forestry' WHEN w LIKE '% RIGHT% OF WAY %' OR w LIKE '% ROADSIDE %' OR w LIKE '% HIGHWAY %' THEN 'rights_of_way' WHEN w LIKE '% AQUATIC %' OR w LIKE '% DITCH %' OR w LIKE '% WATER AREA %' OR w LIKE '% CANAL %' THEN 'aquatic'
+  WHEN w LIKE '% NOXIOUS WEED %' OR w LIKE '% INVASIVE %' THEN 'invasive_plant' WHEN w LIKE '% LANDSCAPE %' OR w LIKE '% TURF %' OR w LIKE '% PARK %' THEN 'landscape' WHEN w LIKE '% STRUCTUR %' OR w LIKE '% BUILDING %' OR w LIKE '% WAREHOUSE %' THEN 'structural' WHEN w LIKE '% RANGELAND %' OR w LIKE '% UNCULTIVATED %' OR w LIKE '% PASTURE %' THEN 'other' END"""
 
 
-@query("site_classify", f"""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '30000-0' ELSE p_size::VARCHAR END AS code, list_extract([{', '.join(f"'{x}'" for x in _SITE_NAMES)}], (p_partkey % 9)::INT + 1) AS name FROM part)
-  SELECT p_partkey, CASE WHEN code LIKE '30000%' THEN 'forestry' ELSE {_case('name', classify.SITE_WORDS)} ELSE 'unknown' END END AS category,
-    CASE WHEN code LIKE '30000%' THEN 'verified' WHEN {_case('name', classify.SITE_WORDS)} END IS NOT NULL THEN 'high' ELSE 'low' END AS confidence FROM s""")
+@query("site_classify", f"""WITH s AS (SELECT p_partkey, p_partkey % 11 = 0 AS coded, ' ' || upper(p_name || ' ' || list_extract([{', '.join(f"'{x}'" for x in _SITE_NAMES)}], (p_partkey % 9)::INT + 1) || ' ' || split_part(p_name, ' ', 1)) || ' ' AS t FROM part), x AS (SELECT *, regexp_replace(t, '[^A-Z ]', ' ', 'g') AS w FROM s)
+  SELECT p_partkey, CASE WHEN coded THEN 'forestry' ELSE coalesce({_SITE_SQL}, 'unknown') END AS category, CASE WHEN coded THEN 'verified' WHEN {_SITE_SQL} IS NOT NULL THEN 'high' ELSE 'low' END AS confidence FROM x""")
 def _(spark, sf_dir):
-    name = F.get(F.array(*map(F.lit, _SITE_NAMES)), (F.col("p_partkey") % 9).cast("int"))
+    """Sites' names among words of the table."""
+    name = F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, _SITE_NAMES)), (F.col("p_partkey") % 9).cast("int")), F.substring_index("p_name", " ", 1))
     code = F.when(F.col("p_partkey") % 11 == 0, "30000-0").otherwise(F.col("p_size").cast("string"))
     return domain.table(spark, sf_dir, "part").select("p_partkey", classify.site_category(code, name).alias("s")).select("p_partkey", "s.category", "s.confidence")
 
@@ -386,7 +386,7 @@ _PRODUCTS = ("HI-LIGHT BLUE INDICATOR", "MSO CONCENTRATE", "DRIFT CONTROL", "DEF
 
 
 @query("adjuvant_classify", f"""WITH p AS (SELECT p_partkey, list_extract([{', '.join(f"'{x}'" for x in _PRODUCTS)}], (p_partkey % 11)::INT + 1) AS name FROM part)
-  SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN {_case('name', classify.ADJUVANT_WORDS)} END END AS type FROM p""")
+  SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN name LIKE '%INDICATOR%' THEN 'marker_dye' WHEN name LIKE 'MSO %' THEN 'crop_oil' WHEN name LIKE 'DRIFT %' THEN 'drift_control' WHEN name = 'DEFOAM' THEN 'defoamer' WHEN name LIKE 'WATER COND%' THEN 'water_conditioner' WHEN name LIKE '%STICKER%' THEN 'sticker' WHEN name LIKE '%SPREADER%' THEN 'surfactant' WHEN name LIKE 'UREA%' THEN 'fertilizer' END END AS type FROM p""")
 def _(spark, sf_dir):
     name = F.get(F.array(*map(F.lit, _PRODUCTS)), (F.col("p_partkey") % 11).cast("int"))
     return domain.table(spark, sf_dir, "part").select("p_partkey", classify.adjuvant_type(name, None, F.col("p_partkey") % 7 == 0).alias("type"))
