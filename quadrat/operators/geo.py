@@ -94,15 +94,16 @@ def edge_miles(ring: Column, lat: float, lon: float) -> Column:
     return F.when(inside, 0.0).otherwise(F.array_min(F.transform(edges, apart)))
 
 
-def radius_of_shapes(shapes: DataFrame, lat: float, lon: float, miles: float, limit: int = 1000) -> DataFrame:
-    """Shapes (id, ring of struct(x, y)) whose nearest edge is within the radius (50 miles at most), nearest first. Boxes around them are compared before edges."""
+def radius_of_shapes(shapes: DataFrame, lat: float, lon: float, miles: float, limit: int | None = None) -> DataFrame:
+    """Shapes (id, ring of struct(x, y)) whose nearest edge is within the radius (50 miles at most), nearest first; all of them, unless a caller's page has a limit. Boxes around them are compared before edges."""
     miles = min(miles, MOST_MILES)
     d_lat = miles / DEGREE_MILES * 1.001
     d_lon = d_lat / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + d_lat))))
     of = lambda f, c: f(F.transform("ring", lambda p: p[c]))
     box = (of(F.array_max, "x") >= lon - d_lon) & (of(F.array_min, "x") <= lon + d_lon) & (of(F.array_max, "y") >= lat - d_lat) & (of(F.array_min, "y") <= lat + d_lat)
     near = shapes.where(box).withColumn("miles", edge_miles(F.col("ring"), lat, lon)).where(F.col("miles") <= miles)
-    return near.withColumn("miles", F.round("miles", 3)).orderBy("miles", "id").limit(limit)
+    ordered = near.withColumn("miles", F.round("miles", 3)).orderBy("miles", "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _cut_by(ring: Column, axis: str, at: Column, sign: int) -> Column:
