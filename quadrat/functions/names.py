@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quadrat.functions import likeness
 from quadrat.functions.sites import let
 
 #: Legal forms, spellings of one stem, and words too common to tell names apart.
@@ -67,17 +66,34 @@ def core_tokens(key: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which no built-in gives; for pairs that the exact tiers leave."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(None, index=a.index, dtype="float64")
+    out[known] = likeness.ratios(a[known].tolist(), b[known].tolist())
+    return out
+
+
+# to the planner not deterministic, else a filter on a score computes it twice
+sequence_ratio = sequence_ratio.asNondeterministic()
+
+
+def company_sets(key: Column) -> Column:
+    """What ``likeness_of`` takes of a company key: the key, its different words, and those that tell names apart. To be made once a key, not once a pair."""
+    return F.struct(key.alias("key"), F.array_distinct(F.split(key, " ")).alias("words"), F.array_distinct(core_tokens(key)).alias("core"))
+
+
+def likeness_of(x: Column, y: Column) -> Column:
+    """``company_score`` of two keys by their sets."""
+    a, b = x["key"], y["key"]
+    shared, core = F.size(F.array_intersect(x["words"], y["words"])), F.size(F.array_intersect(x["core"], y["core"]))
+    same = (shared == F.size(x["words"])) & (shared == F.size(y["words"]))
+    within = ((core == F.size(x["core"])) | (core == F.size(y["core"]))) & (F.get(x["core"], 0) == F.get(y["core"], 0))
+    jaccard = shared / (F.size(x["words"]) + F.size(y["words"]) - shared)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(same, 0.97).when(within, 0.93).otherwise(0.6 * jaccard + 0.4 * sequence_ratio(a, b))
 
 
 def company_score(a: Column, b: Column) -> Column:
     """Similarity of two company keys: 1 equal, .97 same words, .93 core words of one within the other's and the first alike; else .6 of Jaccard and .4 of sequence similarity. 0 if either is empty."""
-    ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    ca, cb = core_tokens(a), core_tokens(b)
-    same = F.size(F.array_except(ta, tb)) + F.size(F.array_except(tb, ta)) == 0
-    within = ((F.size(F.array_except(ca, cb)) == 0) | (F.size(F.array_except(cb, ca)) == 0)) & (F.get(ca, 0) == F.get(cb, 0))
-    jaccard = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(same, 0.97).when(within, 0.93).otherwise(0.6 * jaccard + 0.4 * sequence_ratio(a, b))
+    return likeness_of(company_sets(a), company_sets(b))
 
 
 def person_key(name: Column) -> Column:
