@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ _ACCENTS = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 _PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
+#: Signs up to Z, besides &.
+_SIGNS = "".join(chr(i) for i in range(ord("!"), ord("Z")) if chr(i) != "&" and not chr(i).isalnum())
+
+
 def strip_accents(text: Column) -> Column:
     """Latin letters without their accents; others stay."""
     return F.translate(text, _ACCENTS, _PLAIN)
@@ -33,27 +39,42 @@ def _in(values):
     return F.array(*map(F.lit, values))
 
 
-def tokens(name: Column) -> Column:
-    """Upper-case words: initials joined, & apart, hyphens and slashes as blanks, stems."""
-    t = F.replace(F.upper(F.trim(strip_accents(name))), F.lit("&"), F.lit(" & "))
+def _words(name: Column) -> Column:
+    """Upper-case words with blanks between: initials joined, & apart, hyphens and slashes as blanks."""
+    # a translation costs a fraction of ``upper`` and of a class of many ranges, which are left what it doesn't know
+    t = F.translate(F.trim(name), _ACCENTS + ascii_lowercase, _PLAIN.upper() + ascii_uppercase)
+    t = F.replace(F.when(t.rlike("[^ -~]"), F.upper(t)).otherwise(t), F.lit("&"), F.lit(" & "))
     # a letter by itself moves up to the next one, over blanks and a dot, or over a dot alone if the next has one too
     t = F.regexp_replace(t, r"\b([A-Z])(?:\.?\s+|\.(?=[A-Z]\.))(?=[A-Z]\b)", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, "[-/]", " "), "[^A-Z0-9& ]", " ")
+    return F.regexp_replace(F.translate(t, _SIGNS, " " * len(_SIGNS)), "[^ -Z]+", " ")
+
+
+def _stemmed(words: Column) -> Column:
     stems = F.create_map(*(F.lit(x) for kv in STEMS.items() for x in kv))
-    return F.transform(F.filter(F.split(t, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(stems, w), w))
+    return F.transform(F.filter(F.split(words, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(stems, w), w))
+
+
+def tokens(name: Column) -> Column:
+    """Upper-case words: initials joined, & apart, hyphens and slashes as blanks, stems."""
+    return _stemmed(_words(name))
 
 
-def company_tokens(name: Column) -> Column:
-    """Tokens without legal forms, unless nothing else is left, and without & at the end."""
-    every = tokens(name)
+def _lawful(words: Column) -> Column:
+    """Stems without legal forms, unless nothing else is left, with blanks between."""
+    every = _stemmed(words)
     kept = F.filter(every, lambda w: ~F.array_contains(_in(LEGAL), w))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(every)
-    return F.split(F.regexp_replace(F.array_join(kept, " "), "( ?&)+$", ""), " ")
+    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(every), " ")
+
+
+#: A word that ``company_key`` changes or leaves out; most names hold none, and go without arrays of their words.
+_CHANGED = f"(^| )({'|'.join((*LEGAL, *STEMS))})( |$)"
 
 
 def company_key(name: Column) -> Column:
-    """'' for null and blank names."""
-    return F.coalesce(F.array_join(company_tokens(name), " "), F.lit(""))
+    """Tokens without legal forms, unless nothing else is left, and without & at the end, with blanks between; '' for null and blank names."""
+    t = _words(name)
+    made = F.when(t.rlike(_CHANGED), _lawful(t)).otherwise(F.trim(F.regexp_replace(t, " {2,}", " ")))
+    return F.coalesce(F.regexp_replace(made, "( ?&)+$", ""), F.lit(""))
 
 
 def core_tokens(key: Column) -> Column:
@@ -76,19 +97,39 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 sequence_ratio = sequence_ratio.asNondeterministic()
 
 
+#: A word of a key that ``core_tokens`` leaves out.
+_COMMON = f"(^| )({'|'.join(GENERIC)}|)( |$)"
+
+
 def company_sets(key: Column) -> Column:
-    """What ``likeness_of`` takes of a company key: the key, its different words, and those that tell names apart. To be made once a key, not once a pair."""
-    return F.struct(key.alias("key"), F.array_distinct(F.split(key, " ")).alias("words"), F.array_distinct(core_tokens(key)).alias("core"))
+    """What ``likeness_of`` takes of a company key: the key, its different words, and those that tell names apart."""
+    words = F.array_distinct(F.split(key, " "))
+    return F.struct(key.alias("key"), words.alias("words"), F.when(key.rlike(_COMMON), F.array_distinct(core_tokens(key))).otherwise(words).alias("core"))
+
+
+def shared_words(x: Column, y: Column) -> Column:
+    """What the words of two keys' sets have in common."""
+    n = lambda k: F.size(x[k]) + F.size(y[k])
+    words, core = F.size(F.array_intersect(x["words"], y["words"])), F.size(F.array_intersect(x["core"], y["core"]))
+    return F.struct(words.alias("words"), n("words").alias("of"), core.alias("core"), F.least(F.size(x["core"]), F.size(y["core"])).alias("least"), (F.get(x["core"], 0) == F.get(y["core"], 0)).alias("first"))
+
+
+def _by_words(a: Column, b: Column, shared: Column, rest) -> Column:
+    """Likeness of two keys by the exact tiers, then rest(Jaccard's likeness of their words)."""
+    tiers = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(2 * shared["words"] == shared["of"], 0.97).when((shared["core"] == shared["least"]) & shared["first"], 0.93)
+    return tiers.otherwise(rest(shared["words"] / (shared["of"] - shared["words"])))
 
 
 def likeness_of(x: Column, y: Column) -> Column:
     """``company_score`` of two keys by their sets."""
-    a, b = x["key"], y["key"]
-    shared, core = F.size(F.array_intersect(x["words"], y["words"])), F.size(F.array_intersect(x["core"], y["core"]))
-    same = (shared == F.size(x["words"])) & (shared == F.size(y["words"]))
-    within = ((core == F.size(x["core"])) | (core == F.size(y["core"]))) & (F.get(x["core"], 0) == F.get(y["core"], 0))
-    jaccard = shared / (F.size(x["words"]) + F.size(y["words"]) - shared)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(same, 0.97).when(within, 0.93).otherwise(0.6 * jaccard + 0.4 * sequence_ratio(a, b))
+    return _by_words(x["key"], y["key"], shared_words(x, y), lambda jaccard: 0.6 * jaccard + 0.4 * sequence_ratio(x["key"], y["key"]))
+
+
+def likeness_by_words(a: Column, b: Column, least: float) -> Column:
+    """``company_score`` of two keys where their words tell it. Where they tell only that it stays below ``least``, to four places, however alike the letters are, something below that; else null."""
+    rest = lambda jaccard: F.when(0.6 * jaccard + 0.4 < least - 1e-4, 0.6 * jaccard)
+    # bound by ``let``, sets and sizes are made once, and stay out of generated code, which would grow too long to be compiled
+    return let(F.struct(company_sets(a).alias("a"), company_sets(b).alias("b")), lambda s: let(shared_words(s["a"], s["b"]), lambda m: _by_words(s["a"]["key"], s["b"]["key"], m, rest)))
 
 
 def company_score(a: Column, b: Column) -> Column:
