@@ -54,11 +54,6 @@ def _stemmed(words: Column) -> Column:
     return F.transform(F.filter(F.split(words, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(stems, w), w))
 
 
-def tokens(name: Column) -> Column:
-    """Upper-case words: initials joined, & apart, hyphens and slashes as blanks, stems."""
-    return _stemmed(_words(name))
-
-
 def _lawful(words: Column) -> Column:
     """Stems without legal forms, unless nothing else is left, with blanks between."""
     every = _stemmed(words)
@@ -70,13 +65,36 @@ def _lawful(words: Column) -> Column:
 _CHANGED = f"(^| )({'|'.join((*LEGAL, *STEMS))})( |$)"
 
 
-def company_key(name: Column) -> Column:
-    """Tokens without legal forms, unless nothing else is left, and without & at the end, with blanks between; '' for null and blank names."""
+def plain_key(name: Column) -> Column:
+    """``company_key`` for columns of many rows: cheaper, but a longer expression, not to be named within others."""
     t = _words(name)
     made = F.when(t.rlike(_CHANGED), _lawful(t)).otherwise(F.trim(F.regexp_replace(t, " {2,}", " ")))
     return F.coalesce(F.regexp_replace(made, "( ?&)+$", ""), F.lit(""))
 
 
+def tokens(name: Column) -> Column:
+    """Upper-case words: initials joined, & apart, hyphens and slashes as blanks, stems."""
+    t = F.replace(F.upper(F.trim(strip_accents(name))), F.lit("&"), F.lit(" & "))
+    # a letter by itself moves up to the next one, over blanks and a dot, or over a dot alone if the next has one too
+    t = F.regexp_replace(t, r"\b([A-Z])(?:\.?\s+|\.(?=[A-Z]\.))(?=[A-Z]\b)", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, "[-/]", " "), "[^A-Z0-9& ]", " ")
+    stems = F.create_map(*(F.lit(x) for kv in STEMS.items() for x in kv))
+    return F.transform(F.filter(F.split(t, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(stems, w), w))
+
+
+def company_tokens(name: Column) -> Column:
+    """Tokens without legal forms, unless nothing else is left, and without & at the end."""
+    every = tokens(name)
+    kept = F.filter(every, lambda w: ~F.array_contains(_in(LEGAL), w))
+    kept = F.when(F.size(kept) > 0, kept).otherwise(every)
+    return F.split(F.regexp_replace(F.array_join(kept, " "), "( ?&)+$", ""), " ")
+
+
+def company_key(name: Column) -> Column:
+    """'' for null and blank names."""
+    return F.coalesce(F.array_join(company_tokens(name), " "), F.lit(""))
+
+
 def core_tokens(key: Column) -> Column:
     """Tokens of a key that tell names apart; all if none does."""
     every = F.filter(F.split(key, " "), lambda w: w != "")
@@ -97,12 +115,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 sequence_ratio = sequence_ratio.asNondeterministic()
 
 
+def company_sets(key: Column) -> Column:
+    """What ``likeness_of`` takes of a company key: the key, its different words, and those that tell names apart. To be made once a key, not once a pair."""
+    return F.struct(key.alias("key"), F.array_distinct(F.split(key, " ")).alias("words"), F.array_distinct(core_tokens(key)).alias("core"))
+
+
 #: A word of a key that ``core_tokens`` leaves out.
 _COMMON = f"(^| )({'|'.join(GENERIC)}|)( |$)"
 
 
-def company_sets(key: Column) -> Column:
-    """What ``likeness_of`` takes of a company key: the key, its different words, and those that tell names apart."""
+def _sets(key: Column) -> Column:
+    """``company_sets``, made with fewer arrays."""
     words = F.array_distinct(F.split(key, " "))
     return F.struct(key.alias("key"), words.alias("words"), F.when(key.rlike(_COMMON), F.array_distinct(core_tokens(key))).otherwise(words).alias("core"))
 
@@ -129,7 +152,7 @@ def likeness_by_words(a: Column, b: Column, least: float) -> Column:
     """``company_score`` of two keys where their words tell it. Where they tell only that it stays below ``least``, to four places, however alike the letters are, something below that; else null."""
     rest = lambda jaccard: F.when(0.6 * jaccard + 0.4 < least - 1e-4, 0.6 * jaccard)
     # bound by ``let``, sets and sizes are made once, and stay out of generated code, which would grow too long to be compiled
-    return let(F.struct(company_sets(a).alias("a"), company_sets(b).alias("b")), lambda s: let(shared_words(s["a"], s["b"]), lambda m: _by_words(s["a"]["key"], s["b"]["key"], m, rest)))
+    return let(F.struct(_sets(a).alias("a"), _sets(b).alias("b")), lambda s: let(shared_words(s["a"], s["b"]), lambda m: _by_words(s["a"]["key"], s["b"]["key"], m, rest)))
 
 
 def company_score(a: Column, b: Column) -> Column:
