@@ -1,16 +1,18 @@
 """Free-text search by a trigram index kept beside the tables.
 
-``ILIKE '%x%'`` reads every row of every field. The index holds each different
-value of a field once, with the rows that have it, and for each trigram of
-values in lower case the values that hold it. Both tables are written in order,
-so that a search reads the row groups of its own trigrams and values. A
-pattern's rarest trigrams are intersected, and what is left is compared with
-the whole pattern, so the rows are those of the scan.
+``ILIKE '%x%'`` reads every row of every field. The index holds the rows of each
+field with their values' numbers, and for each trigram of values in lower case
+the different values that hold it, in order, so that a search reads the row
+groups of its own trigrams. A pattern's rarest trigrams are intersected, and
+what is left is compared with the whole pattern, so the rows are those of the
+scan. Rows are written as they come, without a shuffle; only different values
+are sorted.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +44,17 @@ class TrigramIndex:
         self.spark, self.at = spark, at.rstrip("/")
 
     def add(self, rows: DataFrame) -> None:
-        """Index rows (field, id, value), beside those that are there. Null and empty values match nothing and are left out."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = kept(rows.where("value <> ''").select("field", F.xxhash64("field", "value").alias("vid"), "value", "id").distinct(), "indexed")
-        rows.repartitionByRange(n, "vid", "id").sortWithinPartitions("vid").write.mode("append").parquet(f"{self.at}/rows")
-        postings = rows.select("vid", "value").distinct().select(F.explode(grams(F.col("value"))).alias("gram"), "vid")
+        """Index rows (field, id, value), beside those that are there. Null and empty values match nothing and are left out; a row that comes again is found once."""
+        n, at = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{self.at}/rows/{uuid.uuid4().hex}"
+        rows = rows.where("value <> ''").select("field", F.xxhash64("field", "value").alias("vid"), "value", "id")
+        rows.write.parquet(at)
+        values = kept(self.spark.read.schema(rows.schema).parquet(at).select("vid", "value").distinct(), "values")
+        postings = values.select(F.explode(grams(F.col("value"))).alias("gram"), "vid")
         postings.repartitionByRange(n, "gram", "vid").sortWithinPartitions("gram", "vid").write.mode("append").parquet(f"{self.at}/postings")
         postings.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange(n, "gram").sortWithinPartitions("gram").write.mode("append").parquet(f"{self.at}/sizes")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.at}/{name}")
+        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.at}/{name}")
 
     def search(self, text: str, *fields: str) -> DataFrame:
         """(id) of the rows of which a field, any or one of ``fields``, is ILIKE '%text%'. A text without three letters in a row reads all values."""

@@ -65,6 +65,12 @@ def lines(spark: SparkSession, sf_dir: str, applicator: bool = True) -> DataFram
     ).select("*", F.col("q.gallons").alias("gallons"), F.col("q.pounds").alias("pounds"), F.col("q.family").alias("family")).drop("q")
 
 
+def applicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The applicator of each product line; the table of products isn't joined."""
+    li, s = (table(spark, sf_dir, x) for x in ("lineitem", "supplier"))
+    return li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("l_orderkey").alias("id"), F.col("s_name").alias("applicator"))
+
+
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page views: path, visitor, time, day, and a referrer and country made of the user's number."""
     e = table(spark, sf_dir, "events")

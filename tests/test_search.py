@@ -37,5 +37,17 @@ def test_reads_only_its_trigrams(spark, tmp_path):
     assert "PushedFilters: [In(gram" in plan or "PushedFilters: [IsNotNull(vid), In(gram" in plan or "In(gram" in plan
 
 
+def test_rows_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """What is sorted and kept beside the rows grows with the different values, not with the rows."""
+    sent, keep, sort = {}, search.kept, type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(search, "kept", lambda df, name: (lambda out: sent.update({name: (out.count(), out.columns)}) or out)(keep(df, name)))
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda df, *a: sent.update({a: (df.count(), df.columns)}) or sort(df, *a))
+    df = spark.range(3000).select("id", F.lit("name").alias("field"), F.concat(F.lit("owner "), F.col("id") % 3).alias("value"))
+    index = search.TrigramIndex(spark, f"file://{tmp_path}/index")
+    index.add(df.unionByName(df.limit(100)))
+    assert sent and all(n <= 3 * len("owner 1") and "id" not in columns for n, columns in sent.values())
+    assert sorted(r.id for r in index.search("OWNER 2").collect()) == list(range(2, 3000, 3))
+
+
 def test_literals():
     assert search.literals("Red%wood_x") == ["ood", "red", "woo"] and search.literals("ab") == [] and search.literals("%%a_b%") == []
