@@ -20,13 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exact_sum(c: Column) -> Column:
-    """A sum of millionths, which doesn't depend on the order of rows: the upper bits and the lower 20 are summed apart as longs, which no number of rows overflows."""
+def millionths(c: Column) -> tuple[Column, Column]:
+    """A number in millionths: the upper bits, and the lower 20."""
     v = F.floor(c.cast("double") * 1e6 + 0.5)
-    high, low = F.sum(F.shiftright(v, 20)), F.sum(v.bitwiseAND(F.lit((1 << 20) - 1)))
+    return F.shiftright(v, 20), v.bitwiseAND(F.lit((1 << 20) - 1))
+
+
+def of_millionths(high: Column, low: Column) -> Column:
+    """The number of summed upper and lower bits."""
     return (high.cast("decimal(28,0)") * F.lit(1 << 20) + low.cast("decimal(28,0)")).cast("double") / 1e6
 
 
+def exact_sum(c: Column) -> Column:
+    """A sum of millionths, which doesn't depend on the order of rows: the upper bits and the lower 20 are summed apart as longs, which no number of rows overflows."""
+    return of_millionths(*(F.sum(x) for x in millionths(c)))
+
+
 #: Columns of an application that need the operator's row, its county's, and its district's.
 _OF_OPERATOR, _OF_COUNTY, _OF_DISTRICT = ("operator", "category"), ("county",), ("district",)
 
