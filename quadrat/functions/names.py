@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +162,50 @@ def company_score(a: Column, b: Column) -> Column:
     return likeness_of(company_sets(a), company_sets(b))
 
 
+def _in_common(x: list[list[str]], y: list[list[str]]) -> np.ndarray:
+    """How many words each of x shares with each of y."""
+    out, having = np.zeros((len(x), len(y)), np.int32), ({}, {})
+    for side, texts in zip(having, (x, y), strict=True):
+        for i, words in enumerate(texts):
+            for w in words:
+                side.setdefault(w, []).append(i)
+    for w in having[0].keys() & having[1].keys():
+        out[np.ix_(having[0][w], having[1][w])] += 1
+    return out
+
+
+def limits_reached(x: Sequence[str], y: Sequence[str], asked: np.ndarray, limits: tuple[float, ...]) -> np.ndarray:
+    """How many of the limits ``company_score`` reaches for each key of x (a row) with each of y, where asked; 0 elsewhere. For two lists of different keys: letters are compared only where words leave it open, and only until it is settled."""
+    if not asked.any():
+        return np.zeros(asked.shape, np.int8)
+    reached = lambda score: sum((score >= t).astype(np.int8) for t in limits)
+    words = [[list(dict.fromkeys(k.split(" "))) for k in keys] for keys in (x, y)]
+    core = [[[w for w in ws if w and w not in GENERIC] or [w for w in ws if w] for ws in side] for side in words]
+    size = lambda of: [np.array([len(ws) for ws in side], np.int32) for side in of]
+    ids, firsts = {}, {}
+    key = [np.array([ids.setdefault(k, len(ids)) if k else -1 for k in keys]) for keys in (x, y)]
+    first = [np.array([firsts.setdefault(ws[0], len(firsts)) if ws else -1 - side for ws in keys]) for side, keys in enumerate(core)]
+    (nx, ny), (mx, my) = size(words), size(core)
+    shared, of = _in_common(*words), nx[:, None] + ny
+    within = (_in_common(*core) == np.minimum(mx[:, None], my)) & (first[0][:, None] == first[1])
+    jaccard = 0.6 * (shared / (of - shared))
+    blank, same = (key[0] < 0)[:, None] | (key[1] < 0), key[0][:, None] == key[1]
+    exact = np.select([blank, same, 2 * shared == of, within], [0.0, 1.0, 0.97, 0.93], np.nan)
+    out = np.where(asked, reached(np.where(np.isnan(exact), jaccard, exact)), np.int8(0))
+    ia, ib = np.nonzero(asked & np.isnan(exact) & (reached(jaccard + 0.4) > out))
+    n = [np.array([len(k) for k in keys], np.int64) for keys in (x, y)]
+    short = n[1] <= likeness.SHORT
+    lists = likeness.Lists(x, [k if s else "" for k, s in zip(y, short, strict=True)])
+    for at in range(0, len(ia), likeness.PAIRS):
+        i, j = ia[at : at + likeness.PAIRS], ib[at : at + likeness.PAIRS]
+        i, j, long = i[short[j]], j[short[j]], (i[~short[j]], j[~short[j]])
+        most, letters = jaccard[i, j], n[0][i] + n[1][j]
+        of_matched = lambda m: reached(most + 0.4 * (2.0 * m / letters))  # noqa: B023, E731
+        out[i, j] = of_matched(lists.matched(i, j, lambda m, rest: of_matched(m) == of_matched(m + rest)))  # noqa: B023
+        out[long] = reached(jaccard[long] + 0.4 * likeness.ratios([x[k] for k in long[0]], [y[k] for k in long[1]]))
+    return out
+
+
 def person_key(name: Column) -> Column:
     """'SURNAME FIRST MIDDLE' of either name order, without titles and suffixes."""
     clean = F.regexp_replace(F.upper(strip_accents(F.trim(name))), "[^A-Z, ]", "")
